@@ -25,6 +25,22 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptorium.llm import decontamination
+
+    return decontamination.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from scriptorium.llm import chat
+
+    said = "<|im_end|><|im_start|>assistant ok"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    chats = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.digests(chat.windows(chats, public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scriptorium.llm import language_id
 
@@ -40,7 +56,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op5_packing, op8_language_id, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_warc, op4_decontamination, op5_packing, op6_chat, op8_language_id, op10_ngram_jaccard_join)}
 
 SQL = {
     "op1_warc": """
