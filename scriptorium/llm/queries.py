@@ -25,6 +25,19 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
+def op2_hmm_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptorium.llm import hmm, language_id
+
+    fold = language_id.fold(10)
+    return hmm.scores(_table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(fold == 0, F.lit(False)).alias("held_out")))
+
+
+def op3_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptorium.llm import quality_rules
+
+    return quality_rules.rules(_table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scriptorium.llm import decontamination
 
@@ -41,6 +54,12 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.windows(chats, public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op7_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptorium.llm import substring_dedup
+
+    return substring_dedup.passages(_table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scriptorium.llm import language_id
 
@@ -50,13 +69,19 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.with_language(docs, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op9_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptorium.llm import weak_labels
+
+    return weak_labels.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scriptorium.llm import ngram_join
 
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op4_decontamination, op5_packing, op6_chat, op8_language_id, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_hmm_language_model, op3_robust_outliers, op4_decontamination, op5_packing, op6_chat, op7_compact_windows, op8_language_id, op9_weak_labels, op10_ngram_jaccard_join)}
 
 SQL = {
     "op1_warc": """
