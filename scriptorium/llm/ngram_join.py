@@ -9,9 +9,12 @@ Method, after the size-aware heavy-light overlap join:
    no more than its inverted lists; sets that may pair with both kinds are put on both.
 3. Lists of up to SHORT classes give all their pairs. On a longer one, each class is paired with a few leaders only; if
    the list then falls into one component, no pair of it can change the result. Classes on other long lists (of
-   common lines, or loose groups of near copies) go to a further round in which the shingles of such lists come last
-   in the order, so that they meet on rarer ones. What is left after the last round gives its pairs across components.
-4. Every pair is verified on whole sets before it links.
+   common lines, or loose groups of near copies) go to a further round in which the shingles that are common among
+   them come last in the order, so that they meet on rarer ones, and on a long list under other leaders. What is left after the last round gives its pairs
+   across components, but for those whose parity sketches differ in more bits than similar sets may in shingles.
+4. Of each pair, the heads (the first p + 1 shingles of either set) are compared first: up to the smaller of their ends
+   both sets are known, and a pair that differs there in more shingles than similar sets may differ in all is no link.
+   Most chance meetings end here. The rest is verified on whole sets before it links.
 
 No cap drops a pair: the leaders and the order decide only how pairs are found.
 
@@ -33,7 +36,9 @@ from scriptorium.llm.shared import components, keep, small_or_shuffled
 K, PERCENT = 5, 80
 SHORT = 64
 LEADERS = 8
-ROUNDS = 4
+ROUNDS = 3
+#: Bits of a sketch; each is the parity of the shingles that fall on it.
+SKETCH = 1024
 #: Sizes up to this may count as light; the cost of inverted lists is measured on them.
 MOST_LIGHT = 64
 #: So many shingles of long lists, at most, are sent to the tasks; others keep their place in the order.
@@ -77,23 +82,20 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def _keys(cid: np.ndarray, n: np.ndarray, heads: list[np.ndarray], light: int) -> pa.RecordBatch:
-    """The keys on which classes meet: a shingle, or two as one hash; tok is the first of them."""
-    keys, toks, ids = [], [], []
+    """The keys on which classes meet: a shingle, or two as one hash."""
+    keys, ids = [], []
     for c, size, head in zip(cid.tolist(), n.tolist(), heads):
         if size <= light:
             i, j = np.triu_indices(len(head), 1)
             a = head.view(np.uint64)
             keys.append(W.mix(a[i] * np.uint64(0xA0761D6478BD642F) ^ a[j]).view(np.int64))
-            toks.append(head[i])
             ids.append(np.full(len(i), c))
-        if size > light or 100 * light < PERCENT * size + 100:
-            if 100 * size >= PERCENT * light:
-                head = head[: prefix_length(size)]
-                keys.append(head)
-                toks.append(head)
-                ids.append(np.full(len(head), c))
+        if 100 * size >= PERCENT * (light + 1):  # may pair with a heavy one, or is one
+            head = head[: prefix_length(size)]
+            keys.append(head)
+            ids.append(np.full(len(head), c))
     join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
-    return pa.RecordBatch.from_arrays([join(keys), join(toks), join(ids)], ["key", "tok", "cid"])
+    return pa.RecordBatch.from_arrays([join(keys), join(ids)], ["key", "cid"])
 
 
 def _keys_of_heads(heads: DataFrame, light: int) -> DataFrame:
@@ -103,7 +105,7 @@ def _keys_of_heads(heads: DataFrame, light: int) -> DataFrame:
             ends = ends - ends[0]
             yield _keys(b.column("cid").to_numpy(), b.column("n").to_numpy(), [flat[x:y] for x, y in zip(ends[:-1], ends[1:])], light)
 
-    return heads.select("cid", "n", "head").mapInArrow(run, "key long, tok long, cid long")
+    return heads.select("cid", "n", "head").mapInArrow(run, "key long, cid long")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -123,11 +125,32 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return text.select("cid", "s1", "s2", "text").mapInArrow(run, "cid long, s array<long>").dropDuplicates(["cid"])
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+def _verified(docs: DataFrame, classes: DataFrame, heads: DataFrame, pairs: DataFrame) -> DataFrame:
     """Of candidate pairs (a, b: cid), those that are similar."""
+
+    def run(batches):
+        for batch in batches:
+            keep_ = np.zeros(batch.num_rows, bool)
+            sides = []
+            for c in ("ha", "hb"):
+                column = batch.column(c)
+                ends = column.offsets.to_numpy()
+                sides.append((column.flatten().to_numpy(), ends - ends[0]))
+            (fa, ea), (fb, eb) = sides
+            most = (100 - PERCENT) * (batch.column("na").to_numpy() + batch.column("nb").to_numpy())
+            for i in range(batch.num_rows):
+                x, y = fa[ea[i] : ea[i + 1]], fb[eb[i] : eb[i + 1]]
+                x, y = x[: np.searchsorted(x, y[-1], "right")], y[: np.searchsorted(y, x[-1], "right")]
+                apart = len(x) + len(y) - 2 * len(np.intersect1d(x, y, assume_unique=True))
+                keep_[i] = (100 + PERCENT) * apart <= most[i]
+            yield batch.select(["a", "b", "na", "nb"]).filter(pa.array(keep_))
+
     sizes = small_or_shuffled(classes.select("cid", "n"))
     near = pairs.join(sizes.withColumnsRenamed({"cid": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"cid": "b", "n": "nb"}), "b")
-    near = keep(near.where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)"), "pairs")
+    near = near.where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
+    head = heads.select("cid", "head")
+    near = near.join(head.withColumnsRenamed({"cid": "a", "head": "ha"}), "a").join(head.withColumnsRenamed({"cid": "b", "head": "hb"}), "b")
+    near = keep(near.select("a", "b", "na", "nb", "ha", "hb").mapInArrow(run, "a long, b long, na long, nb long"), "pairs")
     ids = keep(near.select(F.col("a").alias("cid")).union(near.select("b")).distinct(), "ids")
     wanted = keep(classes.join(small_or_shuffled(ids), "cid").select("cid", "first", "s1", "s2"), "wanted")
     sets = keep(_sets_of(docs, wanted), "sets")
@@ -136,6 +159,21 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
     return keep(both.where(f"100 * common >= {PERCENT} * (na + nb - common)").select("a", "b"), "links")
 
 
+def _sketches(sets: DataFrame) -> DataFrame:
+    """cid, n, k of sets: two sketches differ in no more bits than the sets in shingles."""
+
+    def run(batches):
+        for b in batches:
+            n, k = [], []
+            for s in b.column("s"):
+                s = s.values.to_numpy()
+                n.append(len(s))
+                k.append(np.packbits(np.bincount(s & (SKETCH - 1), minlength=SKETCH).astype(np.uint8) & 1).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array(n, pa.int64()), _lists(k)], ["cid", "n", "k"])
+
+    return sets.mapInArrow(run, "cid long, n long, k array<long>")
+
+
 def _light(heads: DataFrame) -> int:
     """The boundary: the largest size whose subsets are no more rows than its inverted lists hold entries to scan."""
     small = heads.where(F.col("n").between(2, MOST_LIGHT)).select(F.explode(F.expr(f"slice(head, 1, int(n - ceil({PERCENT} * n / 100) + 1))")).alias("tok"))
@@ -150,11 +188,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     classes = rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
     classes = keep(classes.where("first IS NOT NULL").withColumn("cid", F.monotonically_increasing_id()), "classes")
     heads = rows.where("n > 1").join(classes.select("s1", "s2", "cid", F.col("first").alias("doc_id")), ["s1", "s2", "doc_id"]).select("cid", "n", "head")
-    heads = keep(heads, "heads")
+    heads = keep(heads.dropDuplicates(["cid"]), "heads")
     light = _light(heads)
-    keys, links, last, moved = keep(_keys_of_heads(heads, light), "keys"), None, None, docs.limit(0)
+    keys, links = _keys_of_heads(heads, light), None
     for turn in range(ROUNDS):
-        lists = keep(keys.groupBy("key").agg(F.count("*").alias("rows"), F.min("cid").alias("a"), F.max("cid").alias("b"), F.min("tok").alias("tok")).where("rows > 1 AND a < b"), "lists")
+        lists = keep(keys.groupBy("key").agg(F.count("*").alias("rows"), F.min("cid").alias("a"), F.max("cid").alias("b")).where("rows > 1 AND a < b"), "lists")
         more = keys.join(small_or_shuffled(lists.where("rows > 2").select("key", "rows")), "key").select("key", "rows", "cid")
         more = keep(more, "members")
         short = more.where(f"rows <= {SHORT}").select("key", "cid")
@@ -164,7 +202,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         leaders = long.groupBy("key").agg(F.min(draw).alias("d")).select("key", "d.leader")
         stars = long.join(leaders, "key").where("cid <> leader").select(F.least("cid", "leader").alias("a"), F.greatest("cid", "leader").alias("b"))
         found = lists.where("rows = 2").select("a", "b").union(pairs).union(stars).distinct()
-        new = _verified(docs, classes, found)
+        new = _verified(docs, classes, heads, found)
         links = new if links is None else links.unionByName(new)
         roots = keep(components(links), "roots")
         placed = long.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
@@ -172,16 +210,17 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         apart = keep(placed.join(apart, "key").select("key", "cid", "root"), "apart")
         if apart.isEmpty():
             break
-        before = last
-        last = keep(apart.select("key").distinct().join(lists, "key").groupBy("tok").agg(F.max("rows").alias("rows")), "common")
-        last = keep(last.unionByName(before).groupBy("tok").agg(F.max("rows").alias("rows")), "common") if before is not None else last
-        if turn == ROUNDS - 1 or (before is not None and before.count() == last.count()):
-            x, y = apart.selectExpr("key", "cid AS a", "root AS ra"), apart.selectExpr("key", "cid AS b", "root AS rb")
-            rest = x.join(y, "key").where("a < b AND ra <> rb").select("a", "b").distinct()
-            roots = keep(components(links.unionByName(_verified(docs, classes, rest))), "roots")
+        if turn == ROUNDS - 1:
+            marked = apart.join(_sketches(sets), "cid")
+            x, y = marked.selectExpr("key", "cid AS a", "root AS ra", "n AS na", "k AS ka"), marked.selectExpr("key", "cid AS b", "root AS rb", "n AS nb", "k AS kb")
+            apart_bits = " + ".join(f"bit_count(ka[{i}] ^ kb[{i}])" for i in range(SKETCH // 64))
+            near = f"a < b AND ra <> rb AND {100 + PERCENT} * ({apart_bits}) <= {100 - PERCENT} * (na + nb)"
+            rest = x.join(y, "key").where(near).select("a", "b").distinct()
+            roots = keep(components(links.unionByName(_verified(docs, classes, heads, rest))), "roots")
             break
         moved = keep(apart.select("cid").distinct().join(classes, "cid"), "moved")
-        keys = keep(_keys_again(docs, moved, last, light), "keys")
+        sets = keep(_sets_of(docs, moved), "moved-sets")
+        keys = keep(_keys_again(sets, light), "keys")
     grouped = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     smallest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
     known = keep(grouped.where("copies > 1 OR cid <> root").select("s1", "s2", "n", "root").union(grouped.where("cid = root").select("s1", "s2", "n", "root")).distinct().join(smallest, "root").select("s1", "s2", "n", "component_id"), "known")
@@ -189,12 +228,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def _keys_again(docs: DataFrame, moved: DataFrame, last: DataFrame, light: int) -> DataFrame:
-    """Keys of the moved classes in an order that has the shingles in last (tok, rows) at its end."""
-    order = last.orderBy(F.desc("rows"), "tok").limit(MOST_LAST) if last.count() > MOST_LAST else last
-    end = np.sort(np.array([r["tok"] for r in order.select("tok").toLocalIterator()], np.int64))
+def _keys_again(sets: DataFrame, light: int) -> DataFrame:
+    """Keys of classes (cid, s) in an order that has at its end all shingles common among them."""
+    common = sets.select(F.explode("s").alias("tok")).groupBy("tok").agg(F.count("*").alias("rows")).where(F.col("rows") > SHORT)
+    common = keep(common, "common")
+    order = common.orderBy(F.desc("rows"), "tok").limit(MOST_LAST) if common.count() > MOST_LAST else common
+    end = np.sort(np.array([r["tok"] for r in order.select("tok").toLocalIterator()] or [0], np.int64))
+    shared = sets.sparkSession.sparkContext.broadcast(end)  # at most MOST_LAST numbers
 
     def run(batches):
+        end = shared.value
         for b in batches:
             heads, n = [], []
             for s in b.column("s"):
@@ -204,4 +247,4 @@ def _keys_again(docs: DataFrame, moved: DataFrame, last: DataFrame, light: int)
                 heads.append(np.concatenate([s[~isin], s[isin]])[: prefix_length(len(s)) + 1])
             yield _keys(b.column("cid").to_numpy(), np.array(n), heads, light)
 
-    return _sets_of(docs, moved).mapInArrow(run, "key long, tok long, cid long")
+    return sets.mapInArrow(run, "key long, cid long")
