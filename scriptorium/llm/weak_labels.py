@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from scriptorium.llm import words as W
 from scriptorium.llm.shared import keep, small_or_shuffled
 
-DIMS, SAMPLE, EPOCHS, RATE, Z, STEPS = 1 << 18, 6000, 12, 0.3, 6.0, 40
+DIMS, SAMPLE, EPOCHS, RATE, Z, STEPS = 1 << 18, 12_000, 30, 1.0, 6.0, 40
 #: Common English words of abuse, nouns and others, for the two list labellers.
 NOUNS = ["clown", "creep", "fool", "idiot", "jerk", "liar", "loser", "moron", "pig", "scum", "trash", "vermin"]
 OTHERS = ["despicable", "disgusting", "dumb", "hateful", "pathetic", "repulsive", "stupid", "ugly", "vile", "worthless"]
@@ -183,11 +183,11 @@ def judged(docs: DataFrame, annotations: DataFrame | None = None) -> DataFrame:
             ids = [f for _, _, f in _analysed(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("task"), batch.column("label"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "task", "label", "ids"])
 
-    rows = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "task", "label", "text").mapInArrow(features, "doc_id long, task string, label double, ids array<int>").collect()
-    rows.sort(key=lambda r: (r["task"], r["doc_id"], len(r["ids"])))
+    got = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "task", "label", "text").mapInArrow(features, "doc_id long, task string, label double, ids array<int>").toArrow()
+    rows = sorted(zip(got["task"].to_pylist(), got["doc_id"].to_pylist(), got["label"].to_pylist(), (x.values.to_numpy() for x in got["ids"])), key=lambda r: (r[0], r[1], len(r[3])))
     fitted = {}
     for task in TASKS:
-        w, bias = fit_scorer([(np.array(r["ids"], np.int64), r["label"]) for r in rows if r["task"] == task])
+        w, bias = fit_scorer([(ids, label) for of, _, label, ids in rows if of == task])
         fitted[task] = w, bias + priors[task]  # the sample has both labels in equal parts, the texts don't
     shared = docs.sparkSession.sparkContext.broadcast(fitted)  # two vectors of DIMS weights
 
