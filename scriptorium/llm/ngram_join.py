@@ -7,11 +7,12 @@ Method, after the size-aware heavy-light overlap join:
    two among their first p + 1. A light (small) set enumerates all two-element subsets of its first p + 1; a heavy
    (large) one is put on the inverted lists of its first p. The boundary is the size up to which a set's subsets cost
    no more than its inverted lists; sets that may pair with both kinds are put on both.
-3. Lists of up to SHORT classes give all their pairs. On a longer one, each class is paired with a few leaders only; if
-   the list then falls into one component, no pair of it can change the result. Classes on other long lists (of
-   common lines, or loose groups of near copies) go to a further round in which the shingles that are common among
-   them come last in the order, so that they meet on rarer ones, and on a long list under other leaders. What is left after the last round gives its pairs
-   across components, but for those whose parity sketches differ in more bits than similar sets may in shingles.
+3. On a list, each class is paired with a few leaders first; if the list then falls into one component, no pair of it
+   can change the result. What is left of lists of up to SHORT classes gives all its pairs across components. Classes
+   on longer ones (of common lines, or loose groups of near copies) go to a further round in which the shingles that
+   are common among them come last in the order, so that they meet on rarer ones, and on a long list under other
+   leaders. What is left after the last round gives its pairs across components, but for those whose parity sketches
+   differ in more bits than similar sets may in shingles.
 4. Of each pair, the heads (the first p + 1 shingles of either set) are compared first: up to the smaller of their ends
    both sets are known, and a pair that differs there in more shingles than similar sets may differ in all is no link.
    Most chance meetings end here. The rest is verified on whole sets before it links.
@@ -182,6 +183,25 @@ def _light(heads: DataFrame) -> int:
     return max([n for n in range(2, MOST_LIGHT + 1) if (prefix_length(n) + 1) / 2 <= 1 + partners], default=1)
 
 
+def _grown(roots: DataFrame | None, new: DataFrame) -> DataFrame:
+    """roots (node, root) with the components that new links (a, b) join."""
+    if roots is None:
+        return keep(components(new), "roots")
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias("r" + c))
+    moved = new.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    met = keep(components(moved), "met").select(F.col("node").alias("root"), F.col("root").alias("top"))
+    old = roots.join(met, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    fresh = met.join(roots.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root"))
+    return keep(old.unionByName(fresh), "roots")
+
+
+def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, rows, cid, root of the members of lists that lie in several components."""
+    placed = members.select("key", "rows", "cid").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    lists = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
+    return keep(placed.join(lists, "key").select("key", "rows", "cid", "root"), "apart")
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
     rows = keep(signatures(docs), "signatures")
@@ -190,24 +210,21 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     heads = rows.where("n > 1").join(classes.select("s1", "s2", "cid", F.col("first").alias("doc_id")), ["s1", "s2", "doc_id"]).select("cid", "n", "head")
     heads = keep(heads.dropDuplicates(["cid"]), "heads")
     light = _light(heads)
-    keys, links = _keys_of_heads(heads, light), None
+    keys, roots = _keys_of_heads(heads, light), None
     for turn in range(ROUNDS):
         lists = keep(keys.groupBy("key").agg(F.count("*").alias("rows"), F.min("cid").alias("a"), F.max("cid").alias("b")).where("rows > 1 AND a < b"), "lists")
-        more = keys.join(small_or_shuffled(lists.where("rows > 2").select("key", "rows")), "key").select("key", "rows", "cid")
-        more = keep(more, "members")
-        short = more.where(f"rows <= {SHORT}").select("key", "cid")
-        pairs = short.select("key", F.col("cid").alias("a")).join(short.select("key", F.col("cid").alias("b")), "key").where("a < b").select("a", "b")
-        long = more.where(f"rows > {SHORT}").select("key", "cid")
+        more = keep(keys.join(small_or_shuffled(lists.where("rows > 2").select("key", "rows")), "key").select("key", "rows", "cid"), "members")
         draw = F.struct(F.xxhash64("cid", F.pmod("key", F.lit(LEADERS)), F.lit(turn)).alias("h"), F.col("cid").alias("leader"))
-        leaders = long.groupBy("key").agg(F.min(draw).alias("d")).select("key", "d.leader")
-        stars = long.join(leaders, "key").where("cid <> leader").select(F.least("cid", "leader").alias("a"), F.greatest("cid", "leader").alias("b"))
-        found = lists.where("rows = 2").select("a", "b").union(pairs).union(stars).distinct()
-        new = _verified(docs, classes, heads, found)
-        links = new if links is None else links.unionByName(new)
-        roots = keep(components(links), "roots")
-        placed = long.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-        apart = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-        apart = keep(placed.join(apart, "key").select("key", "cid", "root"), "apart")
+        leaders = more.groupBy("key").agg(F.min(draw).alias("d")).select("key", "d.leader")
+        stars = more.join(leaders, "key").where("cid <> leader").select(F.least("cid", "leader").alias("a"), F.greatest("cid", "leader").alias("b"))
+        found = lists.where("rows = 2").select("a", "b").union(stars).distinct()
+        roots = _grown(roots, _verified(docs, classes, heads, found))
+        apart = _apart(more, roots)
+        short = apart.where(f"rows <= {SHORT}")
+        x, y = short.selectExpr("key", "cid AS a", "root AS ra"), short.selectExpr("key", "cid AS b", "root AS rb")
+        across = x.join(y, "key").where("a < b AND ra <> rb").select("a", "b").distinct()
+        roots = _grown(roots, _verified(docs, classes, heads, across))
+        apart = _apart(apart.where(f"rows > {SHORT}"), roots)
         if apart.isEmpty():
             break
         if turn == ROUNDS - 1:
@@ -216,7 +233,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             apart_bits = " + ".join(f"bit_count(ka[{i}] ^ kb[{i}])" for i in range(SKETCH // 64))
             near = f"a < b AND ra <> rb AND {100 + PERCENT} * ({apart_bits}) <= {100 - PERCENT} * (na + nb)"
             rest = x.join(y, "key").where(near).select("a", "b").distinct()
-            roots = keep(components(links.unionByName(_verified(docs, classes, heads, rest))), "roots")
+            roots = _grown(roots, _verified(docs, classes, heads, rest))
             break
         moved = keep(apart.select("cid").distinct().join(classes, "cid"), "moved")
         sets = keep(_sets_of(docs, moved), "moved-sets")
