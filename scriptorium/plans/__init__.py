@@ -1 +1,3 @@
-"""Registered queries and the SQL that says the same."""
+"""Queries over the given tables. Importing the package registers all of them."""
+
+from scriptorium.plans import queries, typesetting  # noqa: F401
