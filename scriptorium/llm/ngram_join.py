@@ -108,8 +108,11 @@ def _keys_of_heads(heads: DataFrame, light: int) -> DataFrame:
     return heads.select("cid", "n", "head").mapInArrow(run, "key long, cid long")
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cid, s (all shingles) of the wanted classes (cid, first, s1, s2), read from the text of a class's first document."""
+def _sets_of(docs: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
+    """cid, s (all shingles) of the wanted classes (cid, first, s1, s2), read from the text of a class's first document.
+
+    Only where a doc_id is repeated may a class come twice; only then the sets are shuffled to keep one.
+    """
 
     def run(batches):
         for b in batches:
@@ -122,10 +125,11 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     wanted = small_or_shuffled(wanted.select("cid", F.col("first").alias("doc_id"), "s1", "s2"))
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id")
-    return text.select("cid", "s1", "s2", "text").mapInArrow(run, "cid long, s array<long>").dropDuplicates(["cid"])
+    sets = text.select("cid", "s1", "s2", "text").mapInArrow(run, "cid long, s array<long>")
+    return sets.dropDuplicates(["cid"]) if repeated else sets
 
 
-def _verified(docs: DataFrame, classes: DataFrame, heads: DataFrame, pairs: DataFrame) -> DataFrame:
+def _verified(docs: DataFrame, classes: DataFrame, heads: DataFrame, pairs: DataFrame, repeated: bool) -> DataFrame:
     """Of candidate pairs (a, b: cid), those that are similar."""
 
     def run(batches):
@@ -153,7 +157,7 @@ def _verified(docs: DataFrame, classes: DataFrame, heads: DataFrame, pairs: Data
     near = keep(near.select("a", "b", "na", "nb", "ha", "hb").mapInArrow(run, "a long, b long, na long, nb long"), "pairs")
     ids = keep(near.select(F.col("a").alias("cid")).union(near.select("b")).distinct(), "ids")
     wanted = keep(classes.join(small_or_shuffled(ids), "cid").select("cid", "first", "s1", "s2"), "wanted")
-    sets = keep(_sets_of(docs, wanted), "sets")
+    sets = keep(_sets_of(docs, wanted, repeated), "sets")
     both = near.join(sets.withColumnsRenamed({"cid": "a", "s": "sa"}), "a").join(sets.withColumnsRenamed({"cid": "b", "s": "sb"}), "b")
     both = both.withColumn("common", F.size(F.array_intersect("sa", "sb")))
     return keep(both.where(f"100 * common >= {PERCENT} * (na + nb - common)").select("a", "b"), "links")
@@ -185,6 +189,7 @@ def _light(heads: DataFrame) -> int:
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
     rows = keep(signatures(docs), "signatures")
+    repeated = not rows.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
     classes = rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
     classes = keep(classes.where("first IS NOT NULL").withColumn("cid", F.monotonically_increasing_id()), "classes")
     heads = rows.where("n > 1").join(classes.select("s1", "s2", "cid", F.col("first").alias("doc_id")), ["s1", "s2", "doc_id"]).select("cid", "n", "head")
@@ -202,7 +207,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         leaders = long.groupBy("key").agg(F.min(draw).alias("d")).select("key", "d.leader")
         stars = long.join(leaders, "key").where("cid <> leader").select(F.least("cid", "leader").alias("a"), F.greatest("cid", "leader").alias("b"))
         found = lists.where("rows = 2").select("a", "b").union(pairs).union(stars).distinct()
-        new = _verified(docs, classes, heads, found)
+        new = _verified(docs, classes, heads, found, repeated)
         links = new if links is None else links.unionByName(new)
         roots = keep(components(links), "roots")
         placed = long.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
@@ -216,10 +221,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             apart_bits = " + ".join(f"bit_count(ka[{i}] ^ kb[{i}])" for i in range(SKETCH // 64))
             near = f"a < b AND ra <> rb AND {100 + PERCENT} * ({apart_bits}) <= {100 - PERCENT} * (na + nb)"
             rest = x.join(y, "key").where(near).select("a", "b").distinct()
-            roots = keep(components(links.unionByName(_verified(docs, classes, heads, rest))), "roots")
+            roots = keep(components(links.unionByName(_verified(docs, classes, heads, rest, repeated))), "roots")
             break
         moved = keep(apart.select("cid").distinct().join(classes, "cid"), "moved")
-        sets = keep(_sets_of(docs, moved), "moved-sets")
+        sets = keep(_sets_of(docs, moved, repeated), "moved-sets")
         keys = keep(_keys_again(sets, light), "keys")
     grouped = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     smallest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
