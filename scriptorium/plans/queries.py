@@ -14,12 +14,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str, *names: str):
-    """Register a function of the named tables as a query."""
+def query(name: str, sql: str | None, *names: str):
+    """Register a function of the named tables as a query, with SQL if that can say the same."""
 
     def put(f):
         QUERIES[name] = lambda spark, sf_dir: f(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in names))
-        SQL[name] = sql
+        if sql:
+            SQL[name] = sql
         return f
 
     return put

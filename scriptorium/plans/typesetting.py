@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scriptorium.functions import typeset as T
-from scriptorium.operators import findings, numbering, structure
+from scriptorium.operators import findings, numbering, reconcile, structure
 from scriptorium.plans.queries import query
 
 _LETTERS = "CASE WHEN {n} <= 26 THEN chr(CAST(96 + {n} AS INTEGER)) WHEN {n} <= 702 THEN chr(CAST(96 + ({n} - 1) // 26 AS INTEGER)) || chr(CAST(97 + ({n} - 1) % 26 AS INTEGER)) ELSE chr(CAST(97 + ({n} - 703) // 676 AS INTEGER)) || chr(CAST(97 + (({n} - 703) // 26) % 26 AS INTEGER)) || chr(CAST(97 + ({n} - 703) % 26 AS INTEGER)) END"
@@ -206,6 +206,12 @@ def _(labels):
     return structure.updated_baseline(labels.where("toxic = 1 OR doc_id % 3 = 0").select("doc_id"), labels.where("quality = 0").select("doc_id"), ids.where("doc_id % 2 = 0"), "doc_id")
 
 
+@query("reconcile", None, "conversations")
+def _(conversations):
+    chats = conversations.withColumn("same", reconcile.signature(F.col("role"), F.col("text")))
+    return reconcile.aligned(chats.where("turn % 3 <> 2"), chats.where("turn % 4 <> 1"), "conv_id", "turn", "same")
+
+
 for _kind, _test in (("new", "b.doc_id IS NULL"), ("fixed", "a.doc_id IS NULL"), ("known", "a.doc_id = b.doc_id")):
     _SQL = f"WITH a AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 0), b AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1) SELECT coalesce(a.doc_id, b.doc_id) AS doc_id FROM a FULL JOIN b ON a.doc_id = b.doc_id WHERE {_test}"
 

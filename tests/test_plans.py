@@ -24,7 +24,7 @@ def plain(rows, names):
     return sorted(tuple(cell(r[names.index(c)]) for c in sorted(names)) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(plans.QUERIES))
+@pytest.mark.parametrize("name", sorted(plans.SQL))
 def test_query(spark, duck, name):
     got = plans.QUERIES[name](spark, DATA)
     want = duck.sql(plans.SQL[name])
