@@ -227,3 +227,35 @@ def test_weak_labels(spark):
     held = [r for r in labels.where("doc_id % 2 = 1").collect()]
     assert -1 in got and None in got
     assert sum((got[r.doc_id].quality_score >= 0.5) == (r.quality == 1) for r in held) >= 0.85 * len(held)
+
+
+def spans_of(x, y, a, b):
+    """Brute force, for texts of distinct words edited in place: whether a span around x[a] = y[b] has fifty words and the similarity."""
+    s = np.array([u == v for u, v in zip(x, y)])
+    c = np.append(0, np.cumsum(s))
+    n = len(s)
+    return any(9 * (c[j + 1] - c[i]) >= 8 * (j - i + 1) for i in range(a + 1) for j in range(max(a, i + 45), n))
+
+
+def test_substring_spans_cross_edits():
+    from scriptorium.llm.substring_dedup import _aligned
+
+    def shingled(ws):
+        return np.array([hash(tuple(ws[i : i + 5])) & (1 << 62) - 1 for i in range(len(ws) - 4)], np.uint64)
+
+    found = 0
+    for n in (50, 55, 60, 65, 70, 100, 120):
+        inner = [f"p{i}" for i in range(n)]
+        doubles = [(u, v) for u in range(3, n, 17) for v in range(u + 1, n, 13)]
+        for edits in [(u,) for u in range(n)] + doubles:
+            other = [f"e{i}" if i in edits else w for i, w in enumerate(inner)]
+            x = shingled([f"a{i}" for i in range(20)] + inner + [f"b{i}" for i in range(20)])
+            y = shingled([f"c{i}" for i in range(20)] + other + [f"d{i}" for i in range(20)])
+            anchors = [int(p) for p in np.flatnonzero(x == y)]
+            for a in {anchors[0], anchors[len(anchors) // 2], anchors[-1]}:
+                got = list(_aligned(x, y, [(a, a)]))
+                assert bool(got) == spans_of(x, y, a, a), (n, edits, a)
+                found += bool(got)
+                for i, j, similarity in got:
+                    assert i <= a <= j and j - i >= 45 and similarity >= 0.8
+    assert found > 1000
