@@ -238,7 +238,7 @@ def spans_of(x, y, a, b):
 
 
 def test_substring_spans_cross_edits():
-    from scriptorium.llm.substring_dedup import _aligned
+    from scriptorium.llm.substring_dedup import _Partners
 
     def shingled(ws):
         return np.array([hash(tuple(ws[i : i + 5])) & (1 << 62) - 1 for i in range(len(ws) - 4)], np.uint64)
@@ -253,9 +253,19 @@ def test_substring_spans_cross_edits():
             y = shingled([f"c{i}" for i in range(20)] + other + [f"d{i}" for i in range(20)])
             anchors = [int(p) for p in np.flatnonzero(x == y)]
             for a in {anchors[0], anchors[len(anchors) // 2], anchors[-1]}:
-                got = list(_aligned(x, y, [(a, a)]))
+                got = _Partners(x, y).spans(a, a)
                 assert bool(got) == spans_of(x, y, a, a), (n, edits, a)
                 found += bool(got)
-                for i, j, similarity in got:
-                    assert i <= a <= j and j - i >= 45 and similarity >= 0.8
+                if got:
+                    assert got[0] <= a <= got[1] and got[1] - got[0] >= 45 and got[2] >= 0.8
     assert found > 1000
+
+
+def test_substring_dedup_reports_every_place(docs):
+    from scriptorium.llm.substring_dedup import passages
+
+    shared = text(60, 71)
+    parts = [text(30, 72), shared, text(90, 73), shared, text(40, 74), edited(shared, 60, 31), text(30, 75)]
+    rows = [(1, text(50, 76) + " " + shared + " " + text(50, 77)), (2, " ".join(parts))]
+    got = sorted((r.first_word, r.last_word) for r in passages(docs(rows)).collect())
+    assert got == [(30, 89), (180, 239), (280, 339)]
