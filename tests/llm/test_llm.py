@@ -269,3 +269,13 @@ def test_substring_dedup_reports_every_place(docs):
     rows = [(1, text(50, 76) + " " + shared + " " + text(50, 77)), (2, " ".join(parts))]
     got = sorted((r.first_word, r.last_word) for r in passages(docs(rows)).collect())
     assert got == [(30, 89), (180, 239), (280, 339)]
+
+
+def test_substring_dedup_pairs_beyond_leaders(docs):
+    from scriptorium.llm.substring_dedup import passages
+
+    line = text(44, 81, 10**6)
+    tails = [text(3, 800 + k, 10**6) for k in range(8)]
+    alone = [(i, text(30, 900 + i, 10**6) + " " + line + " " + text(30, 1000 + i, 10**6)) for i in range(60)]
+    twins = [(100 + i, text(30, 1100 + i, 10**6) + " " + line + " " + tails[i // 2] + " " + text(30, 1200 + i, 10**6)) for i in range(16)]
+    assert {(r.doc_id, r.source_id) for r in passages(docs(alone + twins)).collect()} == {(101 + i, 100 + i) for i in range(0, 16, 2)}
