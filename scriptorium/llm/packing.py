@@ -7,45 +7,95 @@ two for one between underfull bins wherever this adds to the squared fill, until
 than CLOSED are opened again and packed together with those of other groups, in fewer groups each round.
 
 Cases: null and empty text have the end id alone. Repeated rows are documents of their own. A null doc_id is kept.
-An empty table gives no rows.
+A very long text is tokenised by itself and cut into pieces. Pieces of equal length are told apart by an own id, so ties
+don't change the number of sequences. Other columns are kept, but for those named sequence_id and offset, which are
+replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm.shared import keep
 
 SIZE, END, GROUP, CLOSED = 2048, 0, 40_000, 0.98
-#: Exchanges tried in one group, and bins looked through for a two-for-one exchange.
-MOVES, LOOK = 20_000, 64
-#: Words whose ids a task remembers.
-WORDS = 800_000
+#: Documents for which a group tries to find a better place. This bounds the time of the search alone: every piece is packed, better or worse.
+MOVES = 20_000
+#: Words whose ids a worker remembers.
+WORDS = 600_000
 
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: Bytes of text that are tokenised at a time; one longer text is a part of its own.
+PART = 8 << 20
+#: Characters that, after a plain letter or digit, begin a token and end it with the word; texts whose words a tokenizer must not join.
+TAIL, PROBES = "#$%&*+,-./:;=?@^_~!", ("a b", "a  b\n", "\t. 1\x0bx ", " and the")
+_KNOWN: dict[str, dict[str, bytes]] = {}
 
 
-def word_ids(path: str):
-    """A function from a text to its ids as little-endian bytes, for tokenizers in which no token crosses white space."""
+def _tokenizer(path: str):
+    """The tokenizer, if it encodes every word by itself; others would get other ids here than from whole texts."""
     from tokenizers import Tokenizer
 
-    tokenizer, known = Tokenizer.from_file(path), {}
+    tokenizer = Tokenizer.from_file(path)
+    ids = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
+    if any(ids(p) != [i for w in p.split() for i in ids(w)] for p in PROBES):
+        raise ValueError(f"tokens of {path} hold white space; such a tokenizer can't be used word by word")
+    return tokenizer
+
+
+def _flat(values: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids one after the other, where those of each value begin, and how many they are."""
+    sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+    return np.frombuffer(b"".join(values), np.uint32), np.cumsum(sizes) - sizes, sizes
+
+
+def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The values numbered by order, one after the other."""
+    n = sizes[order]
+    return flat[np.repeat(starts[order] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
 
-    def encode(texts: list[str | None]) -> list[bytes]:
-        split = [_WORD.findall(t) if t else [] for t in texts]
-        new = list({w for ws in split for w in ws if w not in known})
-        for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-        out = [b"".join(map(known.__getitem__, ws)) for ws in split]
-        if len(known) > WORDS:  # frequent words came first and stay
-            for w in new:
-                del known[w]
-        return out
+
+def word_ids(path: str):
+    """A function from texts (no nulls) to all their ids and how many each has, for tokenizers in which no token crosses white space.
+
+    Distinct words of the texts are encoded once, without what punctuation ends them; a worker remembers WORDS of them.
+    """
+    tokenizer, known = _tokenizer(path), _KNOWN.setdefault(path, {"": b""})
+
+    def of_words(words: pa.Array) -> list[bytes]:
+        words = words.to_pylist()
+        new = [w for w in words if w not in known]
+        own = dict(zip(new, (array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(new, add_special_tokens=False))))
+        if len(known) < WORDS:
+            known.update(own)
+            own = known
+        return [own[w] if w in own else known[w] for w in words] if own is not known else list(map(known.__getitem__, words))
+
+    def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        split = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        words = split.flatten().dictionary_encode()
+        ends = split.offsets.to_numpy() - split.offsets[0].as_py()
+        unique = words.dictionary
+        plain = pc.invert(pc.match_substring(unique, "<"))  # control strings of the tokenizer begin so and keep their case
+        lower = pc.if_else(plain, pc.ascii_lower(unique), unique)
+        core = pc.ascii_rtrim(lower, characters=TAIL)
+        core = pc.if_else(pc.match_substring_regex(core, "[0-9a-zÀ-ÖØ-öø-ÿ]$"), core, lower)
+        cut = pc.not_equal(core, lower)
+        ended = pc.indices_nonzero(cut).to_numpy()
+        tails = [w[len(c) :] for w, c in zip(lower.filter(cut).to_pylist(), core.filter(cut).to_pylist())]
+        parts = pa.concat_arrays([core, pa.array(["", *tails], pa.large_string())]).dictionary_encode()
+        flat, starts, sizes = _flat(of_words(parts.dictionary))
+        own = parts.indices.to_numpy()
+        both = np.stack([own[: len(unique)], np.full(len(unique), own[len(unique)])], 1)
+        both[ended, 1] = own[len(unique) + 1 :]
+        order = both[words.indices.to_numpy()].ravel()
+        total = np.append(0, np.cumsum(sizes[order]))
+        return _gathered(flat, starts, sizes, order), np.diff(total[2 * ends])
 
     return encode
 
@@ -57,18 +107,27 @@ def tokenized(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END)
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode, last = word_ids(tokenizer), np.array([end], "<u4").tobytes()
+        encode = word_ids(tokenizer)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                rows = [[], [], [], [], []]
-                for doc, ids in zip(part.column("doc_id").to_pylist(), encode(part.column("text").to_pylist())):
-                    ids += last
-                    for piece, at in enumerate(range(0, len(ids), 4 * size)):
-                        one = ids[at : at + 4 * size]
-                        for column, value in zip(rows, (doc, piece, at // 4, len(one) // 4, one)):
-                            column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "piece", "start", "length", "ids"])
+            text = pc.fill_null(batch.column("text"), "")
+            weight, lo = np.cumsum(pc.binary_length(text).to_numpy()), 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(weight, (weight[lo - 1] if lo else 0) + PART, "right")))
+                ids, counts = encode(text.slice(lo, hi - lo))
+                ids = np.insert(ids, np.cumsum(counts), end).astype("<u4") if len(ids) else np.full(hi - lo, end, "<u4")
+                counts = counts + 1
+                pieces = -(-counts // size)
+                doc = np.repeat(np.arange(hi - lo), pieces)
+                piece = np.arange(len(doc)) - (np.cumsum(pieces) - pieces)[doc]
+                length = np.minimum(counts[doc] - piece * size, size)
+                cuts = np.append(0, np.cumsum(length))
+                for a in range(0, len(doc), 4096):
+                    b = min(a + 4096, len(doc))
+                    data = pa.py_buffer(ids[cuts[a] : cuts[b]].tobytes())
+                    offsets = pa.py_buffer((4 * (cuts[a : b + 1] - cuts[a])).astype(np.int32).tobytes())
+                    binary = pa.Array.from_buffers(pa.binary(), b - a, [None, offsets, data])
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo).take(pa.array(doc[a:b])), pa.array(piece[a:b].astype(np.int32)), pa.array(piece[a:b].astype(np.int64) * size), pa.array(length[a:b].astype(np.int64)), binary], ["doc_id", "piece", "start", "length", "ids"])
+                lo = hi
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
@@ -97,6 +156,21 @@ def best_fit(lengths: np.ndarray, size: int = SIZE) -> list[list[int]]:
     return bins
 
 
+def _two_for_one(n: int, docs: np.ndarray, lengths: np.ndarray) -> tuple[int, int, list[int]] | None:
+    """Of all pairs of documents of one bin, in docs (document, bin, room; a bin's rows together), that which n replaces with the most gain."""
+    found = None
+    for apart in range(1, len(docs)):
+        same = np.flatnonzero(docs[apart:, 1] == docs[:-apart, 1])
+        if not len(same):
+            break
+        gain = n - lengths[docs[same, 0]] - lengths[docs[same + apart, 0]]
+        gain[gain > docs[same, 2]] = 0
+        best = int(np.argmax(gain))
+        if gain[best] > 0 and (not found or gain[best] > found[0]):
+            found = int(gain[best]), int(docs[same[best], 1]), [int(docs[same[best], 0]), int(docs[same[best] + apart, 0])]
+    return found
+
+
 def local_search(bins: list[list[int]], lengths: np.ndarray, size: int = SIZE, moves: int = MOVES) -> list[list[int]]:
     """Fewer or fuller bins, by moves and exchanges that add to the squared fill; bins that empty are left out."""
     fill = np.array([int(lengths[b].sum()) for b in bins], np.int64)
@@ -124,14 +198,7 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, size: int = SIZE, m
                         best = ok[np.argmax(gain[ok])]
                         to, back = int(docs[best, 1]), [int(docs[best, 0])]
                     else:
-                        found = None
-                        for k in sorted(others, key=lambda k: fill[k])[:LOOK]:
-                            own = sorted(bins[k], key=lambda i: lengths[i])
-                            for a in range(len(own)):
-                                for b in range(a + 1, len(own)):
-                                    more = n - int(lengths[own[a]] + lengths[own[b]])
-                                    if 0 < more <= size - fill[k] and (not found or more > found[0]):
-                                        found = more, k, [own[a], own[b]]
+                        found = _two_for_one(n, docs, lengths)
                         if not found:
                             continue
                         _, to, back = found
@@ -146,36 +213,36 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, size: int = SIZE, m
 
 
 def packed(pieces: DataFrame, size: int = SIZE) -> DataFrame:
-    """pieces (with length, and any columns) and two more: sequence_id and offset."""
-    pieces = keep(pieces.withColumn("own_id", F.monotonically_increasing_id()), "pieces")
+    """pieces (with length, and any columns) and two more: sequence_id and offset, in place of columns that had these names."""
+    pieces = keep(pieces.drop("sequence_id", "offset").withColumn("_own_id", F.monotonically_increasing_id()), "pieces")
     whole = pieces.where(F.col("length") >= size)
-    done = [whole.withColumn("sequence_id", F.col("own_id")).withColumn("offset", F.lit(0).cast("long"))]
+    done = [whole.withColumn("sequence_id", F.col("_own_id")).withColumn("offset", F.lit(0).cast("long"))]
     rest, groups, turn, final = pieces.where(F.col("length") < size), None, 0, False
-    schema = pieces.schema.simpleString()[7:-1].replace(":", " ") + ", sequence_id bigint, offset bigint, again boolean"
+    schema = pieces.schema.simpleString()[7:-1].replace(":", " ") + ", sequence_id bigint, offset bigint, _again boolean"
     while not final and (count := rest.count()):
         before, groups, turn = groups, -(-count // GROUP), turn + 1
         final = groups == 1 or before is not None and groups >= before
-        dealt = rest.withColumn("deal", F.pmod(F.xxhash64("own_id", F.lit(turn)), F.lit(groups)))
-        got = keep(dealt.groupBy("deal").applyInArrow(_packer(size, -(turn << 56), final), schema), "packed")
-        done.append(got.where("NOT again").drop("again"))
-        rest = got.where("again").drop("again", "sequence_id", "offset")
+        dealt = rest.withColumn("_deal", F.pmod(F.xxhash64("_own_id", F.lit(turn)), F.lit(groups)))
+        got = keep(dealt.groupBy("_deal").applyInArrow(_packer(size, -(turn << 56), final), schema), "packed")
+        done.append(got.where("NOT _again").drop("_again"))
+        rest = got.where("_again").drop("_again", "sequence_id", "offset")
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.drop("own_id")
+    return out.drop("_own_id")
 
 
 def _packer(size: int, head: int, final: bool):
     def run(table: pa.Table) -> pa.Table:
-        table = table.drop_columns(["deal"]).sort_by("own_id")  # the same bins in whatever order the shuffle brings the rows
-        lengths, own = table.column("length").to_numpy(), table.column("own_id").to_numpy()
+        table = table.drop_columns(["_deal"]).sort_by("_own_id")  # the same bins in whatever order the shuffle brings the rows
+        lengths, own = table.column("length").to_numpy(), table.column("_own_id").to_numpy()
         sequence, offset, again = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64), np.zeros(len(own), bool)
         for b in local_search(best_fit(lengths, size), lengths, size):
             ends = np.cumsum(lengths[b])
             sequence[b] = head - own[min(b)] - 1
             offset[b] = ends - lengths[b]
             again[b] = not final and ends[-1] < CLOSED * size
-        for name, values in (("sequence_id", sequence), ("offset", offset), ("again", again)):
+        for name, values in (("sequence_id", sequence), ("offset", offset), ("_again", again)):
             table = table.append_column(name, pa.array(values))
         return table
 
