@@ -2,25 +2,30 @@
 
 Method, after the size-aware heavy-light overlap join:
 
-1. Texts with equal sets are one class, so copies are never paired.
-2. Sets are ordered by hash. Similar sets of n shingles share a shingle among their first p = n - ceil(0.8 n) + 1, and
-   two among their first p + 1. A light (small) set enumerates all two-element subsets of its first p + 1; a heavy
-   (large) one is put on the inverted lists of its first p. The boundary is the size up to which a set's subsets cost
-   no more than its inverted lists; sets that may pair with both kinds are put on both.
-3. Lists of up to SHORT classes give all their pairs. On a longer one, each class is paired with a few leaders only; if
-   the list then falls into one component, no pair of it can change the result. Classes on other long lists (of
-   common lines, or loose groups of near copies) go to a further round in which the shingles that are common among
-   them come last in the order, so that they meet on rarer ones, and on a long list under other leaders. What is left after the last round gives its pairs
-   across components, but for those whose parity sketches differ in more bits than similar sets may in shingles.
-4. Of each pair, the heads (the first p + 1 shingles of either set) are compared first: up to the smaller of their ends
-   both sets are known, and a pair that differs there in more shingles than similar sets may differ in all is no link.
-   Most chance meetings end here. The rest is verified on whole sets before it links.
+1. Texts with equal sets are one class (told apart by 64 bits), so copies are never paired.
+2. Sets are ordered: shingles that recur in many classes come last, in levels, the others by hash. Tasks count shingles
+   that recur in what they read; the levels are bit tables of bounded size. Any order is exact, a good one is short of
+   chance meetings. Similar sets of n shingles share a shingle among their first p = n - ceil(0.8 n) + 1, and two among
+   their first p + 1. A light (small) set enumerates all two-element subsets of its first p + 1; a heavy (large) one is
+   put on the inverted lists of its first p. The boundary is the size up to which a set's subsets cost no more than its
+   inverted lists; sets that may pair with both kinds are put on both.
+3. Keys are counted alone; only those that occur twice are built again together with their classes.
+4. If the first shingle that two sets share is a frequent one, they share no rare one: all rare ones of both are then
+   differences. So on lists of frequent shingles only classes meet that have few rare ones between them.
+5. Lists of up to SHORT classes give all their pairs. On a longer one, each class is paired with a few leaders only; if
+   the list then falls into one component, no pair of it can change the result. Classes on other long lists go to a
+   further round in which the order is by their own exact counts, so that they meet on rarer ones, and under other
+   leaders. What is left after the last round gives its pairs across components.
+6. Parity sketches, a fraction of a set's size, differ in no more bits than the sets in shingles; pairs that differ in
+   more than similar sets may are no links. The others are verified on whole sets.
 
 No cap drops a pair: the leaders and the order decide only how pairs are found.
 
 Cases: null text, empty text and text without words give an empty set, which links with nothing. Fewer than five words
 make one shingle. Null doc_id: the row gets the component of the documents with the same set, or null. Repeated rows:
-each is returned, with the same component. Other columns are ignored. An empty table gives no rows.
+each is returned, with the same component; rows of one doc_id with different texts are classes of their own, and each
+row gets its class's component. Very long texts are taken whole, one at a time. Ties in the order fall to the hash.
+Other columns are ignored, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,18 +36,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm import words as W
-from scriptorium.llm.shared import components, keep, small_or_shuffled
+from scriptorium.llm.shared import bit_table, components, has_bit, keep, small_or_shuffled
 
 K, PERCENT = 5, 80
 SHORT = 64
 LEADERS = 8
-ROUNDS = 3
-#: Bits of a sketch; each is the parity of the shingles that fall on it.
+ROUNDS = 2
+#: Counts above which shingles come later in the order.
+LEVELS = (SHORT, 16 * SHORT)
+#: Shingles that a task counts at a time.
+WINDOW = 1 << 22
+#: Bits of a sketch, at least.
 SKETCH = 1024
-#: Sizes up to this may count as light; the cost of inverted lists is measured on them.
+#: Sizes on which the cost of inverted lists is measured, and up to which the boundary may lie.
 MOST_LIGHT = 64
-#: So many shingles of long lists, at most, are sent to the tasks; others keep their place in the order.
-MOST_LAST = 1_000_000
 
 
 def prefix_length(n: int) -> int:
@@ -50,206 +57,269 @@ def prefix_length(n: int) -> int:
 
 
 def _sets(batch: pa.RecordBatch, name: str):
-    """(row, sorted distinct shingle hashes as int64) of every row."""
+    """Sorted distinct shingle hashes, as int64, of every row."""
     data, offsets = W.texts(batch.column(name))
     for lo, hi in W.chunks(offsets):
         part = data[offsets[lo] : offsets[hi]]
         _, _, hashes, at = W.words(part, offsets[lo : hi + 1] - offsets[lo])
         for i in range(hi - lo):
-            yield lo + i, np.unique(W.shingles(hashes[at[i] : at[i + 1]], K).view(np.int64))
+            yield np.unique(W.shingles(hashes[at[i] : at[i + 1]], K).view(np.int64))
+
+
+def _class(s: np.ndarray) -> int:
+    """64 bits that stand for a set."""
+    u = s.view(np.uint64)
+    with np.errstate(over="ignore"):
+        both = np.sum(u, dtype=np.uint64) ^ W.mix(np.sum(W.mix(u ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64))
+    return int(both.view(np.int64))
 
 
 def _lists(items: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, items)]).astype(np.int32)
-    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate(items) if items else np.zeros(0, np.int64)))
+    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate(items) if items else np.zeros(0, np.int64), pa.int64()))
+
+
+def _plain(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), s1 and s2 (128 bits that stand for the set), head (its first shingles in hash order)."""
+    """doc_id, n (set size), cid (class), head (of small sets, the first shingles by hash); and rows with n null, whose head and times are shingles that recur in a part of the table."""
+    schema = "doc_id long, n long, cid long, head array<long>, times array<long>"
+
+    def often(held: list[np.ndarray]) -> pa.RecordBatch:
+        tok, times = np.unique(np.concatenate(held), return_counts=True)
+        tok, times = tok[times > 1], times[times > 1]
+        cuts = range(0, len(tok), 1 << 16)
+        none = pa.nulls(len(cuts), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, none, _lists([tok[c : c + (1 << 16)] for c in cuts]), _lists([times[c : c + (1 << 16)] for c in cuts])], ["doc_id", "n", "cid", "head", "times"])
 
     def run(batches):
+        held, size, seen = [], 0, set()
         for batch in batches:
-            n, s1, s2, head = [], [], [], []
-            for _, s in _sets(batch, "text"):
-                u = s.view(np.uint64)
+            n, cid, head = [], [], []
+            for s in _sets(batch, "text"):
                 n.append(len(s))
-                s1.append(int(np.sum(u, dtype=np.uint64).view(np.int64)) if len(s) else 0)
-                s2.append(int(np.sum(W.mix(u ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64).view(np.int64)) if len(s) else 0)
-                head.append(s[: prefix_length(len(s)) + 1] if len(s) > 1 else s[:0])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), _lists(head)], ["doc_id", "n", "s1", "s2", "head"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, s1 long, s2 long, head array<long>")
-
-
-def _keys(cid: np.ndarray, n: np.ndarray, heads: list[np.ndarray], light: int) -> pa.RecordBatch:
-    """The keys on which classes meet: a shingle, or two as one hash."""
-    keys, ids = [], []
-    for c, size, head in zip(cid.tolist(), n.tolist(), heads):
-        if size <= light:
-            i, j = np.triu_indices(len(head), 1)
-            a = head.view(np.uint64)
-            keys.append(W.mix(a[i] * np.uint64(0xA0761D6478BD642F) ^ a[j]).view(np.int64))
-            ids.append(np.full(len(i), c))
-        if 100 * size >= PERCENT * (light + 1):  # may pair with a heavy one, or is one
-            head = head[: prefix_length(size)]
-            keys.append(head)
-            ids.append(np.full(len(head), c))
-    join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
-    return pa.RecordBatch.from_arrays([join(keys), join(ids)], ["key", "cid"])
-
-
-def _keys_of_heads(heads: DataFrame, light: int) -> DataFrame:
-    def run(batches):
-        for b in batches:
-            flat, ends = b.column("head").flatten().to_numpy(), b.column("head").offsets.to_numpy()
-            ends = ends - ends[0]
-            yield _keys(b.column("cid").to_numpy(), b.column("n").to_numpy(), [flat[x:y] for x, y in zip(ends[:-1], ends[1:])], light)
+                cid.append(_class(s))
+                head.append(s[: prefix_length(len(s))] if 1 < len(s) <= MOST_LIGHT else s[:0])
+                if len(s) > 1 and cid[-1] not in seen:
+                    seen.add(cid[-1])
+                    held.append(s)
+                    size += len(s)
+                if size > WINDOW:
+                    yield often(held)
+                    held, size, seen = [], 0, set()
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), _lists(head), pa.nulls(len(n), pa.list_(pa.int64()))], ["doc_id", "n", "cid", "head", "times"])
+        if held:
+            yield often(held)
+
+    return _plain(docs).mapInArrow(run, schema)
+
+
+def _ordered(s: np.ndarray, levels: list[np.ndarray]) -> tuple[np.ndarray, int]:
+    """A set in the order, as far as its first p + 1, and how many of all its shingles are in no level."""
+    level = np.zeros(len(s), np.int8)
+    for bits in levels:
+        level += has_bit(bits, s)
+    n = prefix_length(len(s)) + 1
+    rare = int(np.count_nonzero(level == 0))
+    if rare == len(s):
+        return s[:n], rare
+    return s[np.argsort(level, kind="stable")[:n]], rare
+
+
+def _keys(docs: DataFrame, levels, light: int, repeated=None) -> DataFrame:
+    """key (a shingle, or two as one hash), cid, n, rare (-1 where a rare shingle is in the key) of docs; only keys in the bit table repeated, if given.
+
+    Classes that a task has just seen give no keys again.
+    """
 
-    return heads.select("cid", "n", "head").mapInArrow(run, "key long, cid long")
+    def run(batches):
+        tables, wanted = levels.value, repeated.value if repeated else None
+        seen: set[int] = set()
+        for batch in batches:
+            keys, meta, sizes = [], [], []
+            for s in _sets(batch, "text"):
+                n = len(s)
+                if n < 2 or (cid := _class(s)) in seen:
+                    continue
+                seen.add(cid)
+                head, rare = _ordered(s, tables)
+                if n <= light:
+                    i, j = np.triu_indices(len(head), 1)
+                    a = head.view(np.uint64)
+                    low, high = np.minimum(a[i], a[j]), np.maximum(a[i], a[j])
+                    own = [(W.mix(low * np.uint64(0xA0761D6478BD642F) ^ high).view(np.int64), i >= rare)]
+                else:
+                    own = []
+                if 100 * n >= PERCENT * (light + 1):  # may pair with a heavy one, or is one
+                    p = prefix_length(n)
+                    own.append((head[:p], np.arange(p) >= rare))
+                for key, common in own:
+                    if 4 * rare > n:  # too many rare ones to be similar without sharing any
+                        key, common = key[~common], common[~common]
+                    if wanted is not None:
+                        on = has_bit(wanted, key)
+                        key, common = key[on], common[on]
+                    keys.append(key)
+                    meta.append(np.where(common, rare, -1))
+                    sizes.append((cid, n, len(key)))
+            if keys:
+                cid, n, times = np.array(sizes, np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(cid, times)), pa.array(np.repeat(n, times).astype(np.int32)), pa.array(np.concatenate(meta).astype(np.int32))], ["key", "cid", "n", "rare"])
+            if len(seen) > 1 << 18:
+                seen.clear()
+
+    return docs.select("text").mapInArrow(run, "key long, cid long, n int, rare int")
+
+
+def _of_classes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, text, cid of the first documents of the wanted classes (cid, first); of a repeated doc_id, all its texts."""
+    wanted = small_or_shuffled(wanted.select("cid", F.col("first").alias("doc_id")))
+    return _plain(docs).join(wanted, "doc_id")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
-    """cid, s (all shingles) of the wanted classes (cid, first, s1, s2), read from the text of a class's first document.
+    """cid, s (all shingles) of the wanted classes (cid, first), read from the text of a class's first document.
 
     Only where a doc_id is repeated may a class come twice; only then the sets are shuffled to keep one.
     """
 
     def run(batches):
         for b in batches:
-            s = [x for _, x in _sets(b, "text")]
-            u = [x.view(np.uint64) for x in s]
-            s1 = [int(np.sum(x, dtype=np.uint64).view(np.int64)) for x in u]
-            s2 = [int(np.sum(W.mix(x ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64).view(np.int64)) for x in u]
-            same = np.flatnonzero((np.array(s1, np.int64) == b.column("s1").to_numpy()) & (np.array(s2, np.int64) == b.column("s2").to_numpy()))
-            yield pa.RecordBatch.from_arrays([b.column("cid").take(pa.array(same)), _lists([s[i] for i in same])], ["cid", "s"])
-
-    wanted = small_or_shuffled(wanted.select("cid", F.col("first").alias("doc_id"), "s1", "s2"))
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id")
-    sets = text.select("cid", "s1", "s2", "text").mapInArrow(run, "cid long, s array<long>")
+            s = list(_sets(b, "text"))
+            same = np.flatnonzero(np.array([_class(x) for x in s], np.int64) == b.column("cid").to_numpy())
+            for lo in range(0, len(same), 256):
+                part = same[lo : lo + 256]
+                yield pa.RecordBatch.from_arrays([b.column("cid").take(pa.array(part)), _lists([s[i] for i in part])], ["cid", "s"])
+
+    sets = _of_classes(docs, wanted).select("cid", "text").mapInArrow(run, "cid long, s array<long>")
     return sets.dropDuplicates(["cid"]) if repeated else sets
 
 
-def _verified(docs: DataFrame, classes: DataFrame, heads: DataFrame, pairs: DataFrame, repeated: bool) -> DataFrame:
-    """Of candidate pairs (a, b: cid), those that are similar."""
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, repeated: bool) -> DataFrame:
+    """Of candidate pairs (a, b: cid), similar ones that join the same classes as all similar ones do.
+
+    Sketches, which are small, rule out most others. Of the rest each class is compared with its smallest partner; pairs
+    of classes that are similar to the same one by then are joined already, and all other pairs are compared too.
+    """
+
+    def compared(near):
+        near = keep(near, "compared")
+        sets = keep(_sets_of(docs, _ends(near, classes), repeated), "sets")
+        both = small_or_shuffled(near).join(sets.select(F.col("cid").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("cid").alias("a"), F.col("s").alias("sa")), "a")
+        both = both.select("a", "b", (F.size("sa") + F.size("sb")).alias("total"), F.size(F.array_intersect("sa", "sb")).alias("common"))
+        return keep(both.where(f"100 * common >= {PERCENT} * (total - common)").select("a", "b"), "links")
+
+    pairs = keep(pairs.distinct(), "pairs")
+    near = keep(_near(pairs, keep(_sketches(_sets_of(docs, _ends(pairs, classes), repeated)), "sketches")), "near")
+    first = compared(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    named = lambda x: first.select(F.col("b").alias(x), F.col("a").alias(f"of_{x}"))
+    rest = near.join(named("a"), "a", "left").join(named("b"), "b", "left").where("coalesce(of_a, a) <> coalesce(of_b, b)")
+    return first.unionByName(compared(rest.select("a", "b")))
+
+
+def _near(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs whose sketches differ in no more bits than similar sets may in shingles; the larger one is folded first."""
 
     def run(batches):
         for batch in batches:
-            keep_ = np.zeros(batch.num_rows, bool)
-            sides = []
-            for c in ("ha", "hb"):
-                column = batch.column(c)
-                ends = column.offsets.to_numpy()
-                sides.append((column.flatten().to_numpy(), ends - ends[0]))
-            (fa, ea), (fb, eb) = sides
+            ok = np.zeros(batch.num_rows, bool)
             most = (100 - PERCENT) * (batch.column("na").to_numpy() + batch.column("nb").to_numpy())
-            for i in range(batch.num_rows):
-                x, y = fa[ea[i] : ea[i + 1]], fb[eb[i] : eb[i + 1]]
-                x, y = x[: np.searchsorted(x, y[-1], "right")], y[: np.searchsorted(y, x[-1], "right")]
-                apart = len(x) + len(y) - 2 * len(np.intersect1d(x, y, assume_unique=True))
-                keep_[i] = (100 + PERCENT) * apart <= most[i]
-            yield batch.select(["a", "b", "na", "nb"]).filter(pa.array(keep_))
-
-    sizes = small_or_shuffled(classes.select("cid", "n"))
-    near = pairs.join(sizes.withColumnsRenamed({"cid": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"cid": "b", "n": "nb"}), "b")
-    near = near.where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
-    head = heads.select("cid", "head")
-    near = near.join(head.withColumnsRenamed({"cid": "a", "head": "ha"}), "a").join(head.withColumnsRenamed({"cid": "b", "head": "hb"}), "b")
-    near = keep(near.select("a", "b", "na", "nb", "ha", "hb").mapInArrow(run, "a long, b long, na long, nb long"), "pairs")
-    ids = keep(near.select(F.col("a").alias("cid")).union(near.select("b")).distinct(), "ids")
-    wanted = keep(classes.join(small_or_shuffled(ids), "cid").select("cid", "first", "s1", "s2"), "wanted")
-    sets = keep(_sets_of(docs, wanted, repeated), "sets")
-    both = near.join(sets.withColumnsRenamed({"cid": "a", "s": "sa"}), "a").join(sets.withColumnsRenamed({"cid": "b", "s": "sb"}), "b")
-    both = both.withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    return keep(both.where(f"100 * common >= {PERCENT} * (na + nb - common)").select("a", "b"), "links")
+            for i, (x, y) in enumerate(zip(batch.column("ka"), batch.column("kb"))):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                while len(x) != len(y):
+                    x, y = (x, y) if len(x) > len(y) else (y, x)
+                    x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+                ok[i] = (100 + PERCENT) * int(np.bitwise_count(x ^ y).sum()) <= most[i]
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+    marked = pairs.join(sketches.withColumnsRenamed({"cid": "a", "n": "na", "k": "ka"}), "a").join(sketches.withColumnsRenamed({"cid": "b", "n": "nb", "k": "kb"}), "b")
+    return marked.where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").mapInArrow(run, "a long, b long")
+
+
+def _ends(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The classes (cid, first) in pairs."""
+    ids = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+    return keep(classes.join(ids, "cid").select("cid", "first"), "ends")
 
 
 def _sketches(sets: DataFrame) -> DataFrame:
-    """cid, n, k of sets: two sketches differ in no more bits than the sets in shingles."""
+    """cid, n, k of sets: k has a bit for the parity of the shingles that fall on it, two or more bits a shingle."""
 
     def run(batches):
         for b in batches:
             n, k = [], []
             for s in b.column("s"):
                 s = s.values.to_numpy()
+                bits = max(SKETCH, 1 << int(2 * len(s) - 1).bit_length())
                 n.append(len(s))
-                k.append(np.packbits(np.bincount(s & (SKETCH - 1), minlength=SKETCH).astype(np.uint8) & 1).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array(n, pa.int64()), _lists(k)], ["cid", "n", "k"])
+                k.append(np.packbits(np.bincount(s & (bits - 1), minlength=bits).astype(np.uint8) & 1).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array(n, pa.int64()), pa.array(k, pa.binary())], ["cid", "n", "k"])
 
-    return sets.mapInArrow(run, "cid long, n long, k array<long>")
+    return sets.mapInArrow(run, "cid long, n long, k binary")
 
 
-def _light(heads: DataFrame) -> int:
+def _light(small: DataFrame) -> int:
     """The boundary: the largest size whose subsets are no more rows than its inverted lists hold entries to scan."""
-    small = heads.where(F.col("n").between(2, MOST_LIGHT)).select(F.explode(F.expr(f"slice(head, 1, int(n - ceil({PERCENT} * n / 100) + 1))")).alias("tok"))
-    got = small.groupBy("tok").count().agg(F.sum(F.col("count") * F.col("count")).alias("scan"), F.sum("count").alias("rows")).first()
+    lists = small.select(F.explode("head").alias("tok")).groupBy("tok").count()
+    got = lists.agg(F.sum(F.col("count") * F.col("count")).alias("scan"), F.sum("count").alias("rows")).first()
     partners = (got["scan"] / got["rows"]) if got["rows"] else 0
     return max([n for n in range(2, MOST_LIGHT + 1) if (prefix_length(n) + 1) / 2 <= 1 + partners], default=1)
 
 
+def _levels(counts: DataFrame):
+    """Bit tables of the shingles (tok, times) above each of LEVELS, broadcast."""
+    counts = keep(counts.where(F.col("times") > LEVELS[0]), "often")
+    return counts.sparkSession.sparkContext.broadcast([bit_table(counts.where(F.col("times") > level), "tok") for level in LEVELS])
+
+
+#: Whether two classes on a list may be similar: by size, and on a list of frequent shingles by what is rare in them.
+_MAY = f"a < b AND 100 * least(na, nb) >= {PERCENT} * greatest(na, nb) AND (ra < 0 OR {100 + PERCENT} * (ra + rb) <= {100 - PERCENT} * (na + nb))"
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
     rows = keep(signatures(docs), "signatures")
+    recurring = rows.where("n IS NULL").select(F.explode(F.arrays_zip("head", "times")).alias("x")).groupBy("x.head").agg(F.sum("x.times").alias("times")).withColumnRenamed("head", "tok")
+    rows = rows.where("n IS NOT NULL")
     repeated = not rows.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
-    classes = rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
-    classes = keep(classes.where("first IS NOT NULL").withColumn("cid", F.monotonically_increasing_id()), "classes")
-    heads = rows.where("n > 1").join(classes.select("s1", "s2", "cid", F.col("first").alias("doc_id")), ["s1", "s2", "doc_id"]).select("cid", "n", "head")
-    heads = keep(heads.dropDuplicates(["cid"]), "heads")
-    light = _light(heads)
-    keys, links = _keys_of_heads(heads, light), None
+    classes = keep(rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("first")).where("first IS NOT NULL"), "classes")
+    light = _light(rows.where(f"n BETWEEN 2 AND {MOST_LIGHT}"))
+    read, levels, links = _plain(docs).where("doc_id IS NOT NULL"), _levels(recurring), None
     for turn in range(ROUNDS):
-        lists = keep(keys.groupBy("key").agg(F.count("*").alias("rows"), F.min("cid").alias("a"), F.max("cid").alias("b")).where("rows > 1 AND a < b"), "lists")
-        more = keys.join(small_or_shuffled(lists.where("rows > 2").select("key", "rows")), "key").select("key", "rows", "cid")
-        more = keep(more, "members")
-        short = more.where(f"rows <= {SHORT}").select("key", "cid")
-        pairs = short.select("key", F.col("cid").alias("a")).join(short.select("key", F.col("cid").alias("b")), "key").where("a < b").select("a", "b")
-        long = more.where(f"rows > {SHORT}").select("key", "cid")
-        draw = F.struct(F.xxhash64("cid", F.pmod("key", F.lit(LEADERS)), F.lit(turn)).alias("h"), F.col("cid").alias("leader"))
-        leaders = long.groupBy("key").agg(F.min(draw).alias("d")).select("key", "d.leader")
-        stars = long.join(leaders, "key").where("cid <> leader").select(F.least("cid", "leader").alias("a"), F.greatest("cid", "leader").alias("b"))
-        found = lists.where("rows = 2").select("a", "b").union(pairs).union(stars).distinct()
-        new = _verified(docs, classes, heads, found, repeated)
+        twice = keep(_keys(read, levels, light).groupBy("key").count().where("count > 1").select("key"), "twice")
+        wanted = docs.sparkSession.sparkContext.broadcast(bit_table(twice, "key"))
+        members = keep(_keys(read, levels, light, wanted), "members")
+        lists = members.groupBy("key").agg(F.count("*").alias("rows"), F.min("cid").alias("least"), F.max("cid").alias("most")).where("least < most")
+        lists = keep(lists.select("key", "rows"), "lists")
+        members = members.join(small_or_shuffled(lists), "key")
+        side = lambda x: F.struct(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("rare").alias(f"r{x}")).alias(x)
+        flat = lambda df: df.select("key", "x.*", "y.*").where(_MAY).select("a", "b").distinct()
+        short, long = members.where(f"rows <= {SHORT}"), keep(members.where(f"rows > {SHORT}").drop("rows"), "long")
+        pairs = flat(short.select("key", side("a").alias("x")).join(short.select("key", side("b").alias("y")), "key"))
+        draw = F.struct(F.xxhash64("cid", F.pmod("key", F.lit(LEADERS)), F.lit(turn)).alias("h"), F.col("cid").alias("leader"), F.col("n").alias("nl"), F.col("rare").alias("rl"))
+        led = f"rare < 0 OR {100 + PERCENT} * rare <= {100 - PERCENT} * n"
+        leaders = long.where(led).groupBy("key").agg(F.min(draw).alias("d")).select("key", "d.leader", "d.nl", "d.rl")
+        stars = long.join(leaders, "key").where("cid <> leader").selectExpr("least(cid, leader) AS a", "greatest(cid, leader) AS b", "n AS na", "nl AS nb", "rare AS ra", "rl AS rb")
+        new = _verified(docs, classes, pairs.union(stars.where(_MAY).select("a", "b")), repeated)
         links = new if links is None else links.unionByName(new)
         roots = keep(components(links), "roots")
         placed = long.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-        apart = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-        apart = keep(placed.join(apart, "key").select("key", "cid", "root"), "apart")
+        apart = placed.join(leaders.select("key"), "key", "left_semi").groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
+        apart = keep(placed.join(apart, "key"), "apart")
         if apart.isEmpty():
             break
+        moved = keep(apart.select("cid").distinct().join(classes, "cid"), "moved")
         if turn == ROUNDS - 1:
-            marked = apart.join(_sketches(sets), "cid")
-            x, y = marked.selectExpr("key", "cid AS a", "root AS ra", "n AS na", "k AS ka"), marked.selectExpr("key", "cid AS b", "root AS rb", "n AS nb", "k AS kb")
-            apart_bits = " + ".join(f"bit_count(ka[{i}] ^ kb[{i}])" for i in range(SKETCH // 64))
-            near = f"a < b AND ra <> rb AND {100 + PERCENT} * ({apart_bits}) <= {100 - PERCENT} * (na + nb)"
-            rest = x.join(y, "key").where(near).select("a", "b").distinct()
-            roots = keep(components(links.unionByName(_verified(docs, classes, heads, rest, repeated))), "roots")
+            x, y = (apart.selectExpr("key", f"cid AS {s}", f"root AS root_{s}", f"n AS n{s}", f"rare AS r{s}") for s in "ab")
+            rest = x.join(y, "key").where(f"{_MAY} AND root_a <> root_b").select("a", "b")
+            roots = keep(components(links.unionByName(_verified(docs, classes, rest, repeated))), "roots")
             break
-        moved = keep(apart.select("cid").distinct().join(classes, "cid"), "moved")
-        sets = keep(_sets_of(docs, moved, repeated), "moved-sets")
-        keys = keep(_keys_again(sets, light), "keys")
+        levels = _levels(_sets_of(docs, moved, repeated).select(F.explode("s").alias("tok")).groupBy("tok").agg(F.count("*").alias("times")))
+        read = _of_classes(docs, moved)
     grouped = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     smallest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    known = keep(grouped.where("copies > 1 OR cid <> root").select("s1", "s2", "n", "root").union(grouped.where("cid = root").select("s1", "s2", "n", "root")).distinct().join(smallest, "root").select("s1", "s2", "n", "component_id"), "known")
-    out = rows.select("doc_id", "n", "s1", "s2").join(known, ["s1", "s2", "n"], "left")
+    known = keep(grouped.join(smallest, "root").select("cid", "component_id"), "known")
+    out = rows.select("doc_id", "n", "cid").join(known, "cid", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
-
-
-def _keys_again(sets: DataFrame, light: int) -> DataFrame:
-    """Keys of classes (cid, s) in an order that has at its end all shingles common among them."""
-    common = sets.select(F.explode("s").alias("tok")).groupBy("tok").agg(F.count("*").alias("rows")).where(F.col("rows") > SHORT)
-    common = keep(common, "common")
-    order = common.orderBy(F.desc("rows"), "tok").limit(MOST_LAST) if common.count() > MOST_LAST else common
-    end = np.sort(np.array([r["tok"] for r in order.select("tok").toLocalIterator()] or [0], np.int64))
-    shared = sets.sparkSession.sparkContext.broadcast(end)  # at most MOST_LAST numbers
-
-    def run(batches):
-        end = shared.value
-        for b in batches:
-            heads, n = [], []
-            for s in b.column("s"):
-                s = s.values.to_numpy()
-                isin = end[np.minimum(np.searchsorted(end, s), len(end) - 1)] == s
-                n.append(len(s))
-                heads.append(np.concatenate([s[~isin], s[isin]])[: prefix_length(len(s)) + 1])
-            yield _keys(b.column("cid").to_numpy(), np.array(n), heads, light)
-
-    return sets.mapInArrow(run, "key long, cid long")

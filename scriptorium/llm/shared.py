@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,11 +16,11 @@ BROADCAST_ROWS = 400_000
 def shared_folder(spark: SparkSession) -> str:
     """The session's own folder below spark.checkpoint.dir, which driver and executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and spark.sparkContext.master.startswith("local") and "local-cluster" not in spark.sparkContext.master:
+        base = spark.conf.get("scriptorium.scratch", None) or tempfile.mkdtemp(prefix="scriptorium-")
+        spark.conf.set("scriptorium.scratch", base)
     if not base:
-        base = spark.conf.get("scriptorium.scratch", None)
-        if not base:
-            base = tempfile.mkdtemp(prefix="scriptorium-")
-            spark.conf.set("scriptorium.scratch", base)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/scriptorium-{spark.sparkContext.applicationId}"
 
 
@@ -43,6 +44,22 @@ def small_or_shuffled(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def bit_table(df: DataFrame, column: str, least: int = 20, most: int = 28) -> np.ndarray:
+    """A bit for each value (long, hashed) of a column, in a table that grows with the count of rows from 2^least to 2^most bits, 32 MB."""
+    size = max(least, min(most, (16 * df.count()).bit_length()))
+    words = df.selectExpr(f"shiftrightunsigned({column}, {64 - size}) AS place").selectExpr("shiftright(place, 6) AS word", "shiftleft(1L, int(place & 63)) AS bit")
+    words = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most 2^(most - 6) rows
+    table = np.zeros(1 << (size - 6), np.uint64)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return table
+
+
+def has_bit(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values have their bit in a table of bit_table()."""
+    place = values.view(np.uint64) >> np.uint64(64 - (len(table) * 64).bit_length() + 1)
+    return (table[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b: long) by alternating large-star and small-star rounds.
 
