@@ -3,19 +3,19 @@
 Method, after the size-aware heavy-light overlap join:
 
 1. Texts with equal sets are one class (told apart by 64 bits), so copies are never paired.
-2. Sets are ordered: shingles that recur in many classes come last, in levels, the others by hash. Tasks count shingles
-   that recur in what they read; the levels are bit tables of bounded size. Any order is exact, a good one is short of
-   chance meetings. Similar sets of n shingles share a shingle among their first p = n - ceil(0.8 n) + 1, and two among
+2. Sets are ordered: shingles that recur in many classes come last, in levels, the others by hash. Anchors, the minima
+   of every SPAN shingles of a text, are counted over all texts, and then all shingles beside frequent anchors; the
+   levels are bit tables of bounded size. Any order is exact, a good one is short of chance meetings. Similar sets of n shingles share a shingle among their first p = n - ceil(0.8 n) + 1, and two among
    their first p + 1. A light (small) set enumerates all two-element subsets of its first p + 1; a heavy (large) one is
    put on the inverted lists of its first p. The boundary is the size up to which a set's subsets cost no more than its
    inverted lists; sets that may pair with both kinds are put on both.
-3. Keys are counted alone; only those that occur twice are built again together with their classes.
+3. Keys are counted alone; only those that occur twice are looked at together with their classes.
 4. If the first shingle that two sets share is a frequent one, they share no rare one: all rare ones of both are then
    differences. So on lists of frequent shingles only classes meet that have few rare ones between them.
 5. Lists of up to SHORT classes give all their pairs. On a longer one, each class is paired with a few leaders only; if
-   the list then falls into one component, no pair of it can change the result. Classes on other long lists go to a
-   further round in which the order is by their own exact counts, so that they meet on rarer ones, and under other
-   leaders. What is left after the last round gives its pairs across components.
+   the list then falls into one component, no pair of it can change the result. Other lists give their pairs across
+   components; the longest of them only after a further round, in which the order is by their classes' own exact counts,
+   so that these meet on rarer shingles, and under other leaders.
 6. Parity sketches, a fraction of a set's size, differ in no more bits than the sets in shingles; pairs that differ in
    more than similar sets may are no links. The others are verified on whole sets.
 
@@ -39,11 +39,15 @@ from scriptorium.llm import words as W
 from scriptorium.llm.shared import bit_table, components, has_bit, keep, small_or_shuffled
 
 K, PERCENT = 5, 80
-SHORT = 64
-LEADERS = 8
+SHORT = 8
+#: Length of lists up to which those that leaders leave apart give their pairs across components without another round.
+MEDIUM = 512
+LEADERS = 16
 ROUNDS = 2
 #: Counts above which shingles come later in the order.
-LEVELS = (SHORT, 16 * SHORT)
+LEVELS = (SHORT, 8 * SHORT, 128 * SHORT)
+#: Shingles of which one is an anchor, and how far from a frequent one others are counted.
+SPAN, BESIDE = 32, 24
 #: Shingles that a task counts at a time.
 WINDOW = 1 << 22
 #: Bits of a sketch, at least.
@@ -58,12 +62,10 @@ def prefix_length(n: int) -> int:
 
 def _sets(batch: pa.RecordBatch, name: str):
     """Sorted distinct shingle hashes, as int64, of every row."""
-    data, offsets = W.texts(batch.column(name))
-    for lo, hi in W.chunks(offsets):
-        part = data[offsets[lo] : offsets[hi]]
-        _, _, hashes, at = W.words(part, offsets[lo : hi + 1] - offsets[lo])
-        for i in range(hi - lo):
-            yield np.unique(W.shingles(hashes[at[i] : at[i + 1]], K).view(np.int64))
+    for _, flat, counts in W.shingled(batch.column(name), K):
+        ends = np.append(0, np.cumsum(counts))
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            yield np.unique(flat[a:b].view(np.int64))
 
 
 def _class(s: np.ndarray) -> int:
@@ -83,39 +85,76 @@ def _plain(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def _anchors(flat: np.ndarray) -> np.ndarray:
+    """The minima of every SPAN values in a row, or the least of fewer."""
+    m, width = flat, 1
+    while width < SPAN and len(m) > width:  # SPAN is a power of two
+        m, width = np.minimum(m[:-width], m[width:]), 2 * width
+    return np.unique(m if width == SPAN else m.min(keepdims=True))
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), cid (class), head (of small sets, the first shingles by hash); and rows with n null, whose head and times are shingles that recur in a part of the table."""
+    """doc_id, n (set size), cid (class), head (of small sets, the first shingles by hash); and rows with n null, whose head and times are counts of anchors."""
     schema = "doc_id long, n long, cid long, head array<long>, times array<long>"
 
-    def often(held: list[np.ndarray]) -> pa.RecordBatch:
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
         tok, times = np.unique(np.concatenate(held), return_counts=True)
-        tok, times = tok[times > 1], times[times > 1]
         cuts = range(0, len(tok), 1 << 16)
         none = pa.nulls(len(cuts), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, none, _lists([tok[c : c + (1 << 16)] for c in cuts]), _lists([times[c : c + (1 << 16)] for c in cuts])], ["doc_id", "n", "cid", "head", "times"])
+        return pa.RecordBatch.from_arrays([none, none, none, _lists([tok.view(np.int64)[c : c + (1 << 16)] for c in cuts]), _lists([times[c : c + (1 << 16)] for c in cuts])], ["doc_id", "n", "cid", "head", "times"])
 
     def run(batches):
         held, size, seen = [], 0, set()
         for batch in batches:
             n, cid, head = [], [], []
-            for s in _sets(batch, "text"):
-                n.append(len(s))
-                cid.append(_class(s))
-                head.append(s[: prefix_length(len(s))] if 1 < len(s) <= MOST_LIGHT else s[:0])
-                if len(s) > 1 and cid[-1] not in seen:
-                    seen.add(cid[-1])
-                    held.append(s)
-                    size += len(s)
-                if size > WINDOW:
-                    yield often(held)
-                    held, size, seen = [], 0, set()
+            for _, flat, counts in W.shingled(batch.column("text"), K):
+                ends = np.append(0, np.cumsum(counts))
+                for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+                    s = np.unique(flat[a:b].view(np.int64))
+                    n.append(len(s))
+                    cid.append(_class(s))
+                    head.append(s[: prefix_length(len(s))] if 1 < len(s) <= MOST_LIGHT else s[:0])
+                    if len(s) > 1 and cid[-1] not in seen:
+                        seen.add(cid[-1])
+                        own = flat[a:b]
+                        held.append(_anchors(own))
+                        size += len(held[-1])
+            if size > WINDOW:
+                yield counted(held)
+                held, size, seen = [], 0, set()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), _lists(head), pa.nulls(len(n), pa.list_(pa.int64()))], ["doc_id", "n", "cid", "head", "times"])
         if held:
-            yield often(held)
+            yield counted(held)
 
     return _plain(docs).mapInArrow(run, schema)
 
 
+def _beside(docs: DataFrame, frequent) -> DataFrame:
+    """tok, times of all shingles beside anchors in the bit table frequent."""
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        tok, times = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(tok.view(np.int64)), pa.array(times.astype(np.int64))], ["tok", "times"])
+
+    def run(batches):
+        table, held, size = frequent.value, [], 0
+        for batch in batches:
+            for _, flat, counts in W.shingled(batch.column("text"), K):
+                hit = np.flatnonzero(has_bit(table, flat.view(np.int64)))
+                edge = np.zeros(len(flat) + 1, np.int32)
+                np.add.at(edge, np.maximum(hit - BESIDE, 0), 1)
+                np.add.at(edge, np.minimum(hit + BESIDE + 1, len(flat)), -1)
+                held.append(flat[np.cumsum(edge[:-1]) > 0])  # the texts beside add a few of their own, which are rare
+                size += len(held[-1])
+                if size > WINDOW:
+                    yield counted(held)
+                    held, size = [], 0
+        if held:
+            yield counted(held)
+
+    return docs.select("text").mapInArrow(run, "tok long, times long").groupBy("tok").agg(F.sum("times").alias("times"))
+
+
 def _ordered(s: np.ndarray, levels: list[np.ndarray]) -> tuple[np.ndarray, int]:
     """A set in the order, as far as its first p + 1, and how many of all its shingles are in no level."""
     level = np.zeros(len(s), np.int8)
@@ -128,49 +167,61 @@ def _ordered(s: np.ndarray, levels: list[np.ndarray]) -> tuple[np.ndarray, int]:
     return s[np.argsort(level, kind="stable")[:n]], rare
 
 
-def _keys(docs: DataFrame, levels, light: int, repeated=None) -> DataFrame:
-    """key (a shingle, or two as one hash), cid, n, rare (-1 where a rare shingle is in the key) of docs; only keys in the bit table repeated, if given.
-
-    Classes that a task has just seen give no keys again.
-    """
+def _heads(docs: DataFrame, levels) -> DataFrame:
+    """cid, n, rare (how many shingles are in no level), head of the classes of docs; classes that a task has just seen are left out."""
 
     def run(batches):
-        tables, wanted = levels.value, repeated.value if repeated else None
-        seen: set[int] = set()
+        tables, seen = levels.value, set()
         for batch in batches:
-            keys, meta, sizes = [], [], []
+            rows = [[], [], [], []]
             for s in _sets(batch, "text"):
-                n = len(s)
-                if n < 2 or (cid := _class(s)) in seen:
+                if len(s) < 2 or (cid := _class(s)) in seen:
                     continue
                 seen.add(cid)
                 head, rare = _ordered(s, tables)
+                for column, value in zip(rows, (cid, len(s), rare, head)):
+                    column.append(value)
+            if len(seen) > 1 << 18:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.int32()), _lists(rows[3])], ["cid", "n", "rare", "head"])
+
+    return docs.select("text").mapInArrow(run, "cid long, n int, rare int, head array<long>")
+
+
+def _keys(heads: DataFrame, light: int, repeated=None) -> DataFrame:
+    """key (a shingle, or two as one hash), cid, n, rare (-1 where a rare shingle is in the key); only keys in the bit table repeated, if given."""
+
+    def run(batches):
+        wanted = repeated.value if repeated else None
+        for batch in batches:
+            flat, ends = batch.column("head").flatten().to_numpy(), batch.column("head").offsets.to_numpy()
+            ends = (ends - ends[0]).tolist()
+            keys, meta, sizes = [], [], []
+            for cid, n, rare, a, b in zip(batch.column("cid").to_pylist(), batch.column("n").to_pylist(), batch.column("rare").to_pylist(), ends[:-1], ends[1:]):
+                head, own = flat[a:b], []
                 if n <= light:
                     i, j = np.triu_indices(len(head), 1)
-                    a = head.view(np.uint64)
-                    low, high = np.minimum(a[i], a[j]), np.maximum(a[i], a[j])
-                    own = [(W.mix(low * np.uint64(0xA0761D6478BD642F) ^ high).view(np.int64), i >= rare)]
-                else:
-                    own = []
+                    u = head.view(np.uint64)
+                    low, high = np.minimum(u[i], u[j]), np.maximum(u[i], u[j])
+                    own.append((W.mix(low * np.uint64(0xA0761D6478BD642F) ^ high).view(np.int64), i >= rare))
                 if 100 * n >= PERCENT * (light + 1):  # may pair with a heavy one, or is one
                     p = prefix_length(n)
                     own.append((head[:p], np.arange(p) >= rare))
                 for key, common in own:
                     if 4 * rare > n:  # too many rare ones to be similar without sharing any
                         key, common = key[~common], common[~common]
-                    if wanted is not None:
-                        on = has_bit(wanted, key)
-                        key, common = key[on], common[on]
                     keys.append(key)
                     meta.append(np.where(common, rare, -1))
                     sizes.append((cid, n, len(key)))
             if keys:
                 cid, n, times = np.array(sizes, np.int64).T
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(cid, times)), pa.array(np.repeat(n, times).astype(np.int32)), pa.array(np.concatenate(meta).astype(np.int32))], ["key", "cid", "n", "rare"])
-            if len(seen) > 1 << 18:
-                seen.clear()
+                columns = [np.concatenate(keys), np.repeat(cid, times), np.repeat(n, times).astype(np.int32), np.concatenate(meta).astype(np.int32)]
+                if wanted is not None:
+                    on = has_bit(wanted, columns[0])
+                    columns = [c[on] for c in columns]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "cid", "n", "rare"])
 
-    return docs.select("text").mapInArrow(run, "key long, cid long, n int, rare int")
+    return heads.mapInArrow(run, "key long, cid long, n int, rare int")
 
 
 def _of_classes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -234,6 +285,7 @@ def _near(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
                 ok[i] = (100 + PERCENT) * int(np.bitwise_count(x ^ y).sum()) <= most[i]
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
+    sketches = sketches.drop("folded")
     marked = pairs.join(sketches.withColumnsRenamed({"cid": "a", "n": "na", "k": "ka"}), "a").join(sketches.withColumnsRenamed({"cid": "b", "n": "nb", "k": "kb"}), "b")
     return marked.where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").mapInArrow(run, "a long, b long")
 
@@ -245,19 +297,20 @@ def _ends(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _sketches(sets: DataFrame) -> DataFrame:
-    """cid, n, k of sets: k has a bit for the parity of the shingles that fall on it, two or more bits a shingle."""
+    """cid, n, k, folded of sets: k has a bit for the parity of the shingles that fall on it, two or more bits a shingle; folded is k in SKETCH bits."""
 
     def run(batches):
         for b in batches:
-            n, k = [], []
+            n, k, folded = [], [], []
             for s in b.column("s"):
                 s = s.values.to_numpy()
                 bits = max(SKETCH, 1 << int(2 * len(s) - 1).bit_length())
                 n.append(len(s))
-                k.append(np.packbits(np.bincount(s & (bits - 1), minlength=bits).astype(np.uint8) & 1).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array(n, pa.int64()), pa.array(k, pa.binary())], ["cid", "n", "k"])
+                k.append(np.packbits(np.bincount(s & (bits - 1), minlength=bits).astype(np.uint8) & 1))
+                folded.append(np.bitwise_xor.reduce(k[-1].reshape(-1, SKETCH // 8)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array(n, pa.int64()), pa.array([x.tobytes() for x in k], pa.binary()), _lists(folded)], ["cid", "n", "k", "folded"])
 
-    return sets.mapInArrow(run, "cid long, n long, k binary")
+    return sets.mapInArrow(run, "cid long, n long, k binary, folded array<long>")
 
 
 def _light(small: DataFrame) -> int:
@@ -274,6 +327,9 @@ def _levels(counts: DataFrame):
     return counts.sparkSession.sparkContext.broadcast([bit_table(counts.where(F.col("times") > level), "tok") for level in LEVELS])
 
 
+#: Two folded sketches, too, differ in no more bits than the sets in shingles.
+_FOLDED = f"{100 + PERCENT} * (" + " + ".join(f"bit_count(ka[{i}] ^ kb[{i}])" for i in range(SKETCH // 64)) + f") <= {100 - PERCENT} * (na + nb)"
+
 #: Whether two classes on a list may be similar: by size, and on a list of frequent shingles by what is rare in them.
 _MAY = f"a < b AND 100 * least(na, nb) >= {PERCENT} * greatest(na, nb) AND (ra < 0 OR {100 + PERCENT} * (ra + rb) <= {100 - PERCENT} * (na + nb))"
 
@@ -281,22 +337,25 @@ _MAY = f"a < b AND 100 * least(na, nb) >= {PERCENT} * greatest(na, nb) AND (ra <
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
     rows = keep(signatures(docs), "signatures")
-    recurring = rows.where("n IS NULL").select(F.explode(F.arrays_zip("head", "times")).alias("x")).groupBy("x.head").agg(F.sum("x.times").alias("times")).withColumnRenamed("head", "tok")
+    spark = docs.sparkSession
+    anchors = rows.where("n IS NULL").select(F.explode(F.arrays_zip("head", "times")).alias("x")).groupBy("x.head").agg(F.sum("x.times").alias("times")).withColumnRenamed("head", "tok")
     rows = rows.where("n IS NOT NULL")
     repeated = not rows.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
     classes = keep(rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("first")).where("first IS NOT NULL"), "classes")
     light = _light(rows.where(f"n BETWEEN 2 AND {MOST_LIGHT}"))
-    read, levels, links = _plain(docs).where("doc_id IS NOT NULL"), _levels(recurring), None
+    read, links = _plain(docs).where("doc_id IS NOT NULL"), None
+    anchors = keep(anchors.where(F.col("times") > LEVELS[0]).select("tok"), "anchors")
+    levels = _levels(_beside(read, spark.sparkContext.broadcast(bit_table(anchors, "tok"))))
     for turn in range(ROUNDS):
-        twice = keep(_keys(read, levels, light).groupBy("key").count().where("count > 1").select("key"), "twice")
-        wanted = docs.sparkSession.sparkContext.broadcast(bit_table(twice, "key"))
-        members = keep(_keys(read, levels, light, wanted), "members")
+        heads = keep(_heads(read, levels), "heads")
+        twice = keep(_keys(heads, light).groupBy("key").count().where("count > 1").select("key"), "twice")
+        members = keep(_keys(heads, light, spark.sparkContext.broadcast(bit_table(twice, "key"))), "members")
         lists = members.groupBy("key").agg(F.count("*").alias("rows"), F.min("cid").alias("least"), F.max("cid").alias("most")).where("least < most")
         lists = keep(lists.select("key", "rows"), "lists")
         members = members.join(small_or_shuffled(lists), "key")
         side = lambda x: F.struct(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("rare").alias(f"r{x}")).alias(x)
         flat = lambda df: df.select("key", "x.*", "y.*").where(_MAY).select("a", "b").distinct()
-        short, long = members.where(f"rows <= {SHORT}"), keep(members.where(f"rows > {SHORT}").drop("rows"), "long")
+        short, long = members.where(f"rows <= {SHORT}"), keep(members.where(f"rows > {SHORT}"), "long")
         pairs = flat(short.select("key", side("a").alias("x")).join(short.select("key", side("b").alias("y")), "key"))
         draw = F.struct(F.xxhash64("cid", F.pmod("key", F.lit(LEADERS)), F.lit(turn)).alias("h"), F.col("cid").alias("leader"), F.col("n").alias("nl"), F.col("rare").alias("rl"))
         led = f"rare < 0 OR {100 + PERCENT} * rare <= {100 - PERCENT} * n"
@@ -310,11 +369,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         apart = keep(placed.join(apart, "key"), "apart")
         if apart.isEmpty():
             break
-        moved = keep(apart.select("cid").distinct().join(classes, "cid"), "moved")
-        if turn == ROUNDS - 1:
-            x, y = (apart.selectExpr("key", f"cid AS {s}", f"root AS root_{s}", f"n AS n{s}", f"rare AS r{s}") for s in "ab")
-            rest = x.join(y, "key").where(f"{_MAY} AND root_a <> root_b").select("a", "b")
-            roots = keep(components(links.unionByName(_verified(docs, classes, rest, repeated))), "roots")
+        now = apart.where(F.col("rows") <= (MEDIUM if turn < ROUNDS - 1 else 1 << 62))
+        marks = keep(_sketches(_sets_of(docs, keep(now.select("cid").distinct().join(classes, "cid"), "ends"), repeated)), "sketches")
+        marked = now.drop("n").join(marks, "cid")
+        x, y = (marked.selectExpr("key", f"cid AS {s}", f"root AS root_{s}", f"n AS n{s}", f"rare AS r{s}", f"folded AS k{s}") for s in "ab")
+        rest = x.join(y, "key").where(f"{_MAY} AND root_a <> root_b AND {_FOLDED}").select("a", "b")
+        links = links.unionByName(_verified(docs, classes, rest, repeated))
+        moved = keep(apart.where(f"rows > {MEDIUM}").select("cid").distinct().join(classes, "cid"), "moved")
+        if turn == ROUNDS - 1 or moved.isEmpty():
+            roots = keep(components(links), "roots")
             break
         levels = _levels(_sets_of(docs, moved, repeated).select(F.explode("s").alias("tok")).groupBy("tok").agg(F.count("*").alias("times")))
         read = _of_classes(docs, moved)

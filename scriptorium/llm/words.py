@@ -87,6 +87,25 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, hashes, np.searchsorted(starts, offsets)
 
 
+def shingled(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """By chunks of rows: first row, shingles() of all its rows one after the other, in text order, and how many each row has."""
+    data, offsets = texts(column)
+    for lo, hi in chunks(offsets):
+        _, _, hashes, at = words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        n = np.diff(at)
+        counts = np.where(n >= k, n - k + 1, n > 0)
+        starts = np.cumsum(counts) - counts
+        first = np.repeat(at[:-1] - starts, counts) + np.arange(counts.sum())
+        out = np.full(len(first), np.uint64(k))
+        for i in range(k):
+            out = (out + hashes[np.minimum(first + i, max(len(hashes) - 1, 0))]) * np.uint64(0xC2B2AE3D27D4EB4F)
+            out ^= out >> np.uint64(29)
+        out = mix(out)
+        for r in np.flatnonzero((n > 0) & (n < k)):
+            out[starts[r]] = shingles(hashes[at[r] : at[r + 1]], k)[0]
+        yield lo, out, counts
+
+
 def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hashes of the k-word windows of one text; of all its words if there are fewer than k; none without words."""
     n = len(hashes)
