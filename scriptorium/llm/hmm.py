@@ -1,247 +1,337 @@
 """Hidden Markov language model over words: Baum-Welch counts summed across partitions, exact scaled forward scores.
 
-A text is its words (A-Z as a-z) and one end token. STATES latent states emit tokens. The HEAD most frequent tokens of
-the training texts have emission probabilities of their own in each state; all other tokens, seen or not, share one
-symbol per state, which each of them takes in proportion to its base probability, so the model gives every text a
-proper probability over an open vocabulary, at a size that doesn't grow with the corpus. Counts of all tokens stay a
-table; texts are joined to the part of it that they need.
-
-Every iteration runs over all training texts: a task computes scaled forward and backward messages for its texts, many
-texts at a time, and gives expected counts by token, which Spark sums. M-steps add SMOOTH pseudo-tokens of the base
-distribution to each state. Scores are exact: the sum of the logarithms of the forward scales over the whole text.
+A text is its words (A-Z as a-z) and one end token. STATES latent states emit tokens; every token of the training texts
+has an emission probability of its own in each state, kept as a table (token, n, one count a state) that grows with the
+corpus. It is the base probability times the state's share of the token's counts over its share of all, the former
+smoothed by SMOOTH uses in the mean shares, and divided by the sum over all trained tokens and one unseen.
+
+1. Texts are cut into words once and kept in blocks of about BLOCK tokens: distinct tokens of the block (64-bit hashes),
+   how often each stands in its training texts, and every text as places in that list.
+2. Counts of all tokens are a sum over the blocks' lists.
+3. Baum-Welch, TIED rounds: tokens share symbols, the HEAD most frequent have their own, all others fall by hash on as
+   many again. The model has a bounded size and is broadcast; only its start, moves and soft classes matter later.
+4. Baum-Welch, the last round: expected counts of every token by state, summed over all blocks, are the emissions.
+5. Blocks are joined with the emissions of their own tokens, and scores are exact: the logarithms of the scales of a
+   forward pass over each whole text.
 
 Cases: null and empty texts are the end token alone. Null doc_id: scored, not learned from. Repeated rows are all
-learned from and returned. With no training text, every token is unknown: N = V = 0.
+learned from and returned. A very long text is a block of its own, with one step for each token. Ties among counts only
+move tokens between symbols. Other columns are ignored. With no training text, every token is unknown: N = V = 0. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.shared import keep, small_or_shuffled
-
-STATES, HEAD, ROUNDS, SMOOTH, STAY, ADD = 6, 32_768, 4, 50.0, 0.9, 0.1
-#: Tokens of texts that are computed together; a longer text is a group of its own.
-GROUP = 1 << 18
-END = "\n"
-
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_LOWER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
-
-
-def tokens(text: str | None) -> list[str]:
-    return [*_WORD.findall(text.translate(_LOWER) if text else ""), END]
-
-
-def token_counts(texts: DataFrame) -> DataFrame:
-    """token, n over all rows of texts (text); tasks count what they read before anything is shuffled."""
+from scriptorium.llm import words as W
+from scriptorium.llm.shared import keep
+
+STATES, HEAD, TIED, SMOOTH, STAY, ADD = 6, 16_384, 2, 2.0, 0.9, 0.1
+#: Tokens of a block, and cells (steps times texts) that are computed together; a longer text is on its own.
+BLOCK, GROUP = 1 << 22, 1 << 20
+#: Stands for the end token; no word has its hash but by chance.
+END = np.int64(0x5DEECE66D1CE4E5B)
+#: Expected counts are summed in these parts of one, which makes sums exact whatever their order; that of the last state is what is left of the token's count.
+FINE = 1 << 10
+COLUMNS = [f"c{k}" for k in range(STATES - 1)]
+
+
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts: distinct tokens (hashes), each token's place among them, text after text, and how many each text has."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())))
+    words = split.flatten().dictionary_encode()
+    ends = split.offsets.to_numpy() - split.offsets[0].as_py()
+    names, place = words.dictionary, words.indices.to_numpy().astype(np.int64)
+    data, offsets = W.texts(names)
+    full = np.flatnonzero(np.diff(offsets) > 0)
+    hashes = np.full(len(names) + 1, END)
+    hashes[full] = W.words(data, offsets)[2].view(np.int64)
+    solid = np.diff(offsets)[place] > 0 if len(names) else np.zeros(0, bool)
+    counts = np.diff(np.append(0, np.cumsum(solid))[ends])
+    place = np.insert(place[solid], np.cumsum(counts), len(names))
+    often = np.bincount(place, minlength=len(hashes))
+    order = np.argsort(-often, kind="stable")[: np.count_nonzero(often)]  # frequent ones first, so that places are small
+    rank = np.zeros(len(hashes), np.int64)
+    rank[order] = np.arange(len(order))
+    return hashes[order], rank[place].astype(np.int32), counts + 1
+
+
+def _coded(ids: np.ndarray) -> bytes:
+    """Numbers under 2^24, byte by byte, compressed."""
+    return pa.compress(ids.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes(), "zstd", asbytes=True)
+
+
+def _decoded(data: pa.Buffer, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 3 * n, "zstd"), np.uint8).reshape(3, n)
+    return planes[0].astype(np.int32) | planes[1].astype(np.int32) << 8 | planes[2].astype(np.int32) << 16
+
+
+def blocks(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, held_out, text) as rows of many texts: block, doc_ids, held, sizes, learned (weights 0 or 1), vocabulary, times, ids (text after text, coded)."""
+    schema = "block long, doc_ids array<long>, held array<boolean>, sizes array<int>, learned array<boolean>, vocabulary array<long>, times array<long>, ids binary"
+    names = ["block", "doc_ids", "held", "sizes", "learned", "vocabulary", "times", "ids"]
+    one = lambda x, t: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, t))
 
     def run(batches):
-        counts: Counter = Counter()
+        from pyspark import TaskContext
 
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["token", "n"])
-
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                counts.update(tokens(text))
-            if len(counts) > 500_000:
-                yield out()
-                counts.clear()
-        yield out()
-
-    return texts.select("text").mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
-
-
-def head_of(counts: DataFrame, most: int = HEAD) -> dict[str, int]:
-    """The most frequent tokens and their counts: as many as fit most, tokens of about equal counts in or out together."""
-    bucket = F.floor(F.log2("n") * 16)
-    sizes = counts.groupBy(bucket.alias("b")).count().collect()
-    total, least = 0, None
-    for r in sorted(sizes, key=lambda r: -r["b"]):
-        if total + r["count"] > most:
-            break
-        total, least = total + r["count"], r["b"]
-    if least is None:
-        return {}
-    return {r["token"]: r["n"] for r in counts.where(bucket >= least).collect()}
-
-
-def encoded(docs: DataFrame, head: dict[str, int]) -> DataFrame:
-    """docs (doc_id, held_out, text) as doc_id, held_out, ids (place in the head, or its size), and the other tokens with their counts."""
-    shared = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(sorted(head))})  # at most HEAD tokens
-
-    def run(batches):
-        place = shared.value
-        other, get = len(place), place.get
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
-                ids, rare = [], []
-                for text in part.column("text").to_pylist():
-                    ts = tokens(text)
-                    x = np.fromiter((get(t, other) for t in ts), np.int32, len(ts))
-                    ids.append(x)
-                    rare.append([{"token": t, "n": n} for t, n in Counter(ts[i] for i in np.flatnonzero(x == other)).items()])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(ids, pa.list_(pa.int32())), pa.array(rare, pa.list_(pa.struct([("token", pa.string()), ("n", pa.int64())])))], ["doc_id", "held_out", "ids", "rare"])
-
-    return docs.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, ids array<int>, rare array<struct<token: string, n: long>>")
-
-
-def _groups(column: pa.Array):
-    """Places of texts of like lengths, and their ids in one array, a row for each step, -1 past the end."""
-    ends = column.offsets.to_numpy()
-    flat, ends = column.flatten().to_numpy(), ends - ends[0]
-    sizes = np.diff(ends)
-    order, lo = np.argsort(sizes, kind="stable"), 0
-    while lo < len(order):
-        hi = lo + 1
-        while hi < len(order) and (hi + 1 - lo) * sizes[order[hi]] <= GROUP and (sizes[order[hi]] <= 1.5 * sizes[order[lo]] + 64):
-            hi += 1
-        own = order[lo:hi]
-        x = np.full((int(sizes[own[-1]]), len(own)), -1, np.int32)
-        for k, i in enumerate(own):
-            x[: sizes[i], k] = flat[ends[i] : ends[i + 1]]
-        yield own, x
-        lo = hi
-
-
-def forward(x: np.ndarray, model: dict, all_messages: bool = False):
-    """log10 probability of each column of x and, if asked for, all scaled messages and scales."""
-    start, move, emit = (model[k].astype(np.float32) for k in ("start", "move", "emit"))
+            weight, lo = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)) // 6, 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(weight, (weight[lo - 1] if lo else 0) + BLOCK, "right")))
+                part = batch.slice(lo, hi - lo)
+                vocabulary, place, sizes = tokens(part.column("text"))
+                order = np.argsort(sizes, kind="stable")  # texts of like length stand together
+                ends = np.append(0, np.cumsum(sizes))
+                held, ids = part.column("held_out").take(pa.array(order)), part.column("doc_id").take(pa.array(order))
+                learned = pc.and_(pc.invert(held), pc.is_valid(ids))
+                place = place[np.repeat(ends[order] - (np.cumsum(sizes[order]) - sizes[order]), sizes[order]) + np.arange(len(place))]
+                mask = np.repeat(learned.to_numpy(zero_copy_only=False), sizes[order])
+                times = np.bincount(place[mask], minlength=len(vocabulary))
+                values = [one(ids, pa.int64()), one(held, pa.bool_()), one(sizes[order], pa.int32()), one(learned, pa.bool_()), one(vocabulary, pa.int64()), one(times, pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *values, pa.array([_coded(place)], pa.binary())], names)
+                number, lo = number + 1, hi
+
+    return docs.select("doc_id", "held_out", "text").mapInArrow(run, schema)
+
+
+def _groups(ids: np.ndarray, sizes: np.ndarray):
+    """Ranges of texts of like lengths (sizes, rising) and their ids, a row for each step, -1 past the end; the longest text comes first."""
+    ends, hi = np.append(0, np.cumsum(sizes)), len(sizes)
+    while hi > 0:
+        longest = int(sizes[hi - 1])
+        lo = max(hi - max(1, GROUP // longest), int(np.searchsorted(sizes, longest / 1.3 - 16)))
+        lo = min(lo, hi - 1)
+        own = sizes[lo:hi][::-1]
+        x = np.full((longest, hi - lo), -1, np.int32)
+        for k, i in enumerate(range(hi - 1, lo - 1, -1)):
+            x[: own[k], k] = ids[ends[i] : ends[i + 1]]
+        yield np.arange(hi - 1, lo - 1, -1), x, own
+        hi = lo
+
+
+def forward(x: np.ndarray, sizes: np.ndarray, model: dict, all_messages: bool = False):
+    """log10 probability of each column of x (sizes falling); if asked for, also all scaled messages (step, state, column) and scales."""
+    start, move = model["start"].astype(np.float32), model["move"].T.astype(np.float32).copy()
     steps, n = x.shape
-    active = (x >= 0).sum(1)
-    first = np.argsort(-(x >= 0).sum(0), kind="stable")  # longest first, so that the active ones stay a prefix
-    x = x[:, first]
-    total, a = np.zeros(n), np.tile(start, (n, 1))
-    messages, scales = (np.zeros((steps, n, len(start)), np.float32), np.ones((steps, n), np.float32)) if all_messages else (None, None)
+    active = np.searchsorted(-sizes, -np.arange(steps), "left")  # columns longer than the step
+    states = len(start)
+    total, a = np.zeros(n), np.tile(start[:, None], (1, n))
+    messages = np.zeros((steps, states, n), np.float32) if all_messages else None
+    scales = np.ones((steps, n), np.float32)
+    emit = model["emit"].astype(np.float32, copy=False)[:, x]  # (state, step, column)
     for t in range(steps):
         m = active[t]
-        a = (a[:m] @ move if t else a[:m]) * emit[x[t, :m]]
-        s = a.sum(1)
-        a /= s[:, None]
-        total[:m] += np.log10(s, dtype=np.float64)
+        a = move @ a[:, :m] if t else a[:, :m]
+        a *= emit[:, t, :m]
+        s = a.sum(0)
+        a /= s
+        scales[t, :m] = s
         if all_messages:
-            messages[t, :m], scales[t, :m] = a, s
-    out = np.empty(n)
-    out[first] = total
-    return out, (x, active, messages, scales)
-
-
-def expected(x: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch counts of the columns of x: of emissions by symbol, of moves and of starts."""
-    start, move, emit = (model[k].astype(np.float32) for k in ("start", "move", "emit"))
-    _, (x, active, messages, scales) = forward(x, model, True)
-    states = len(start)
-    moves, posts = np.zeros((states, states)), np.zeros_like(messages)
-    b = np.ones((x.shape[1], states), np.float32)
+            messages[t, :, :m] = a
+    for t in range(0, steps, 256):
+        total += np.log10(scales[t : t + 256], dtype=np.float64).sum(0)
+    return total, (active, messages, scales, emit)
+
+
+def expected(x: np.ndarray, sizes: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Baum-Welch counts of the columns of x: of emissions (state, symbol), of moves and of starts."""
+    states, move = len(model["start"]), model["move"].astype(np.float32)
+    _, (active, posts, scales, emit) = forward(x, sizes, model, True)
+    moves = np.zeros((states, states))
+    b = np.ones((states, x.shape[1]), np.float32)
     for t in range(len(x) - 1, -1, -1):
         m = active[t]
-        post = messages[t, :m] * b[:m]
-        post /= np.maximum(post.sum(1), 1e-30)[:, None]
-        posts[t, :m] = post
         if t:
-            into = emit[x[t, :m]] * b[:m] / scales[t, :m, None]
-            moves += move * (messages[t - 1, :m].T @ into)
-            b[:m] = into @ move.T
+            into = emit[:, t, :m] * b[:, :m]
+            into /= scales[t, :m]
+            moves += posts[t - 1, :, :m] @ into.T
+        posts[t, :, :m] *= b[:, :m]  # messages become posteriors where both are known; they sum to 1 but for rounding
+        if t:
+            b[:, :m] = move @ into
     known = x >= 0
     ids = x[known]
-    counts = np.stack([np.bincount(ids, posts[..., k][known], len(emit)) for k in range(states)], 1)
-    return counts, moves, posts[0].sum(0, dtype=np.float64)
+    counts = np.stack([np.bincount(ids, posts[:, k][known], model["emit"].shape[1]) for k in range(states)])
+    return counts, moves * model["move"], posts[0].sum(1, dtype=np.float64)
+
+
+def _texts_of(row: dict, learned: bool):
+    """ids and sizes of a block's texts, all or those learned from."""
+    sizes = np.asarray(row["sizes"], np.int64)
+    ids = _decoded(row["ids"], int(sizes.sum()))
+    if learned:
+        own = np.asarray(row["learned"], bool)
+        ids, sizes = ids[np.repeat(own, sizes)], sizes[own]
+    return ids, sizes
+
+
+def _rows(batches):
+    """Blocks one by one."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {n: batch.column(n)[i] for n in batch.schema.names}
+            row |= {n: v.as_buffer() for n, v in row.items() if isinstance(v, pa.BinaryScalar)}
+            row |= {n: row[n].values for n in ("doc_ids", "held") if n in row}
+            yield row | {n: row[n].values.to_numpy(zero_copy_only=False) for n in ("sizes", "learned", "vocabulary", "times") if n in row}
+
+
+def _symbols(vocabulary: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """Place of each token in the sorted head, or a place after it by hash."""
+    at = np.minimum(np.searchsorted(head, vocabulary), max(len(head) - 1, 0))
+    own = head[at] == vocabulary if len(head) else np.zeros(len(vocabulary), bool)
+    return np.where(own, at, len(head) + (vocabulary.view(np.uint64) % np.uint64(HEAD)).astype(np.int64))
+
 
+def _e_step(kept: DataFrame, model: dict, head: np.ndarray, by_token: bool) -> DataFrame:
+    """Expected counts of all blocks, in FINE parts, as rows key, times, c0..: by token; or by symbol, with keys under 0 for moves (-1 - from) and starts (-1 - STATES)."""
+    shared = kept.sparkSession.sparkContext.broadcast((model, head))
 
-def e_step(ids: DataFrame, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts over all rows of ids (ids)."""
-    shared, states = ids.sparkSession.sparkContext.broadcast(model), len(model["start"])
+    def out(keys, times, total):
+        rows = np.flatnonzero(times > 0)
+        return pa.RecordBatch.from_arrays([pa.array(keys[rows]), pa.array(times[rows].astype(np.int64)), *(pa.array(np.rint(total[k, rows] * FINE).astype(np.int64)) for k in range(STATES - 1))], ["key", "times", *COLUMNS])
 
     def run(batches):
-        m = shared.value
-        size = len(m["emit"])
-        total = np.zeros((size + states + 1, states))
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 2048):
-                for _, x in _groups(batch.column("ids").slice(lo, 2048)):
-                    counts, moves, starts = expected(x, m)
-                    total[:size] += counts
-                    total[size : size + states] += moves
-                    total[-1] += starts
-        rows = np.flatnonzero(total.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), *(pa.array(total[rows, k].astype(np.float32)) for k in range(states))], ["row", *(f"c{k}" for k in range(states))])
-
-    columns = [f"c{k}" for k in range(states)]
-    sums = ids.select("ids").mapInArrow(run, "row int, " + ", ".join(f"{c} float" for c in columns))
-    size = len(model["emit"])
-    total = np.zeros((size + states + 1, states))
-    for r in sums.groupBy("row").agg(*(F.sum(F.col(c).cast("double")).alias(c) for c in columns)).collect():  # a row for each symbol of the head
-        total[r["row"]] = [r[c] for c in columns]
-    return total[:size], total[size : size + states], total[-1]
+        m, names = shared.value
+        size, few = m["emit"].shape[1], np.zeros((STATES + 1, STATES))
+        total, times = np.zeros((STATES, size)), np.zeros(size)
+        for row in _rows(batches):
+            ids, sizes = _texts_of(row, True)
+            vocabulary = row["vocabulary"]
+            symbols = _symbols(vocabulary, names)
+            emit = m["emit"][:, symbols].astype(np.float32)
+            counts = np.zeros((STATES, len(vocabulary)))
+            for _, x, own in _groups(ids, sizes):
+                c, v, s = expected(x, own, m | {"emit": emit})
+                counts += c
+                few += np.concatenate([v, s[None]])
+            if by_token:
+                yield out(vocabulary, row["times"], counts)
+            else:
+                times += np.bincount(symbols, row["times"], size)
+                for k in range(STATES):
+                    total[k] += np.bincount(symbols, counts[k], size)
+        if not by_token:
+            yield out(np.arange(size), times, total)
+            yield out(-1 - np.arange(STATES + 1), few.sum(1), few.T)
+
+    columns = [F.sum(c).alias(c) for c in ("times", *COLUMNS)]
+    kept = kept.select("ids", "sizes", "learned", "vocabulary", "times")
+    return kept.mapInArrow(run, "key long, times long, " + ", ".join(f"{c} long" for c in COLUMNS)).groupBy("key").agg(*columns)
+
+
+def _all_states(times: np.ndarray, parts: list[np.ndarray]) -> np.ndarray:
+    """Expected counts by state, of counts in FINE parts of all states but the last."""
+    c = np.stack([p / FINE for p in parts]) if parts else np.zeros((0, len(times)))
+    return np.maximum(np.concatenate([c, (times - c.sum(0))[None]]), 0)
+
+
+def tilts(counts: np.ndarray, times: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """How much likelier a token is in a state (rows) than by the base: its share of the token's counts over the state's of all, with SMOOTH uses more by these."""
+    return (counts + SMOOTH * share[:, None]) / ((times + SMOOTH) * share[:, None])
 
 
 def m_step(counts: np.ndarray, moves: np.ndarray, starts: np.ndarray, base: np.ndarray) -> dict:
-    emit = (counts + SMOOTH * base[:, None]) / (counts.sum(0) + SMOOTH)
+    share = (counts.sum(1) + 1) / (counts.sum() + len(counts))
+    emit = base * tilts(counts, counts.sum(0), share)
     move = moves + 1 + 9 * np.eye(len(starts))
-    return {"start": (starts + 1) / (starts.sum() + len(starts)), "move": move / move.sum(1, keepdims=True), "emit": emit}
+    return {"start": (starts + 1) / (starts.sum() + len(starts)), "move": move / move.sum(1, keepdims=True), "emit": emit / emit.sum(1, keepdims=True)}
 
 
 def first_model(base: np.ndarray, states: int = STATES) -> dict:
     """Sticky states whose emissions are random tilts of the base distribution."""
     rng = np.random.default_rng(17)
-    emit = base[:, None] * np.exp(rng.normal(0, 0.6, (len(base), states)))
+    emit = base * np.exp(rng.normal(0, 0.6, (states, len(base))))
     move = np.full((states, states), (1 - STAY) / max(1, states - 1)) + np.eye(states) * (STAY - (1 - STAY) / max(1, states - 1))
-    return {"start": np.full(states, 1 / states), "move": move, "emit": emit / emit.sum(0)}
+    return {"start": np.full(states, 1 / states), "move": move, "emit": emit / emit.sum(1, keepdims=True)}
+
 
+def _tied(kept: DataFrame, counts: DataFrame, base_of: float) -> tuple[dict, np.ndarray]:
+    """The model over symbols after TIED rounds, and the sorted head."""
+    top = counts.orderBy(F.desc("n"), "token").limit(HEAD).select("token").toArrow()  # a bounded list
+    head = np.sort(top.column("token").to_numpy())
+    spark = kept.sparkSession
+    shared = spark.sparkContext.broadcast(head)
 
-def scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    def run(batches):
+        total = np.zeros(len(shared.value) + HEAD)
+        for b in batches:
+            total += np.bincount(_symbols(b.column("token").to_numpy(), shared.value), b.column("n").to_numpy() + ADD, len(total))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["symbol", "n"])
+
+    sums = counts.select("token", "n").mapInArrow(run, "symbol long, n double").groupBy("symbol").agg(F.sum("n").alias("n")).toArrow()
+    base = np.full(len(head) + HEAD, ADD / HEAD)
+    base[sums.column("symbol").to_numpy()] += sums.column("n").to_numpy()
+    base /= base.sum()
+    model = first_model(base)
+    for _ in range(TIED):
+        got = _e_step(kept, model, head, False).toArrow()  # a row for each symbol
+        key = got.column("key").to_numpy()
+        values = _all_states(got.column("times").to_numpy(), [got.column(c).to_numpy() for c in COLUMNS])
+        total, few = np.zeros((STATES, len(base))), np.zeros((STATES + 1, STATES))
+        total[:, key[key >= 0]] = values[:, key >= 0]
+        few[-1 - key[key < 0]] = values[:, key < 0].T
+        model = m_step(total, few[:STATES], few[STATES], base)
+    return model, head
+
+
+def scores(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, held_out) as doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "held_out")
-    counts = keep(token_counts(docs.where("NOT held_out AND doc_id IS NOT NULL")), "counts")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce("held_out", F.lit(False)).alias("held_out"))
+    kept = keep(blocks(docs), "blocks")
+    pairs = kept.select(F.explode(F.arrays_zip("vocabulary", "times")).alias("x")).select(F.col("x.vocabulary").alias("token"), F.col("x.times").alias("n"))
+    counts = keep(pairs.where("n > 0").groupBy("token").agg(F.sum("n").alias("n")), "counts")
     got = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, base_of = got["n"], got["n"] + ADD * (got["v"] + 1)
-    head = head_of(counts)
-    names = sorted(head)
-    base = np.array([(head[t] + ADD) / base_of for t in names])
-    base = np.append(base, max(1 - base.sum(), ADD / base_of))
-    texts = keep(encoded(docs, head).withColumn("row_id", F.monotonically_increasing_id()), "encoded")
-    learned = texts.where("NOT held_out AND doc_id IS NOT NULL")
-    model = first_model(base)
-    for _ in range(rounds if total else 0):
-        model = m_step(*e_step(learned, model), base)
-    shared = docs.sparkSession.sparkContext.broadcast((model, np.log10(base[:-1])))
-
-    def run(batches):
-        m, log_base = shared.value
-        log_base, other = np.append(log_base, 0), len(log_base)
-        for batch in batches:
-            n = batch.num_rows
-            score, base_score, size, rare = np.zeros(n), np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
-            for lo in range(0, n, 2048):
-                for own, x in _groups(batch.column("ids").slice(lo, 2048)):
-                    score[lo + own] = forward(x, m)[0]
-                    known = x >= 0
-                    size[lo + own] = known.sum(0)
-                    rare[lo + own] = (x == other).sum(0)
-                    base_score[lo + own] = np.where(known, log_base[np.where(known, x, 0)], 0).sum(0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row_id", "doc_id", "held_out")), pa.array(size), pa.array(size - rare), pa.array(base_score), pa.array(score)], ["row_id", "doc_id", "held_out", "n_tokens", "n_head", "head_base", "head_score"])
-
-    scored = texts.select("row_id", "doc_id", "held_out", "ids").mapInArrow(run, "row_id long, doc_id long, held_out boolean, n_tokens long, n_head long, head_base double, head_score double")
-    rare = texts.select("row_id", F.explode("rare").alias("r")).select("row_id", "r.token", F.col("r.n").alias("times"))
-    tail = counts.join(small_or_shuffled(docs.sparkSession.createDataFrame([(t,) for t in names], "token string")), "token", "left_anti") if names else counts
-    rare = rare.join(tail, "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    rare = rare.groupBy("row_id").agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("n_rare"), F.sum(F.col("times") * F.log10((F.col("n") + ADD) / base_of)).alias("rare_base"), F.sum("times").alias("times"))
-    out = scored.join(rare, "row_id", "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return out.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_head") + zero("n_rare")).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("head_base") + zero("rare_base")).alias("base_score"),
-        (F.col("head_score") + zero("rare_base") - zero("times") * F.lit(float(np.log10(base[-1])))).alias("score"),
-    )
+    if total:
+        model, head = _tied(kept, counts, base_of)
+        table = keep(_e_step(kept, model, head, True).withColumnRenamed("key", "token").withColumnRenamed("times", "n"), "emissions")
+        sums = table.agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in COLUMNS)).first()
+        whole = _all_states(np.array([sums["n"]]), [np.array([float(sums[c])]) for c in COLUMNS])[:, 0]
+        share = (whole + 1) / (whole.sum() + STATES)
+    else:
+        model, share = first_model(np.ones(1)), np.full(STATES, 1 / STATES)
+        table = docs.sparkSession.createDataFrame([], "token long, n long, " + ", ".join(f"{c} long" for c in COLUMNS))
+    parts = [F.col(c) / FINE for c in COLUMNS]
+    parts.append(F.greatest(F.col("n") - sum(parts, F.lit(0.0)), F.lit(0.0)))
+    weight = (F.col("n") + ADD) / base_of
+    tilted = [F.sum(weight * (c + SMOOTH * float(p)) / ((F.col("n") + SMOOTH) * float(p))) for c, p in zip(parts, share)]
+    got = table.agg(*(F.coalesce(t, F.lit(0.0)).alias(f"z{k}") for k, t in enumerate(tilted))).first()
+    norm = np.array([got[f"z{k}"] for k in range(STATES)]) + ADD / base_of  # one unseen token more, as in the base
+    return _scored(kept, table, model, share, norm, total, base_of)
+
+
+def _scored(kept: DataFrame, table: DataFrame, model: dict, share: np.ndarray, norm: np.ndarray, total: int, base_of: float) -> DataFrame:
+    """Scores of the texts of all blocks by start and moves of the model and the emissions in table (token, n, c0..)."""
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        at, out = right.column("at").to_numpy(), []
+        for row in _rows(left.to_batches()):
+            size = len(row["vocabulary"])
+            n, c = np.zeros(size), np.zeros((STATES, size))
+            n[at] = right.column("n").to_numpy()
+            c[:, at] = _all_states(n[at], [right.column(name).to_numpy() for name in COLUMNS])
+            base = (n + ADD) / base_of
+            emit = (base * tilts(c, n, share) / norm[:, None]).astype(np.float32)
+            ids, sizes = _texts_of(row, False)
+            ends = np.append(0, np.cumsum(sizes))
+            sum_of = lambda v: np.diff(np.append(0, np.cumsum(v[ids]))[ends])  # noqa: E731, B023
+            score = np.zeros(len(sizes))
+            for place, x, own_sizes in _groups(ids, sizes):
+                score[place] = forward(x, own_sizes, model | {"emit": emit})[0]
+            exact = np.add.reduceat(np.log10(base)[ids], ends[:-1])
+            columns = [row["doc_ids"], row["held"], sizes, sum_of((n > 0).astype(np.int64)), np.full(len(sizes), total), exact, score]
+            out.append(pa.Table.from_arrays([pa.array(v, t) if isinstance(v, np.ndarray) else v for v, t in zip(columns, types)], names))
+        return pa.concat_tables(out) if out else pa.schema(list(zip(names, types))).empty_table()
+
+    wanted = kept.select(F.col("block").alias("of"), F.posexplode("vocabulary").alias("at", "token")).join(table, "token").drop("token")
+    return kept.groupBy("block").cogroup(wanted.groupBy("of")).applyInArrow(run, schema)

@@ -2,11 +2,13 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zlib
 from pyspark.sql import functions as F
@@ -174,29 +176,83 @@ def test_hmm(docs):
     from scriptorium.llm import hmm
 
     rows = [(i, t) for i, t in SAMPLE if i is None or i < 60]
-    got = hmm.scores(docs(rows).withColumn("held_out", F.col("doc_id").isin(3, 8)), rounds=2).collect()
+    got = hmm.scores(docs(rows).withColumn("held_out", F.col("doc_id").isin(3, 8))).collect()
+    tokens = lambda t: [*WORD.findall((t or "").translate(str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)}))), "\n"]
     counts = collections.Counter()
     for i, t in rows:
         if i not in (None, 3, 8):
-            counts.update(hmm.tokens(t))
+            counts.update(tokens(t))
     n, v = sum(counts.values()), len(counts)
+    assert len(got) == len(rows)
     for r in got:
-        if r.doc_id in (None, 12):
+        if r.doc_id is None:
             continue
-        ts = hmm.tokens(dict(rows)[r.doc_id])
+        ts = tokens(dict(rows)[r.doc_id])
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ts), sum(counts[t] > 0 for t in ts), n)
         assert r.base_score == pytest.approx(sum(math.log10((counts[t] + 0.1) / (n + 0.1 * (v + 1))) for t in ts))
         assert r.score < 0
+    by = {r.doc_id: r.score for r in got}
+    assert by[1] == pytest.approx(by[2]) and by[5] == pytest.approx(by[6])
+    assert hmm.scores(docs([]).withColumn("held_out", F.lit(False))).count() == 0
+    untrained = hmm.scores(docs(rows[:3]).withColumn("held_out", F.lit(True))).collect()
+    assert [(r.n_known, r.train_tokens) for r in untrained] == [(0, 0)] * 3
+
+
+def test_hmm_counts_equal_a_sum_over_paths():
+    from scriptorium.llm import hmm
+
     rng = np.random.default_rng(0)
     model = hmm.first_model(rng.dirichlet(np.ones(5)), 3)
+    model["start"] = np.array([0.5, 0.3, 0.2])
+    texts = [[0, 4, 3, 1], [1, 2]]
     x = np.array([[0, 1], [4, 2], [3, -1], [1, -1]], np.int32)
-    for k, ids in enumerate(([0, 4, 3, 1], [1, 2])):
-        a = model["start"] * model["emit"][ids[0]]
-        for i in ids[1:]:
-            a = (a @ model["move"]) * model["emit"][i]
-        assert hmm.forward(x, model)[0][k] == pytest.approx(math.log10(a.sum()), rel=1e-5)
-    emissions, moves, starts = hmm.expected(x, model)
-    assert emissions.sum() == pytest.approx(6, rel=1e-4) and moves.sum() == pytest.approx(4, rel=1e-4) and starts.sum() == pytest.approx(2, rel=1e-4)
+    emissions, moves, starts = np.zeros((3, 5)), np.zeros((3, 3)), np.zeros(3)
+    logs = []
+    for ids in texts:
+        paths = {}
+        for path in itertools.product(range(3), repeat=len(ids)):
+            p = model["start"][path[0]] * model["emit"][path[0], ids[0]]
+            for (a, b), i in zip(zip(path, path[1:]), ids[1:]):
+                p *= model["move"][a, b] * model["emit"][b, i]
+            paths[path] = p
+        whole = sum(paths.values())
+        logs.append(math.log10(whole))
+        for path, p in paths.items():
+            starts[path[0]] += p / whole
+            for s, i in zip(path, ids):
+                emissions[s, i] += p / whole
+            for a, b in zip(path, path[1:]):
+                moves[a, b] += p / whole
+    got = hmm.expected(x, np.array([4, 2]), model)
+    for a, b in zip(got, (emissions, moves, starts)):
+        assert np.allclose(a, b, atol=1e-5)
+    assert np.allclose(hmm.forward(x, np.array([4, 2]), model)[0], logs, atol=1e-5)
+
+
+def test_hmm_scores_equal_a_plain_pass_over_the_trained_emissions(docs, monkeypatch):
+    """Every trained token has emissions of its own; blocks don't change scores."""
+    from scriptorium.llm import hmm
+
+    rows = [(i, text(30 + i, i, 40)) for i in range(12)]
+    frame = docs(rows).withColumn("held_out", F.col("doc_id") == 3)
+    scores = {r.doc_id: r.score for r in hmm.scores(frame).collect()}
+    kept = {}
+    monkeypatch.setattr(hmm, "_scored", lambda *a: kept.update(args=a))
+    hmm.scores(frame)
+    _, table, model, share, norm, total, base_of = kept["args"]
+    emissions = {}
+    for r in table.collect():
+        c = np.array([r[k] / hmm.FINE for k in hmm.COLUMNS])
+        c = np.maximum(np.append(c, r.n - c.sum()), 0)
+        emissions[r.token] = (r.n + 0.1) / base_of * (c / share + hmm.SMOOTH) / (r.n + hmm.SMOOTH) / norm
+    assert np.allclose(sum(emissions.values()) + 0.1 / base_of / norm, 1)
+    for i, t in rows:
+        vocabulary, place, _ = hmm.tokens(pa.array([t]))
+        a = np.array(model["start"])
+        for k, token in enumerate(vocabulary[place]):
+            e = emissions.get(token, 0.1 / base_of / norm)
+            a = (a @ model["move"] if k else a) * e
+        assert scores[i] == pytest.approx(math.log10(a.sum()), rel=1e-5)
 
 
 def test_quality_rules(docs):
