@@ -82,7 +82,7 @@ def _lists(items: list[np.ndarray]) -> pa.Array:
 
 
 def _plain(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_key"))
 
 
 def _anchors(flat: np.ndarray) -> np.ndarray:
@@ -94,14 +94,14 @@ def _anchors(flat: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), cid (class), head (of small sets, the first shingles by hash); and rows with n null, whose head and times are counts of anchors."""
-    schema = "doc_id long, n long, cid long, head array<long>, times array<long>"
+    """doc_id, text_key, n (set size), cid (class), head (of small sets, the first shingles by hash); and rows with n null, whose head and times are counts of anchors."""
+    schema = "doc_id long, text_key long, n long, cid long, head array<long>, times array<long>"
 
     def counted(held: list[np.ndarray]) -> pa.RecordBatch:
         tok, times = np.unique(np.concatenate(held), return_counts=True)
         cuts = range(0, len(tok), 1 << 16)
         none = pa.nulls(len(cuts), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, none, _lists([tok.view(np.int64)[c : c + (1 << 16)] for c in cuts]), _lists([times[c : c + (1 << 16)] for c in cuts])], ["doc_id", "n", "cid", "head", "times"])
+        return pa.RecordBatch.from_arrays([none, none, none, none, _lists([tok.view(np.int64)[c : c + (1 << 16)] for c in cuts]), _lists([times[c : c + (1 << 16)] for c in cuts])], ["doc_id", "text_key", "n", "cid", "head", "times"])
 
     def run(batches):
         held, size, seen = [], 0, set()
@@ -122,7 +122,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             if size > WINDOW:
                 yield counted(held)
                 held, size, seen = [], 0, set()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), _lists(head), pa.nulls(len(n), pa.list_(pa.int64()))], ["doc_id", "n", "cid", "head", "times"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), _lists(head), pa.nulls(len(n), pa.list_(pa.int64()))], ["doc_id", "text_key", "n", "cid", "head", "times"])
         if held:
             yield counted(held)
 
@@ -335,7 +335,7 @@ _MAY = f"a < b AND 100 * least(na, nb) >= {PERCENT} * greatest(na, nb) AND (ra <
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
+    """doc_id, n_shingles, component_id of every row of docs (doc_id, text); and text_key (hash of the text), component_key (one for each component)."""
     rows = keep(signatures(docs), "signatures")
     spark = docs.sparkSession
     anchors = rows.where("n IS NULL").select(F.explode(F.arrays_zip("head", "times")).alias("x")).groupBy("x.head").agg(F.sum("x.times").alias("times")).withColumnRenamed("head", "tok")
@@ -383,6 +383,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         read = _of_classes(docs, moved)
     grouped = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     smallest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    known = keep(grouped.join(smallest, "root").select("cid", "component_id"), "known")
-    out = rows.select("doc_id", "n", "cid").join(known, "cid", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
+    known = keep(grouped.join(smallest, "root").select("cid", "root", "component_id"), "known")
+    out = rows.select("doc_id", "text_key", "n", "cid").join(known, "cid", "left")
+    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "text_key", F.coalesce("root", "cid").alias("component_key"))
