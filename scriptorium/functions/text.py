@@ -42,7 +42,8 @@ def without_tags(c: Column) -> Column:
 
 def bookmark(c: Column, most: int = 40) -> Column:
     """A name of word characters that begins with a letter."""
-    return F.substring(F.concat(F.lit("_"), F.regexp_replace(c, "[^A-Za-z0-9_]+", "_")), 1, most)
+    name = F.regexp_replace(c, "[^A-Za-z0-9_]", "_")
+    return F.substring(F.when(name.rlike("^[A-Za-z]"), name).otherwise(F.concat(F.lit("ref_"), name)), 1, most)
 
 
 def grouped_digits(c: Column, mark: str = ",") -> Column:

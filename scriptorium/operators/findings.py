@@ -23,3 +23,10 @@ def first_copies(docs: DataFrame) -> DataFrame:
     """doc_id, media_id: equal texts share the smallest doc_id among them."""
     marked = docs.select("doc_id", F.md5(F.encode("text", "utf-8")).alias("digest"))
     return marked.join(marked.groupBy("digest").agg(F.min("doc_id").alias("media_id")), "digest").select("doc_id", "media_id")
+
+
+def broken_lines(cells: DataFrame, failing: DataFrame, line: str, family: str, share: float = 0.6) -> DataFrame:
+    """line, family, failing, cells: rows (or columns) of a matrix of which more than one cell, and at least share of all, fail the same way."""
+    total = cells.groupBy(line).agg(F.count("*").alias("cells"))
+    bad = failing.groupBy(line, family).agg(F.count("*").alias("failing")).where("failing > 1")
+    return bad.join(total, line).where(F.col("failing") >= share * F.col("cells"))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def registry(labels: DataFrame, key: str, pos: str, *values: str) -> DataFrame:
-    """One row per key: of several definitions the last one counts."""
-    return labels.groupBy(key).agg(*(F.max_by(v, pos).alias(v) for v in values), F.count("*").alias("definitions"))
+    """One row per key: of several definitions the last one counts, of those at one place the one with the largest values."""
+    rows = labels.groupBy(key).agg(F.max(F.struct(pos, *values)).alias("_last"), F.count("*").alias("definitions"))
+    return rows.select(key, *(F.col(f"_last.{v}").alias(v) for v in values), "definitions")
 
 
 def resolved(refs: DataFrame, labels: DataFrame, ref: str, key: str) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.operators.findings import broken_lines
 from scriptorium.operators.numbering import running
 
 
@@ -48,26 +51,43 @@ def captions(rows: DataFrame, by: list[str], order: str, kind: Column, caption:
     return rows.where(caption & F.col("_target").isNotNull()).select(*by, F.col("_target").alias("target"), F.col(order).alias("caption"))
 
 
-def chain_ends(links: DataFrame, key: str, kept: str, doublings: int = 5) -> DataFrame:
-    """key, kept: the end of the chain from each key, found by doubling its stride; keys in no link as key are ends.
-
-    A chain longer than 2 ** doublings or a cycle stops where the strides end.
-    """
-    ends = links.select(key, kept)
-    for _ in range(doublings):
-        on = ends.select(F.col(key).alias(kept), F.col(kept).alias("_next"))
-        ends = ends.join(on, kept, "left").select(key, F.coalesce("_next", kept).alias(kept))
-    return ends
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """A checkpoint in the folder that the session names; in a local session without one, in one of its own."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="scriptorium-"))
+    return df.checkpoint()
 
 
-def explained_apart(cells: DataFrame, x: str, y: str, share: float = 0.6) -> DataFrame:
-    """Cells (x, y, n, failed) with failures that no broken line explains: one whose share of failures reaches share."""
+def chain_ends(links: DataFrame, key: str, kept: str) -> DataFrame:
+    """key, kept: the end of the chain from each key, which has one link at most; null where the chain runs into a cycle.
 
-    def broken(c: str) -> DataFrame:
-        lines = cells.groupBy(c).agg(F.sum("n").alias("all_n"), F.sum("failed").alias("all_failed"))
-        return lines.where((F.col("all_failed") >= share * F.col("all_n")) & (F.col("all_failed") > 1)).select(c)
-
-    return cells.where("failed > 0").join(broken(x), x, "left_anti").join(broken(y), y, "left_anti")
+    The stride doubles until every chain has ended; chains that go on for more links than there are run in cycles. Each
+    round is a join, and its result is checkpointed, as the plan would double too.
+    """
+    ends, stride, most = links.select(key, kept), 1, None
+    while True:
+        on = ends.select(F.col(key).alias(kept), F.col(kept).alias("_next"))
+        ends = ends.join(on, kept, "left")
+        ends = ends.select(key, F.coalesce("_next", kept).alias(kept), F.col("_next").isNotNull().alias("_open"))
+        ends = cut_lineage(ends)
+        most = ends.count() if most is None else most
+        if ends.where("_open").isEmpty():
+            return ends.drop("_open")
+        if stride > most:
+            return ends.select(key, F.when(~F.col("_open"), F.col(kept)).alias(kept))
+        ends, stride = ends.drop("_open"), 2 * stride
+
+
+def explained_apart(cells: DataFrame, failing: DataFrame, x: str, y: str, family: str) -> DataFrame:
+    """Failing cells (x, y, family) that no broken row or column of their family explains."""
+    for line in (x, y):
+        failing = failing.join(broken_lines(cells, failing, line, family).select(line, family).withColumn("_broken", F.lit(True)), [line, family], "left")
+        failing = failing.withColumnRenamed("_broken", f"_{line}")
+    return failing.where(f"_{x} IS NULL AND _{y} IS NULL").drop(f"_{x}", f"_{y}")
 
 
 def by_precedence(rows: DataFrame, key: str, rank: str) -> DataFrame:

@@ -63,7 +63,7 @@ def _(pages):
     return pages.select("page_id", F.md5(F.encode(T.without_tags(F.col("html")), "utf-8")).alias("text_md5"))
 
 
-@query("bookmark_sanitize", "SELECT page_id, substring('_' || regexp_replace(url, '[^A-Za-z0-9_]+', '_', 'g'), 1, 40) AS bookmark FROM pages", "pages")
+@query("bookmark_sanitize", "WITH c AS (SELECT page_id, regexp_replace(url, '[^A-Za-z0-9_]', '_', 'g') AS name FROM pages) SELECT page_id, substring(CASE WHEN regexp_matches(name, '^[A-Za-z]') THEN name ELSE 'ref_' || name END, 1, 40) AS bookmark FROM c", "pages")
 def _(pages):
     return pages.select("page_id", T.bookmark(F.col("url")).alias("bookmark"))
 
@@ -169,7 +169,7 @@ def _(events):
 # labels and references
 
 
-@query("label_registry", "SELECT user_id, event_type, max_by(event_id, ts) AS event_id, max_by(value, ts) AS value, count(*) AS definitions FROM events GROUP BY 1, 2", "events")
+@query("label_registry", "SELECT user_id, event_type, event_id, value, definitions FROM (SELECT *, count(*) OVER (PARTITION BY user_id, event_type) AS definitions, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC, value DESC) AS k FROM events) WHERE k = 1", "events")
 def _(events):
     named = events.withColumn("key", F.struct("user_id", "event_type"))
     return refs.registry(named, "key", "ts", "event_id", "value").select("key.*", "event_id", "value", "definitions")
@@ -186,11 +186,11 @@ def _(lineitem, orders):
     return refs.dangling(lineitem, orders.where("o_orderstatus <> 'P'").select("o_orderkey"), "l_orderkey", "o_orderkey").groupBy("l_orderkey").agg(F.count("*").alias("n"))
 
 
-@query("alias_expand", "WITH labels AS (SELECT n_name AS key, n_regionkey FROM nation WHERE n_nationkey % 2 = 0), aliases AS (SELECT a.n_name AS alias, b.n_name AS kept FROM nation a JOIN nation b ON b.n_nationkey = a.n_nationkey - 1) SELECT * FROM labels UNION ALL SELECT alias, l.n_regionkey FROM aliases JOIN labels l ON kept = l.key WHERE alias NOT IN (SELECT key FROM labels)", "nation")
-def _(nation):
-    labels = nation.where("n_nationkey % 2 = 0").select(F.col("n_name").alias("key"), "n_regionkey")
-    before = nation.select((F.col("n_nationkey") + 1).alias("n_nationkey"), F.col("n_name").alias("kept"))
-    return refs.with_aliases(labels, nation.join(before, "n_nationkey").select(F.col("n_name").alias("alias"), "kept"), "key", "alias", "kept")
+@query("alias_expand", "WITH labels AS (SELECT s_name AS key, s_nationkey FROM supplier WHERE s_acctbal >= 0), aliases AS (SELECT a.s_name AS alias, b.s_name AS kept FROM supplier a JOIN supplier b ON b.s_suppkey = a.s_suppkey - 1) SELECT * FROM labels UNION ALL SELECT alias, l.s_nationkey FROM aliases JOIN labels l ON kept = l.key WHERE alias NOT IN (SELECT key FROM labels)", "supplier")
+def _(supplier):
+    labels = supplier.where("s_acctbal >= 0").select(F.col("s_name").alias("key"), "s_nationkey")
+    before = supplier.select((F.col("s_suppkey") + 1).alias("s_suppkey"), F.col("s_name").alias("kept"))
+    return refs.with_aliases(labels, supplier.join(before, "s_suppkey").select(F.col("s_name").alias("alias"), "kept"), "key", "alias", "kept")
 
 
 @query("style_merge", "SELECT c_nationkey AS nation, CAST(count(*) AS BIGINT) AS n FROM customer GROUP BY 1 UNION ALL SELECT s_nationkey, count(*) FROM supplier WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer) GROUP BY 1", "customer", "supplier")
@@ -319,13 +319,27 @@ def _(labels, documents):
     return findings.margins(rows, "lang", "source", "bad")
 
 
-@query("broken_rows", "SELECT lang, source, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY 1, 2 HAVING sum(CAST(quality = 0 AS INTEGER)) = 0", "labels", "documents")
+#: A cell (lang, source) fails the same way, its family, if it has a larger share of such documents than allowed in 100.
+FAILS = {"quality": ("quality = 0", 20), "toxic": ("toxic = 1", 5)}
+CELLS = "d AS (SELECT lang, source, quality, toxic FROM labels JOIN documents USING (doc_id)), cells AS (SELECT DISTINCT lang, source FROM d), failing AS (" + " UNION ALL ".join(f"SELECT lang, source, '{k}' AS family FROM d GROUP BY 1, 2 HAVING 100 * sum(CAST({c} AS INTEGER)) > {p} * count(*)" for k, (c, p) in FAILS.items()) + ")"
+BROKEN = " UNION ALL ".join(f"SELECT '{c}' AS kind, f.{c} AS name, family, count(*) AS failing, any_value(t.n) AS cells FROM failing f JOIN (SELECT {c}, count(*) AS n FROM cells GROUP BY 1) t ON f.{c} = t.{c} GROUP BY 1, 2, 3 HAVING count(*) > 1 AND count(*) >= 0.6 * any_value(t.n)" for c in ("lang", "source"))
+
+
+def matrix_cells(labels, documents):
+    """All cells, and those that fail with the family of the failure."""
+    rows = labels.join(documents.select("doc_id", "lang", "source"), "doc_id")
+    parts = [rows.groupBy("lang", "source").agg(F.count("*").alias("n"), F.count_if(F.expr(c)).alias("bad")).where(F.expr(f"100 * bad > {p} * n")).select("lang", "source", F.lit(k).alias("family")) for k, (c, p) in FAILS.items()]
+    return rows.select("lang", "source").distinct(), parts[0].unionByName(parts[1])
+
+
+@query("broken_rows", f"WITH {CELLS} {BROKEN}", "labels", "documents")
 def _(labels, documents):
-    rows = labels.join(documents.select("doc_id", "lang", "source"), "doc_id").withColumn("bad", F.col("quality") == 0)
-    cells = rows.groupBy("lang", "source").agg(F.count("*").alias("n"), F.max("bad").alias("any_bad"))
-    return cells.where("NOT any_bad").drop("any_bad")
+    cells, failing = matrix_cells(labels, documents)
+    lines = [findings.broken_lines(cells, failing, c, "family").select(F.lit(c).alias("kind"), F.col(c).alias("name"), "family", "failing", "cells") for c in ("lang", "source")]
+    return lines[0].unionByName(lines[1])
 
 
-@query("cross_compatible", "SELECT r_name, n_name FROM region JOIN nation ON n_regionkey = r_regionkey AND n_nationkey % 2 = r_regionkey % 2", "region", "nation")
-def _(region, nation):
-    return region.join(nation, (F.col("n_regionkey") == F.col("r_regionkey")) & (F.col("n_nationkey") % 2 == F.col("r_regionkey") % 2)).select("r_name", "n_name")
+@query("cross_compatible", "SELECT s_suppkey, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON r_regionkey <> n_regionkey AND s_suppkey % 2 = r_regionkey % 2", "supplier", "nation", "region")
+def _(supplier, nation, region):
+    placed = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).withColumn("parity", F.col("s_suppkey") % 2)
+    return placed.join(region.withColumn("parity", F.col("r_regionkey") % 2), "parity").where("r_regionkey <> n_regionkey").select("s_suppkey", "r_name")

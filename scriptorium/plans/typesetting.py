@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import typeset as T
 from scriptorium.operators import findings, numbering, reconcile, structure
-from scriptorium.plans.queries import query
+from scriptorium.plans.queries import BROKEN, CELLS, matrix_cells, query
 
 _LETTERS = "CASE WHEN {n} <= 26 THEN chr(CAST(96 + {n} AS INTEGER)) WHEN {n} <= 702 THEN chr(CAST(96 + ({n} - 1) // 26 AS INTEGER)) || chr(CAST(97 + ({n} - 1) % 26 AS INTEGER)) ELSE chr(CAST(97 + ({n} - 703) // 676 AS INTEGER)) || chr(CAST(97 + (({n} - 703) // 26) % 26 AS INTEGER)) || chr(CAST(97 + ({n} - 703) % 26 AS INTEGER)) END"
 _BY_USER = "PARTITION BY user_id ORDER BY ts, event_id"
@@ -186,11 +186,10 @@ def _(customer, supplier):
     return structure.by_precedence(of(customer, "c_nationkey", "c_acctbal", 1).unionByName(of(supplier, "s_nationkey", "s_acctbal", 0)), "nation", "prio").select("nation", "prio", "n")
 
 
-@query("interactions", "WITH c AS (SELECT lang, source, count(*) AS n, CAST(sum(CAST(quality = 0 AS INTEGER)) AS BIGINT) AS failed FROM labels JOIN documents USING (doc_id) GROUP BY 1, 2), l AS (SELECT lang FROM c GROUP BY 1 HAVING sum(failed) >= 0.6 * sum(n) AND sum(failed) > 1), s AS (SELECT source FROM c GROUP BY 1 HAVING sum(failed) >= 0.6 * sum(n) AND sum(failed) > 1) SELECT * FROM c WHERE failed > 0 AND lang IS NOT NULL AND NOT EXISTS (SELECT 1 FROM l WHERE l.lang = c.lang) AND NOT EXISTS (SELECT 1 FROM s WHERE s.source = c.source)", "labels", "documents")
+@query("interactions", f"WITH {CELLS}, broken AS ({BROKEN}) SELECT lang, source, family FROM failing f WHERE NOT EXISTS (SELECT 1 FROM broken b WHERE b.family = f.family AND (b.kind = 'lang' AND b.name = f.lang OR b.kind = 'source' AND b.name = f.source))", "labels", "documents")
 def _(labels, documents):
-    rows = labels.join(documents.select("doc_id", "lang", "source"), "doc_id").where("lang IS NOT NULL")
-    cells = rows.groupBy("lang", "source").agg(F.count("*").alias("n"), F.count_if(F.col("quality") == 0).alias("failed"))
-    return structure.explained_apart(cells, "lang", "source").select("lang", "source", "n", "failed")
+    cells, failing = matrix_cells(labels, documents)
+    return structure.explained_apart(cells, failing, "lang", "source", "family").select("lang", "source", "family")
 
 
 @query("signature_families", "SELECT CASE WHEN event_type IN ('click', 'view') THEN event_type ELSE event_type || ':' || user_id % 10 END AS family, count(*) AS n FROM events GROUP BY 1", "events")
