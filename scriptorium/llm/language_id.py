@@ -2,12 +2,13 @@
 
 Features are counts of character bigrams and trigrams of the lower-cased letters (all else is a space), hashed to DIMS
 buckets and divided by the number of n-grams of the text, so that a text of any length is scored whole in one pass.
-The machines are fitted by dual coordinate descent on a sample of at most SAMPLE labelled rows, drawn evenly from the
-languages by a hash of doc_id; everything else covers all rows.
+The machines are fitted by dual coordinate descent on a sample of about SAMPLE labelled rows, drawn evenly from all
+languages by a hash of doc_id (EACH for a language at least, however many there are); everything else covers all rows.
 
 Cases: null text, or text without a letter: `und` with score 0. Null lang: not learned from, but predicted. Null
 doc_id: not learned from. No labelled row at all: `und` for every text. Repeated rows are all returned. Languages that
-the family table does not know are families of their own.
+the family table does not know are families of their own. Columns of the input that have the names of the new ones are
+replaced. Equal margins go to the language that comes first in the alphabet.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ FAMILIES = {
 }
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes}
 
-DIMS, SAMPLE, EPOCHS, COST, SCALE = 1 << 14, 3000, 30, 10.0, 32.0
+DIMS, SAMPLE, EACH, EPOCHS, COST, SCALE = 1 << 14, 3000, 10, 30, 10.0, 32.0
 CHUNK = 1 << 19
 
 
@@ -108,16 +109,14 @@ def svm(rows: list[tuple[np.ndarray, np.ndarray]], sign: np.ndarray) -> tuple[np
 
 def fit(docs: DataFrame) -> dict:
     """The machines, from docs (doc_id, text, lang): all its rows with a lang may be learned from."""
-    known = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(SAMPLE // 10).collect()}
+    known = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
     if not counts:
         return {"langs": []}
-    each = SAMPLE // len(counts)
+    each = max(EACH, SAMPLE // len(counts))
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.lit(None)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(each / n)).otherwise(share)
-    rows = features(known.where(drawn < share)).limit(2 * SAMPLE).collect()
+    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, each / n)))
+    rows = features(known.where(drawn < F.element_at(share, F.col("lang")))).limit(2 * each * len(counts)).collect()
     rows = [(r["lang"], np.array(r["ids"], np.int32), np.array(r["counts"], np.float64)) for r in rows if r["ids"]]
     rows = sorted(((lang, ids, SCALE * c / c.sum()) for lang, ids, c in rows), key=lambda r: (r[0], len(r[1]), r[1].tolist()))
     langs = sorted({r[0] for r in rows})
@@ -166,7 +165,8 @@ def decide(margins: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray]:
 
 def with_language(docs: DataFrame, model: dict, lang: str = "lang_pred", score: str = "score", text: str = "text") -> DataFrame:
     """docs with two more columns: the predicted language and its score from 0 to 1. No shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most SAMPLE / 10 languages
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 64 KB a machine; grows with the languages, not with the rows
+    docs = docs.drop(lang, score)
     schema = T.StructType([*docs.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
 
     def run(batches):
