@@ -12,8 +12,10 @@ items under ten words, see `allowed`). Words are runs of letters and digits, low
    edited copies with all allowed edits agree.
 4. Candidates are verified by the exact edit distance between the item and the best passage around the window.
 
-Cases: null or empty text leaks nothing; null item texts and items under five words, which can't be told from chance,
-are left out. Equal items give a row each; repeated documents are all returned. Items go in blocks of BLOCK, each in a
+Items under LEAST words allow no edit: they are found where their words stand, by a look-up of hashed runs of words.
+
+Cases: null or empty text leaks nothing; null item texts and items without a word are left out. Of equally close
+passages the first counts. Equal items give a row each; texts are taken whole, whatever their length; repeated documents are all returned. Items go in blocks of BLOCK, each in a
 scan of its own. An empty table on either side gives no rows.
 """
 
@@ -57,6 +59,17 @@ def walks(rows: np.ndarray, seed: int) -> np.ndarray:
     return out
 
 
+def runs(ids: np.ndarray, n: int) -> np.ndarray:
+    """Hashes (63 bits) of all runs of n word ids along the last axis; -1 where a word is in no item."""
+    size = max(0, ids.shape[-1] - n + 1)
+    parts = [ids[..., k : k + size] for k in range(n)]
+    code, known = np.zeros(parts[0].shape, np.uint64), np.ones(parts[0].shape, bool)
+    for part in parts:
+        known &= part > 0
+        code = (code ^ (code >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + part.astype(np.uint64)
+    return np.where(known, (code & np.uint64((1 << 63) - 1)).astype(np.int64), -1)
+
+
 class Index:
     """Items of one block, by length: trigrams, and buckets of sampled walk steps."""
 
@@ -65,9 +78,13 @@ class Index:
         for item_id, ws in items:
             by[len(ws)].append(len(self.items))
             self.items.append((item_id, np.array([self.known.setdefault(w, len(self.known) + 1) for w in ws], np.int64)))
-        self.base = len(self.known) + 1
-        self.lengths = {}
+        self.lengths, self.short = {}, {}
         for n, own in by.items():
+            if n < LEAST:
+                at = self.short[n] = defaultdict(list)
+                for i in own:
+                    at[tuple(self.items[i][1].tolist())].append(i)
+                continue
             rows = np.stack([self.items[i][1] for i in own])
             steps = self.tables(rows, n)
             embedded, buckets = walks(rows, seed), defaultdict(list)
@@ -75,11 +92,21 @@ class Index:
                 for i, key in zip(own, map(bytes, np.ascontiguousarray(embedded[w][:, picks]))):
                     buckets[t, key].append(i)
             self.lengths[n] = (np.unique(self.trigrams(rows)), steps, dict(buckets))
-        self.all = np.unique(np.concatenate([x[0] for x in self.lengths.values()])) if by else np.zeros(0, np.int64)
+        self.all = np.unique(np.concatenate([x[0] for x in self.lengths.values()])) if self.lengths else np.zeros(0, np.int64)
+        self.runs = {n: np.unique(runs(np.array(list(at), np.int64), n)) for n, at in self.short.items()}
 
     def trigrams(self, ids: np.ndarray) -> np.ndarray:
-        a, b, c = ids[..., :-2], ids[..., 1:-1], ids[..., 2:]
-        return np.where((a > 0) & (b > 0) & (c > 0), (a * self.base + b) * self.base + c, -1)
+        return runs(ids, 3)
+
+    def exact(self, ids: np.ndarray) -> dict[int, int]:
+        """Of one text as word ids, the items under LEAST words that stand in it, each with its first place."""
+        found = {}
+        for n, own in self.runs.items():
+            hashed = runs(ids, n)
+            for s in np.flatnonzero(np.isin(hashed, own) & (hashed >= 0)).tolist():
+                for item in self.short[n].get(tuple(ids[s : s + n].tolist()), ()):
+                    found.setdefault(item, s)
+        return found
 
     def tables(self, rows: np.ndarray, n: int) -> list[tuple[int, np.ndarray]]:
         """Sampled steps of as many tables as TARGET needs at the largest distance."""
@@ -157,20 +184,19 @@ def _block(docs: DataFrame, index: Index) -> DataFrame:
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 ws = words(text or "")
-                if len(ws) < LEAST:
+                if not ws:
                     continue
                 ids = np.fromiter((get(w, 0) for w in ws), np.int64, len(ws))
+                best = {item: (0, s, s + len(index.items[item][1])) for item, s in index.exact(ids).items()}
                 tri = index.trigrams(ids)
                 tri = tri[tri >= 0]
-                if not len(tri) or not (all_[np.minimum(np.searchsorted(all_, tri), len(all_) - 1)] == tri).any():
-                    continue
-                found = index.candidates(ids)
-                spans = None
-                for item, starts in found.items():
-                    best = index.verified(item, ids.tolist(), starts)
-                    if best:
-                        spans = spans or [m.span() for m in _WORD.finditer(text)]
-                        rows.append({"doc_id": doc, "item_id": index.items[item][0], "distance": best[0], "item_words": len(index.items[item][1]), "start": spans[best[1]][0], "end": spans[best[2] - 1][1]})
+                if len(tri) and len(all_) and (all_[np.minimum(np.searchsorted(all_, tri), len(all_) - 1)] == tri).any():
+                    for item, starts in index.candidates(ids).items():
+                        best[item] = index.verified(item, ids.tolist(), starts)
+                spans = [m.span() for m in _WORD.finditer(text)] if any(best.values()) else []
+                for item, b in best.items():
+                    if b:
+                        rows.append({"doc_id": doc, "item_id": index.items[item][0], "distance": b[0], "item_words": len(index.items[item][1]), "start": spans[b[1]][0], "end": spans[b[2] - 1][1]})
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("item_words", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -185,7 +211,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
         rows = sorted(((r["item_id"], words(r["text"])) for r in rows), key=lambda r: (r[0] is None, r[0], r[1]))
-        rows = [r for r in rows if len(r[1]) >= LEAST]
+        rows = [r for r in rows if r[1]]
         one = _block(docs, Index(rows)) if rows else docs.sparkSession.createDataFrame([], OUT)
         out = one if out is None else out.unionByName(one)
     return out
