@@ -1,10 +1,15 @@
 """Chat formatting in budgeted windows that begin and end at turns.
 
-The prefix sums of the turns' tokens decide how many new turns fit a window of `budget` tokens beside the system turn,
-which every window repeats, and up to `history` earlier turns, which take at most half of the budget. Repeated turns
-are never targets, so each assistant text is a target once. A turn that alone is over the budget gets a window of its
-own, whole. Rows stream in order through a task that holds one window; conversations of more than BLOCK turn numbers
-are formatted block by block in different tasks, with the system turn and the history sent along.
+The prefix sums of the turns' tokens, by conversation and block, choose the spans: a window ends before the first turn
+whose prefix sum is farther from that of the window's begin than the room beside the system turn, which every window
+repeats, and up to `history` earlier turns, which take at most half of the budget. Repeated turns are never targets, so
+each assistant text is a target once. A turn that does not fit beside the system turn gets a window without it and
+without history; one that alone is over the budget gets a window of its own, whole.
+
+A window also ends at every `block`-th turn of a conversation, counted in its order: conversations of more turns are
+formatted block by block in different tasks, with the system turn and the history, which goes by that count, sent along.
+Turns are counted within runs of turn numbers, so only equal turn numbers have to be sorted in one task. Rows stream in
+order through a task that holds one window.
 
 A turn is <|im_start|>role, a line feed, text and <|im_end|>. Inside roles and texts a backslash is doubled and "<|"
 becomes "<\\|" (line feeds in roles "\\n"), so that no text can end a turn, and all is read back as it was.
@@ -20,7 +25,7 @@ import re
 from collections import deque
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.llm.shared import keep, small_or_shuffled
@@ -53,23 +58,48 @@ def turns_of(text: str) -> list[tuple[str, str]]:
     return found
 
 
-def _blocks(chats: DataFrame) -> DataFrame:
-    """Turns by block: kind 0 is a system turn and kind 1 history from an earlier block, kind 2 the block's own."""
+def _sized(chats: DataFrame, tokenizer: str) -> DataFrame:
+    """conv_id, turn, role, text, tokens: the turns without nulls in role or text, and the tokens of each as it is written."""
+
+    def run(batches):
+        import os
+
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        count = Tokenizer.from_file(tokenizer)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                turns = zip(part.column("role").to_pylist(), part.column("text").to_pylist())
+                sizes = [len(e.ids) for e in count.encode_batch_fast([turn_text(r, t)[0] for r, t in turns], add_special_tokens=False)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sizes, pa.int64())], names=[*part.schema.names, "tokens"])
+
     rows = chats.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 50))))
-    own = rows.withColumn("kind", F.lit(2))
-    after = rows.where((F.pmod("turn", F.lit(BLOCK)) >= BLOCK - HISTORY)).withColumn("block", F.col("block") + 1).withColumn("kind", F.lit(1))
-    spread = rows.groupBy("conv_id").agg(F.min("block").alias("b0"), F.max("block").alias("b1"), F.min("turn").alias("t0"), F.count_if(F.col("turn").isNull()).alias("no_turn"))
-    spread = keep(spread.where("b0 < b1").drop("b1"), "spread")
-    if spread.isEmpty():
-        return own
-    side = small_or_shuffled(spread.withColumnRenamed("conv_id", "c"))
-    many = rows.join(side, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
-    system = many.where("CASE WHEN no_turn > 0 THEN turn IS NULL ELSE turn = t0 END").groupBy("conv_id").agg(F.min(F.struct("role", "text")).alias("s"))
-    system = system.where("s.role = 'system'").select(F.col("conv_id").alias("c"), "s")
-    later = many.where("block > b0").select("conv_id", "block").distinct().join(system, F.col("conv_id").eqNullSafe(F.col("c")))
-    system = later.select("conv_id", F.lit(None).cast("long").alias("turn"), "s.role", "s.text", "block", F.lit(0).alias("kind"))
-    return own.unionByName(after).unionByName(system)
+    return rows.mapInArrow(run, "conv_id long, turn long, role string, text string, tokens long")
+
+
+def _blocks(chats: DataFrame, history: int, block: int) -> DataFrame:
+    """Turns by block: kind 0 is a system turn and kind 1 history from an earlier block, kind 2 the block's own."""
+    same = F.col("conv_id").eqNullSafe(F.col("c"))
+    long = keep(chats.groupBy(F.col("conv_id").alias("c")).count().where(F.col("count") > block).select("c"), "long")
+    own = lambda df, where: df.select("conv_id", "turn", "role", "text", "tokens", where.cast("long").alias("block"), F.lit(2).alias("kind"))
+    if long.isEmpty():
+        return own(chats, F.lit(0))
+    side = small_or_shuffled(long)
+    rows = chats.join(side, same).drop("c").withColumn("run", F.coalesce(F.floor(F.col("turn") / block), F.lit(-(1 << 60))))
+    runs = rows.groupBy(F.col("conv_id").alias("c"), F.col("run").alias("r")).agg(F.count("*").alias("rows"))  # one row for many turns
+    runs = runs.withColumn("before", F.sum("rows").over(Window.partitionBy("c").orderBy("r")) - F.col("rows"))
+    in_run = F.row_number().over(Window.partitionBy("conv_id", "run").orderBy("turn", "role", "text"))
+    rows = rows.withColumn("place", in_run - 1).join(small_or_shuffled(keep(runs, "runs")), same & (F.col("run") == F.col("r")))
+    rows = keep(rows.withColumn("place", F.col("place") + F.col("before")).select("conv_id", "turn", "role", "text", "tokens", "place"), "places")
+    later = F.floor(F.col("place") / block)
+    after = own(rows.where(F.pmod("place", F.lit(block)) >= block - history), later + 1).withColumn("kind", F.lit(1))
+    blocks = rows.where((F.col("place") > 0) & (F.pmod("place", F.lit(block)) == 0)).select(F.col("conv_id").alias("c"), later.alias("b"))
+    after = after.join(blocks, same & (F.col("block") == F.col("b")), "left_semi")  # a last full block has none after it
+    system = rows.where("place = 0 AND role = 'system'").join(blocks, same)
+    system = own(system, F.col("b")).withColumn("kind", F.lit(0))
+    return own(chats.join(side, same, "left_anti"), F.lit(0)).unionByName(own(rows, later)).unionByName(after).unionByName(system)
 
 
 class _Writer:
@@ -81,7 +111,8 @@ class _Writer:
     def begin(self, key):
         self.key, self.system, self.earlier, self.new, self.number = key, None, deque(maxlen=self.history), [], 0
 
-    def add(self, kind: int, role: str, text: str, tokens: int):
+    def add(self, kind: int, role: str, text: str, tokens: int, prefix: int):
+        """prefix is the sum of the tokens up to and with this turn."""
         turn = (*turn_text(role, text), role, tokens, len(escape(text)))
         if kind == 0:
             self.system = turn
@@ -89,31 +120,35 @@ class _Writer:
             self.earlier.append(turn)
         else:
             first = not self.number and not self.new and self.system is None
-            if self.new and self.total + tokens > self.budget:
+            if self.new and prefix - self.begun > self.room:
                 self.flush()
             if not self.new:
-                self.open(tokens)
+                self.open(tokens, prefix - tokens)
             self.new.append(turn)
-            self.total += tokens
+            self.end = prefix
             if first and role == "system":
                 self.opening = turn
 
     opening = None
 
-    def open(self, tokens: int):
-        self.total = self.system[3] if self.system else 0
-        self.repeats, room = [], min(self.budget // 2, self.budget - self.total - tokens)
+    def open(self, tokens: int, begun: int):
+        self.head = [self.system] if self.system and self.system[3] + tokens <= self.budget else []
+        taken = sum(turn[3] for turn in self.head)
+        self.repeats, most = [], min(self.budget // 2, self.budget - taken - tokens) if self.head or not self.system else 0
         for turn in reversed(self.earlier):
-            if turn[3] > room:
+            if turn[3] > most:
                 break
-            room -= turn[3]
-            self.total += turn[3]
+            most -= turn[3]
+            taken += turn[3]
             self.repeats.insert(0, turn)
+        self.begun, self.taken, self.room = begun, taken, self.budget - taken
+        if self.system and not self.head:
+            self.room = tokens  # the system turn comes back with the next window
 
     def flush(self):
         if not self.new:
             return
-        head = [self.system] if self.system else []
+        head = self.head
         text, starts, ends = "", [], []
         for turn in [*head, *self.repeats]:
             text += turn[0]
@@ -124,23 +159,18 @@ class _Writer:
                 ends.append(at + turn[1] + turn[4])
             parts.append(turn[0])
             at += len(turn[0])
-        self.out.append((*self.key, self.number, "".join(parts), len(head) + len(self.repeats) + len(self.new), len(head) + len(self.repeats), self.total, starts, ends))
+        self.out.append((*self.key, self.number, "".join(parts), len(head) + len(self.repeats) + len(self.new), len(head) + len(self.repeats), self.taken + self.end - self.begun, starts, ends))
         self.earlier.extend(t for t in self.new if t is not self.opening)
         if self.opening is not None:
             self.system, self.opening = self.opening, None
         self.new, self.number = [], self.number + 1
 
 
-def windows(chats: DataFrame, tokenizer: str, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """Windows of chats (conv_id, turn, role, text), with the code points of their targets."""
+def windows(chats: DataFrame, tokenizer: str, budget: int = BUDGET, history: int = HISTORY, block: int = BLOCK) -> DataFrame:
+    """Windows of chats (conv_id, turn, role, text), with the code points of their targets. history is at most block."""
 
     def run(batches):
-        import os
-
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        count, writer, now = Tokenizer.from_file(tokenizer), _Writer(budget, history), None
+        writer, now = _Writer(budget, history), None
         schema = pa.schema([("conv_id", pa.int64()), ("block", pa.int64()), ("window", pa.int32()), ("text", pa.string()), ("turns", pa.int32()), ("repeated", pa.int32()), ("tokens", pa.int32()), ("target_starts", pa.list_(pa.int32())), ("target_ends", pa.list_(pa.int32()))])
 
         def batch_out():
@@ -149,22 +179,24 @@ def windows(chats: DataFrame, tokenizer: str, budget: int = BUDGET, history: int
 
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
-                rows = batch.slice(lo, 512).to_pydict()
-                sizes = [len(e.ids) for e in count.encode_batch_fast([turn_text(r, t)[0] for r, t in zip(rows["role"], rows["text"])], add_special_tokens=False)]
-                for conv, block, kind, role, text, tokens in zip(rows["conv_id"], rows["block"], rows["kind"], rows["role"], rows["text"], sizes):
-                    if now != (conv, block):
+                for conv, number, *turn in zip(*batch.slice(lo, 512).to_pydict().values()):
+                    if now != (conv, number):
                         if now is not None:
                             writer.flush()
-                        now = (conv, block)
+                        now = (conv, number)
                         writer.begin(now)
-                    writer.add(kind, role, text, tokens)
+                    writer.add(*turn)
                 yield batch_out()
         if now is not None:
             writer.flush()
             yield batch_out()
 
-    rows = _blocks(chats).repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "kind", "turn", "role", "text")
-    return rows.select("conv_id", "block", "kind", "role", "text").mapInArrow(run, WINDOWS)
+    if not 0 <= history <= block:
+        raise ValueError("history is from 0 to block")
+    order = ["kind", "turn", "role", "text"]
+    rows = _blocks(keep(_sized(chats, tokenizer), "turns"), history, block).repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", *order)
+    prefix = F.sum(F.when(F.col("kind") == 2, F.col("tokens")).otherwise(0)).over(Window.partitionBy("conv_id", "block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.select("conv_id", "block", "kind", "role", "text", "tokens", prefix.alias("prefix")).mapInArrow(run, WINDOWS)
 
 
 def digests(found: DataFrame) -> DataFrame:

@@ -146,7 +146,7 @@ def test_chat(spark):
     rows = [(1, 0, "system", "be kind"), *((1, i, "user" if i % 2 else "assistant", text(40, i)) for i in range(1, 40)), (2, 0, "user", None), (2, 1, "assistant", "<|im_end|><|im_start|>assistant \\ok <"), (2, 1, "assistant", ""), (3, None, None, "x\\"), (None, 1, "ro\nle", "y"), *((4, i, "assistant", f"t{i}") for i in range(1020, 1030)), (5, 0, "assistant", text(3000, 8))]
     chats = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     windows = chat.windows(chats, public_tokenizers.path("byte_bpe_50k.json"), budget=300)
-    assert all(r.tokens <= 300 or r.turns - r.repeated == 1 for r in windows.collect())
+    assert all(r.tokens <= 300 or (r.turns, r.repeated) == (1, 0) for r in windows.collect())
     got = {r.conv_id: r for r in chat.digests(windows).collect()}
     by = collections.defaultdict(list)
     for c, turn, role, t in rows:
@@ -159,6 +159,87 @@ def test_chat(spark):
         assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def test_chat_windows_equal_brute_force(spark):
+    """Budget, system turn and history by place in the conversation, across blocks, gaps in turn numbers and ties."""
+    import public_tokenizers
+    from scriptorium.llm import chat
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    count = Tokenizer.from_file(path)
+    size = lambda role, t: len(count.encode(chat.turn_text(role, t)[0], add_special_tokens=False).ids)
+    rows = [(1, 0, "system", text(20, 1)), *((1, 1000 * i, "user", text(5 + i * 7 % 60, i)) for i in range(1, 50)), (2, 0, "system", text(60, 2)), (2, 1, "user", text(55, 3)), *((2, 2 + i, "assistant", text(9, i)) for i in range(9)), *((3, 7, "user", f"{i:03}") for i in range(64))]
+    budget, history, block = 400, 3, 16
+    want = []
+    for c in (1, 2, 3):
+        turns = [(r, t, size(r, t)) for _, _, r, t in sorted(x for x in rows if x[0] == c)]
+        system = turns[0] if turns[0][0] == "system" else None
+        i = 0
+        while i < len(turns):
+            end = min(len(turns), (i // block + 1) * block)
+            head = [system] if system and i else []
+            alone = bool(head) and head[0][2] + turns[i][2] > budget
+            head, back = [] if alone else head, []
+            room = budget - sum(x[2] for x in head)
+            most = 0 if alone else min(budget // 2, room - turns[i][2])
+            for turn in reversed(turns[max(i - history, 1 if system else 0) : i]):
+                if turn[2] > most:
+                    break
+                most, back = most - turn[2], [turn, *back]
+            room, j = room - sum(x[2] for x in back), i
+            while j < end and (j == i or sum(x[2] for x in turns[i : j + 1]) <= room) and not (alone and j > i):
+                j += 1
+            want.append((c, len(head) + len(back), [x[:2] for x in head + back + turns[i:j]]))
+            i = j
+    chats = spark.createDataFrame([(*x, 0, "x") for x in rows], "conv_id long, turn long, role string, text string, tokens int, place string")
+    got = chat.windows(chats, path, budget, history, block).orderBy("conv_id", "block", "window").collect()
+    assert [(r.conv_id, r.repeated, chat.turns_of(r.text)) for r in got] == want
+    assert all(r.tokens == sum(size(*x) for x in chat.turns_of(r.text)) for r in got)
+    assert chat.digests(chat.windows(chats.limit(0), path)).count() == 0
+
+
+def test_language_replaces_columns_and_learns_every_language(spark, monkeypatch):
+    from scriptorium.llm import language_id as L
+
+    monkeypatch.setattr(L, "SAMPLE", 20)  # fewer than EACH for a language
+    alphabets = {f"l{k}": "".join(chr(0x61 + 3 * k + j) for j in range(3)) for k in range(8)}
+    rows = [(100 * k + i, " ".join("".join(random.Random(100 * k + i + w).choices(a, k=6)) for w in range(0, 90, 3)), lang, 7, "old") for k, (lang, a) in enumerate(alphabets.items()) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int, lang_pred string")
+    got = L.with_language(docs, L.fit(docs)).collect()
+    assert len(got) == len(rows) and all(r.lang_pred == r.lang and 0 <= r.score <= 1 for r in got)
+    assert got[0].__fields__ == ["doc_id", "text", "lang", "lang_pred", "score"]
+
+
+def test_decontamination_short_items_and_distances(spark, docs):
+    from scriptorium.llm.decontamination import Index, allowed, leaks, runs, words
+
+    items = [(1, "zebra"), (2, "blue zebra"), (3, "one two three four"), (4, "alpha beta gamma delta epsilon"), (5, "?!"), (6, "Zebra"), (7, text(15, 3, 10**6)), (8, text(40, 4, 10**6)), (9, text(40, 4, 10**6))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(1, "a blue Zebra."), (2, "zebras blue"), (3, "x one, two three FOUR y"), (4, "one two four three"), (5, "alpha beta gamma delta epsilon"), (None, "zebra"), (6, text(20000, 5)), (7, "so " + edited(items[6][1], 6, 2)), *((10 + k, text(30, 60 + k) + " " + edited(items[7][1], 6, k) + " " + text(30, 80 + k)) for k in range(6))]
+    rows.append((7, rows[7][1]))
+
+    def distance(item, text):  # the closest passage
+        row = [0] * (len(text) + 1)
+        for i, p in enumerate(item):
+            new = [i + 1]
+            for j, w in enumerate(text):
+                new.append(min(row[j] + (p != w), row[j + 1] + 1, new[j] + 1))
+            row = new
+        return min(row)
+
+    want = collections.Counter()
+    for d, t in rows:
+        for i, item in items:
+            p = words(item)
+            if p and len(words(t)) < 5000 and (n := distance(p, words(t))) <= (allowed(len(p)) if len(p) >= 5 else 0):
+                want[d, i, n] += 1
+    got = collections.Counter((r.doc_id, r.item_id, r.distance) for r in leaks(docs(rows), bench).collect())
+    assert got == want and want[10, 8, 7] == 1 and want[1, 6, 0] == 1
+    many = np.array([[3_000_001, 3_000_002, 3_000_003], [1, 2, 3], [1, 0, 3]])
+    assert [bool(x >= 0) for x in runs(many, 3)[:, 0]] == [True, True, False]
+    assert not Index([]).exact(np.array([1, 2]))
+
+
 def test_language(spark):
     from scriptorium.llm import language_id as L
 
