@@ -1,17 +1,22 @@
 """Quality rules with robust multivariate outliers, in DataFrame functions only.
 
 Counts of each whole text (words, symbols, repeated lines and word windows) decide the base rules. Texts that pass are
-vectors of transformed statistics. For each language and source, the mean and covariance of the subset of least
-covariance determinant are estimated: from two robust starts, concentration steps take the share KEEP of the texts with
-the smallest Mahalanobis distances, and the start that ends with the smaller determinant counts. Texts farther than CUT
-(a chi-squared quantile) are rejected. A step is one aggregation: distances are put in narrow buckets, whose sums give
-both the boundary and the next estimate, so a source of any size costs a few hundred rows after the map side.
-
-Language and source pairs of fewer than LEAST texts are pooled by language; a pool that is too small rejects nothing.
-Variances have a floor (FLOOR squared) so that statistics which are constant in most texts don't reject every other.
+vectors of transformed statistics. For each language and source, each language and all texts, the mean and covariance
+of the subset of least covariance determinant are estimated: from two robust starts, concentration steps take the share
+KEEP of the texts with the smallest Mahalanobis distances until no determinant changes by more than STILL (STEPS at
+most), and the start that ends with the smaller determinant counts. Texts farther than CUT (a chi-squared quantile) are
+rejected. A step is one aggregation: distances are put in narrow buckets, whose sums give both the boundary and the
+next estimate, so a source of any size costs a few hundred rows after the map side.
+
+The estimate of a language and source counts as many times as it has texts in its subset, that of its language PRIOR
+times, and so that of the language against that of all texts: a group of any size is judged, a small one mostly by what
+it belongs to. Variances have a floor (FLOOR squared) so that statistics which are constant in most texts don't reject
+every other.
 
 Cases: null and empty texts have no words and fail the base rules, as do all under fifty words. Null lang or source is
-a group of its own. Null doc_id is returned as it is; repeated rows all count. An empty table gives no rows.
+a group of its own. Null doc_id is returned as it is; repeated rows all count. Texts at equal distances are taken into
+a subset together; of equal determinants the first start counts. Other columns are ignored, whatever their names. Very
+long texts are taken whole, one at a time. An empty table gives no rows, and where no text passes none is kept.
 Windows of three words are compared by a 64-bit hash within one text.
 """
 
@@ -24,7 +29,7 @@ from pyspark.sql import Window
 from scriptorium.llm.shared import keep, small_or_shuffled
 
 SPACE = r"[\x20\x09-\x0D]+"
-KEEP, STEPS, LEAST, FINE = 0.75, 5, 100, 32
+KEEP, STEPS, STILL, PRIOR, FINE = 0.75, 12, 0.01, 50, 32
 #: For five statistics: the chi-squared quantile at 1 - 1e-6, and what makes the covariance of the closest 75 % consistent.
 CUT, CONSISTENT = 35.89, 1.41
 FLOOR = (0.06, 0.15, 0.15, 0.07, 0.9)
@@ -67,16 +72,19 @@ def vectors(stats: DataFrame) -> DataFrame:
     return stats.withColumns(dict(zip(X, values)))
 
 
-def _factored(sums: DataFrame) -> DataFrame:
-    """Per key and start, from n, s_i and s_ij: means, the inverse of the covariance's Cholesky factor, and log_det."""
-    lower = [(i, j) for i in range(P) for j in range(i + 1)]
+CELLS = [(i, j) for i in range(P) for j in range(i + 1)]
+MOMENTS = ["n", *(f"m{i}" for i in range(P)), *(f"c{i}{j}" for i, j in CELLS)]
+
+
+def _moments(sums: DataFrame) -> DataFrame:
+    """Per key and start, from n, s_i and s_ij: n, the means m_i and the covariances c_ij."""
     out = sums.withColumns({f"m{i}": F.col(f"s{i}") / F.col("n") for i in range(P)})
-    out = out.withColumns({f"c{i}{j}": F.col(f"s{i}_{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}") + (F.lit(FLOOR[i] ** 2) if i == j else F.lit(0.0)) for i, j in lower})
-    return _inverted(out)
+    out = out.withColumns({f"c{i}{j}": F.col(f"s{i}_{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}") + (F.lit(FLOOR[i] ** 2) if i == j else F.lit(0.0)) for i, j in CELLS})
+    return out.select("key", "start", *MOMENTS)
 
 
 def _inverted(out: DataFrame) -> DataFrame:
-    """From m_i and c_ij: the columns that distances need."""
+    """From m_i and c_ij: the inverse of the covariance's Cholesky factor v_ij and log_det, which distances need, beside them."""
     for i in range(P):
         for j in range(i + 1):
             rest = F.col(f"c{i}{j}")
@@ -88,7 +96,7 @@ def _inverted(out: DataFrame) -> DataFrame:
             value = F.lit(1.0) if i == j else -sum((F.col(f"l{i}{k}") * F.col(f"v{k}{j}") for k in range(j, i)), F.lit(0.0))
             out = out.withColumn(f"v{i}{j}", value / F.col(f"l{i}{i}"))
     log_det = sum((F.log(F.col(f"l{i}{i}")) for i in range(P)), F.lit(0.0))
-    return out.select("key", "start", log_det.alias("log_det"), *(f"m{i}" for i in range(P)), *(f"v{i}{j}" for i in range(P) for j in range(i + 1)))
+    return out.select("key", "start", log_det.alias("log_det"), *MOMENTS, *(f"v{i}{j}" for i, j in CELLS))
 
 
 def distance() -> Column:
@@ -103,7 +111,7 @@ def distance() -> Column:
 def _starts(rows: DataFrame) -> DataFrame:
     """Two diagonal estimates per key around the medians: scaled by the quartiles, and by the floors alone."""
     quartiles = rows.groupBy("key").agg(*(F.percentile_approx(x, [0.25, 0.5, 0.75], 10_000).alias(x) for x in X))
-    both = quartiles.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
+    both = quartiles.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("n", F.lit(0).cast("long"))
     mean = {f"m{i}": F.get(x, 1) for i, x in enumerate(X)}
     spread = [F.when(F.col("start") == 0, F.greatest((F.get(x, 2) - F.get(x, 0)) / 1.349, F.lit(FLOOR[i]))).otherwise(FLOOR[i]) for i, x in enumerate(X)]
     cells = {f"c{i}{j}": spread[i] * spread[i] if i == j else F.lit(0.0) for i in range(P) for j in range(i + 1)}
@@ -111,31 +119,47 @@ def _starts(rows: DataFrame) -> DataFrame:
 
 
 def estimates(rows: DataFrame) -> DataFrame:
-    """Of rows (key, x0 to x4), the estimate of least determinant for each key."""
+    """Of rows (key, x0 to x4), the moments of least determinant for each key."""
     now = keep(_starts(rows), "estimates")
-    products = [(f"s{i}", F.col(x)) for i, x in enumerate(X)] + [(f"s{i}_{j}", F.col(X[i]) * F.col(X[j])) for i in range(P) for j in range(i + 1)]
+    products = [(f"s{i}", F.col(x)) for i, x in enumerate(X)] + [(f"s{i}_{j}", F.col(X[i]) * F.col(X[j])) for i, j in CELLS]
     for _ in range(STEPS):
-        near = rows.join(small_or_shuffled(now), "key").withColumn("bucket", F.floor(F.log(distance() + 1e-6) * FINE))
+        near = rows.join(small_or_shuffled(now.drop("n")), "key").withColumn("bucket", F.floor(F.log(distance() + 1e-6) * FINE))
         sums = near.groupBy("key", "start", "bucket").agg(F.count("*").alias("n"), *(F.sum(v).alias(k) for k, v in products))
         own = Window.partitionBy("key", "start")  # a few hundred buckets each
         sums = sums.withColumn("all", F.sum("n").over(own)).withColumn("before", F.sum("n").over(own.orderBy("bucket")) - F.col("n"))
         closest = sums.where(F.col("before") < KEEP * F.col("all")).groupBy("key", "start").agg(F.sum("n").alias("n"), *(F.sum(k).alias(k) for k, _ in products))
-        now = keep(_factored(closest), "estimates")
+        last, now = now.select("key", "start", F.col("log_det").alias("last")), keep(_inverted(_moments(closest)), "estimates")
+        if now.join(last, ["key", "start"]).where(F.abs(F.col("log_det") - F.col("last")) > STILL).isEmpty():
+            break
     best = now.groupBy("key").agg(F.min(F.struct("log_det", "start")).alias("b")).select("key", F.col("b.start").alias("start"))
-    return keep(now.join(best, ["key", "start"]), "estimate")
+    return now.join(best, ["key", "start"]).select("key", *MOMENTS)
+
+
+def _shrunk(own: DataFrame, parent: DataFrame) -> DataFrame:
+    """Moments of own (key, up and more), drawn towards those of parent (key), which count as PRIOR texts."""
+    side = parent.select(F.col("key").alias("up"), *(F.col(m).alias(f"up_{m}") for m in MOMENTS))
+    weight = F.col("n") / (F.col("n") + PRIOR)
+    mixed = {m: weight * F.col(m) + (1 - weight) * F.col(f"up_{m}") for m in MOMENTS[1:]}
+    return own.join(side, "up").withColumns(mixed).drop("up", *(f"up_{m}" for m in MOMENTS))
+
+
+def judged(stats: DataFrame) -> DataFrame:
+    """stats (lang, source, base_failed, x0 to x4) with distance, null where there is no text that passes."""
+    name = lambda c: F.coalesce(F.concat(F.lit("="), F.replace(F.col(c), F.lit("\n"), F.lit("\\n"))), F.lit("-"))
+    stats = stats.withColumn("pool", name("lang")).withColumn("key", F.concat_ws("\n", name("lang"), name("source")))
+    good = stats.where("NOT base_failed")
+    levels = good.withColumn("key", F.explode(F.array("key", "pool", F.lit("")))).select("key", *X)
+    found = keep(estimates(levels), "moments")
+    of_all = found.where("key = ''")
+    pools = _shrunk(found.where("key <> '' AND instr(key, '\n') = 0").withColumn("up", F.lit("")), of_all)
+    names = good.select("key", F.col("pool").alias("up")).distinct()
+    pairs = _shrunk(found.join(names, "key"), pools).withColumn("start", F.lit(0))
+    pairs = keep(_inverted(pairs).drop("n"), "estimate")
+    return stats.join(small_or_shuffled(pairs), "key", "left").withColumn("distance", distance() / CONSISTENT)
 
 
 def rules(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance."""
-    stats = keep(statistics(docs), "statistics")
-    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
-    stats = vectors(stats).withColumn("pool", name("lang")).withColumn("pair", F.concat_ws("\n", name("lang"), name("source")))
-    good = stats.where("NOT base_failed")
-    large = keep(good.groupBy("pair").count().where(F.col("count") >= LEAST).select("pair", F.lit(True).alias("own")), "large")
-    stats = stats.join(small_or_shuffled(large), "pair", "left").withColumn("key", F.when(F.col("own"), F.col("pair")).otherwise(F.col("pool"))).drop("own")
-    good = stats.where("NOT base_failed")
-    enough = keep(good.groupBy("key").count().where(F.col("count") >= LEAST).select("key"), "enough")
-    found = estimates(good.select("key", *X).join(small_or_shuffled(enough), "key", "left_semi"))
-    out = stats.join(small_or_shuffled(found), "key", "left").withColumn("distance", distance() / CONSISTENT)
+    out = judged(vectors(keep(statistics(docs), "statistics")))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUT)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")

@@ -352,6 +352,37 @@ def test_quality_rules(docs):
     assert rules(docs([])).count() == 0
 
 
+def test_outliers_equal_a_plain_search_of_the_least_determinant(spark):
+    """Estimates against concentration steps from many random starts in numpy; small groups are judged as large ones."""
+    from scriptorium.llm import quality_rules as Q
+
+    rng = np.random.default_rng(3)
+    mix = rng.normal(size=(5, 5)) / 3 + np.eye(5)
+    x = rng.normal(size=(600, 5)) @ mix
+    x[:90] += 25 * rng.choice([-1, 1], (90, 5))
+    rows = [(i, "en", "big", False, *map(float, v)) for i, v in enumerate(x)]
+    rows += [(1000 + i, "en", f"small{n}", False, *map(float, v)) for n in (1, 5, 90) for i, v in enumerate([*(rng.normal(size=(n - n // 5, 5)) @ mix), *([[30.0] * 5] * (n // 5))])]
+    rows += [(2000, None, None, False, *map(float, x[100])), (2001, "en", "none", True, *[500.0] * 5)]
+    frame = spark.createDataFrame(rows, "doc_id long, lang string, source string, base_failed boolean, x0 double, x1 double, x2 double, x3 double, x4 double")
+    found = {r.key: r for r in Q.estimates(frame.where("source = 'big'").select(F.lit("k").alias("key"), *Q.X)).collect()}["k"]
+    best = (math.inf, None)
+    for _ in range(30):
+        some = rng.choice(600, 6, replace=False)
+        for _ in range(30):
+            c = np.cov(x[some].T, bias=True) + np.diag(np.square(Q.FLOOR))
+            d = np.einsum("ij,jk,ik->i", x - x[some].mean(0), np.linalg.inv(c), x - x[some].mean(0))
+            some = np.argsort(d, kind="stable")[: int(Q.KEEP * 600)]
+        c = np.cov(x[some].T, bias=True) + np.diag(np.square(Q.FLOOR))
+        best = min(best, (np.linalg.slogdet(c)[1], tuple(np.append(x[some].mean(0), c[np.tril_indices(5)]))))
+    got = [found[m] for m in Q.MOMENTS[1:]]
+    assert np.allclose(got, best[1], atol=0.12), np.abs(np.array(got) - best[1]).max()
+    far = {(r.source, r.doc_id): r.distance for r in Q.judged(frame).collect()}
+    assert all((far["big", i] > Q.CUT) == (i < 90) for i in range(600))
+    for n in (5, 90):
+        assert all((far[f"small{n}", 1000 + i] > Q.CUT) == (i >= n - n // 5) for i in range(n))
+    assert far["small1", 1000] <= Q.CUT and far[None, 2000] <= Q.CUT
+
+
 def test_weak_labels(spark):
     from scriptorium.llm import weak_labels as L
 
