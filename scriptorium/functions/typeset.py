@@ -104,3 +104,44 @@ def fitted(width: Column, height: Column, most: int) -> tuple[Column, Column]:
     """A width and height in EMU, both made smaller alike if the width is over most."""
     over = width > most
     return F.when(over, F.lit(most)).otherwise(width).cast("long"), F.when(over, F.floor(height * most / width)).otherwise(height).cast("long")
+
+
+#: Bibliography styles of the author-year family; all others are numeric.
+AUTHOR_YEAR = ["plainnat", "apalike", "abbrvnat", "agsm", "harvard", "chicago", "apa", "author-year"]
+
+
+def style_family(c: Column) -> Column:
+    """The family of a bibliography style: author-year or numeric, which is also that of an unknown or no style."""
+    return F.when(F.lower(F.trim(c)).isin(AUTHOR_YEAR), "author-year").otherwise("numeric")
+
+
+def first_upper(c: Column) -> Column:
+    """The first character in upper case, the others as they are."""
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 1 << 30))
+
+
+def changed_case(c: Column, kind: Column, upper: bool) -> Column:
+    """Text in upper or lower case; mathematics and notes, which have another kind, are untouched."""
+    return F.when(kind == "text", F.upper(c) if upper else F.lower(c)).otherwise(c)
+
+
+def page_columns(source: Column) -> Column:
+    """Columns of a page: 1, 2 for twocolumn as class option or command, or the most of any multicols block."""
+    two = F.array_contains(F.transform(F.split(F.regexp_extract(source, r"\\documentclass\s*\[([^\]]*)\]", 1), ","), lambda o: F.trim(o)), "twocolumn") | source.rlike(r"\\twocolumn\b")
+    many = F.array_max(F.transform(F.regexp_extract_all(source, F.lit(r"\\begin\{multicols\*?\}\s*\{(\d+)\}"), 1), lambda n: n.cast("int")))
+    return F.greatest(F.when(two, 2).otherwise(1), F.coalesce(many, F.lit(1)))
+
+
+def without_pauses(source: Column) -> Column:
+    """Slides without pause and onslide commands and their options."""
+    return F.regexp_replace(source, r"\\(?:pause|onslide)(?![A-Za-z])(?:\s*\[[^\]]*\])?", "")
+
+
+def long_date(c: Column) -> Column:
+    """A date as Month D, YYYY."""
+    return F.date_format(c, "MMMM d, yyyy")
+
+
+def has_cjk(c: Column) -> Column:
+    """Whether a text has kana, ideographs, Hangul or full-width forms and needs their font."""
+    return F.coalesce(c.rlike("[\\u3040-\\u30ff\\u3400-\\u9fff\\uac00-\\ud7af\\uff00-\\uffef]"), F.lit(False))

@@ -22,3 +22,19 @@ def year_letters(items: DataFrame, author: str, year: str, order: str) -> DataFr
     """items with letter: a, b, c for items of one author and year, none for the only one."""
     w = Window.partitionBy(author, year)
     return items.withColumn("letter", F.when(F.count("*").over(w) > 1, F.char(F.row_number().over(w.orderBy(order)) + 96)).otherwise(""))
+
+
+def bibliography_order(entries: DataFrame, by: list, numeric: bool) -> DataFrame:
+    """entries (key, given, cited, author, year) with number, their place in the bibliography of their document: as given
+    if any entry has a given place (those without come last), else as cited, or by author and year."""
+    given = F.max(F.col("given").isNotNull()).over(Window.partitionBy(*by))
+    own = [F.lit("")] * 2 if numeric else [F.lower("author"), F.col("year")]
+    keys = [F.when(given, F.coalesce("given", F.lit(1 << 30))), *(F.when(~given, k) for k in own), F.col("cited"), F.col("key")]
+    return entries.withColumn("number", F.row_number().over(Window.partitionBy(*by).orderBy(*keys)))
+
+
+def cite_strings(cites: DataFrame, items: DataFrame, by: list, order: str) -> DataFrame:
+    """A string for each citation (by): the labels of its keys in order, the key itself where items (key, label) has none."""
+    found = cites.join(items.select("key", "label"), "key", "left").withColumn("shown", F.coalesce("label", F.col("key").cast("string")))
+    parts = found.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(order, "shown"))).alias("parts"))
+    return parts.select(*by, F.concat(F.lit("["), F.array_join(F.transform("parts", lambda p: p["shown"]), ", "), F.lit("]")).alias("cited"))

@@ -1,3 +1,3 @@
 """Queries over the given tables. Importing the package registers all of them."""
 
-from scriptorium.plans import queries, typesetting  # noqa: F401
+from scriptorium.plans import queries, scopes, typesetting  # noqa: F401
