@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from scriptorium.functions import typeset as T
 from scriptorium.operators import citations, scopes
 from scriptorium.plans.queries import query
+from scriptorium.sources import bibtex
 
 _USER = (["user_id"], ["ts", "event_id"])
 _W = "(PARTITION BY user_id ORDER BY ts, event_id)"
@@ -238,3 +239,12 @@ def _(pages):
 
     notes = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("<a[ >]"), 0)).alias("note", "m"))
     return numbering.counter(notes, ["page_id"], ["note"]).select("page_id", F.col("note").cast("long").alias("note"), F.col("number").cast("int").alias("id"))
+
+
+@query("bibtex_fields", "SELECT o_custkey, o_orderkey AS key, unnest(['title', 'year', 'publisher']) AS name, unnest(['On {{' || o_orderpriority || '}, one}', strftime(o_orderdate, '%Y'), CASE WHEN o_orderstatus = 'F' THEN 'The {Press}, Ltd' ELSE o_orderstatus END]) AS value FROM orders", "orders")
+def _(orders):
+    """A BibTeX file for each customer, with an entry for each order and a string, read again."""
+    entry = F.concat(F.lit("\n@book{"), F.col("o_orderkey").cast("string"), F.lit(', title = "On {{'), F.col("o_orderpriority"), F.lit('}, one}", year = '), F.date_format("o_orderdate", "yyyy"), F.lit(", Publisher = "), F.when(F.col("o_orderstatus") == "F", "PRESS").otherwise(F.concat(F.lit("{"), F.col("o_orderstatus"), F.lit("}"))), F.lit("}"))
+    files = orders.groupBy("o_custkey").agg(F.array_join(F.sort_array(F.collect_list(entry)), "\n").alias("entries"))
+    files = files.select("o_custkey", F.concat(F.lit("@string{press = {The {Press}, Ltd}} "), F.col("entries")).alias("text"))
+    return bibtex.fields(files, "o_custkey").select(F.col("path").alias("o_custkey"), F.col("key").cast("long").alias("key"), "name", "value")
