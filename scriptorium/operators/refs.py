@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -31,3 +31,23 @@ def with_aliases(labels: DataFrame, aliases: DataFrame, key: str, alias: str, ke
 def merged(base: DataFrame, over: DataFrame, key: str) -> DataFrame:
     """Rows of over, and those of base that it doesn't have."""
     return over.unionByName(base.join(over.select(key), key, "left_anti").select(over.columns))
+
+
+def glossary_texts(uses: DataFrame, doc: list[str], order: list[str], acronyms: DataFrame, terms: DataFrame) -> DataFrame:
+    """uses (command, label) with the text that each one prints: an acronym's (label, short, long), else a term's (label, name), else the label.
+
+    The first gls of an acronym in a document prints the long form too. A command that ends with pl gives plurals, one
+    that begins with a capital a capital. Labels of both tables are unique.
+    """
+    low = F.lower("command")
+    plural = F.when(low.endswith("pl"), "s").otherwise("")
+    key = F.when(low.endswith("pl"), F.expr("left(lower(command), length(command) - 2)")).otherwise(low)
+    rows = uses.withColumn("key", key).withColumn("plural", plural)
+    own = Window.partitionBy(*doc, "label", F.col("key") == "gls").orderBy(*order)
+    rows = rows.withColumn("again", F.row_number().over(own) > 1).join(acronyms, "label", "left").join(terms, "label", "left")
+    short, long = F.concat("short", "plural"), F.concat("long", "plural")
+    full = F.concat(long, F.lit(" ("), short, F.lit(")"))
+    acronym = F.when(F.col("key").isin("acrlong", "glsentrylong"), long).when((F.col("key") == "acrfull") | ((F.col("key") == "gls") & ~F.col("again")), full).otherwise(short)
+    text = F.coalesce(acronym, F.concat("name", "plural"))
+    capital = F.when(F.col("command").rlike("^[A-Z]"), F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 1 << 30))).otherwise(text)
+    return rows.withColumn("text", F.coalesce(capital, F.col("label").cast("string"))).drop("key", "plural", "again", "short", "long", "name")
