@@ -67,3 +67,16 @@ def long_table(rows: DataFrame, by: list, order: list, marker: Column) -> DataFr
 def cells_under_rule(rows: DataFrame, column: str, first: Column, last: Column) -> DataFrame:
     """rows with ruled: whether a partial rule from the first to the last column lies under the cell."""
     return rows.withColumn("ruled", F.coalesce(F.col(column).between(first, last), F.lit(False)))
+
+
+def pending(rows: DataFrame, by: list, order: list, marker: Column, takes: Column) -> DataFrame:
+    """The rows that take a marker, with the last one (null for other rows) since the row before that took one, or null."""
+    before = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    runs = rows.withColumn("run", F.coalesce(F.sum(takes.cast("int")).over(before), F.lit(0)))
+    return runs.withColumn("marker", F.last(marker, ignorenulls=True).over(_until([*by, "run"], order))).where(takes).drop("run")
+
+
+def listed_marks(rows: DataFrame, by: list, order: list, own: Column) -> DataFrame:
+    """rows with mark: its own, else its number among the rows of one command if there are several, else none."""
+    number, several = F.row_number().over(Window.partitionBy(*by).orderBy(*order)), F.count("*").over(Window.partitionBy(*by)) > 1
+    return rows.withColumn("mark", F.coalesce(own, F.when(several, number.cast("string"))))

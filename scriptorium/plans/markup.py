@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scriptorium.functions import markup as M
-from scriptorium.operators import refs
+from scriptorium.operators import refs, scopes
 from scriptorium.plans.queries import query
 
 
@@ -94,3 +94,62 @@ def _(part):
     acronyms = part.where(_ACRONYMS).select(F.lit(0).alias("section"), position, F.col("p_brand").alias("term"), description)
     terms = part.where("p_partkey % 3 = 1").select(F.lit(1).alias("section"), position, F.col("p_partkey").cast("string").alias("term"), description)
     return acronyms.unionByName(terms).orderBy("section", "position")
+
+
+@query("accents", "SELECT p_partkey, nfc_normalize(base[1] || chr(a) || base[2:]) AS text FROM (SELECT p_partkey, p_name AS base, [769, 768, 770, 776, 771, 772, 775, 780, 774, 807, 779, 778][1 + p_partkey % 12] AS a FROM part)", "part")
+def _(part):
+    name = F.get(F.array(*map(F.lit, M.ACCENTS)), (F.col("p_partkey") % 12).cast("int"))
+    return part.select("p_partkey", M.accented(name, F.col("p_name")).alias("text"))
+
+
+@query("running_heads", "SELECT p_partkey, [p_name, p_type || ' {' || p_name || '}', p_brand, NULL][1 + p_partkey % 4] AS head FROM part", "part")
+def _(part):
+    kinds = [
+        F.concat(F.lit(r"\shorttitle{x}\title [ "), "p_name", F.lit(" ]{y}")),
+        F.concat(F.lit(r"\markboth{a}{b}\titlerunning{z}\markright[o] {"), "p_type", F.lit("  {"), "p_name", F.lit("}}")),
+        F.concat(F.lit(r"\markright{open \markboth{a} {"), "p_brand", F.lit("}")),
+        F.lit(r"\title{long}"),
+    ]
+    return part.select("p_partkey", M.running_head(F.get(F.array(*kinds), (F.col("p_partkey") % 4).cast("int"))).alias("head"))
+
+
+@query("fonts", "SELECT p_partkey, p_name AS main_font, CASE WHEN p_size % 2 = 0 THEN p_brand END AS cjk_font FROM part", "part")
+def _(part):
+    preamble = F.concat(F.lit(r"\setmainfont[Scale=1]{ "), "p_name", F.lit(r"}\setCJKmainfont {"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).otherwise(" "), F.lit("}"))
+    return part.select("p_partkey", M.font(preamble, "setmainfont").alias("main_font"), M.font(preamble, "setCJKmainfont").alias("cjk_font"))
+
+
+@query("locators", "SELECT p_partkey, CASE WHEN p_partkey % 4 > 1 AND p_size % 3 > 0 THEN p_brand END AS prefix, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN CASE WHEN p_size % 3 > 0 THEN p_brand END ELSE p_type END AS suffix FROM part", "part")
+def _(part):
+    options = F.slice(F.array(F.when(F.col("p_size") % 3 > 0, F.col("p_brand")).otherwise(""), "p_type", "p_name"), F.lit(1), (F.col("p_partkey") % 4).cast("int"))
+    return part.select("p_partkey", M.locators(options).alias("l")).select("p_partkey", "l.prefix", "l.suffix")
+
+
+@query("math_fingerprints", r"SELECT doc_id, md5(regexp_replace(lower(regexp_replace(regexp_replace('\to|' || coalesce(text, '') || '( ) [3, p. 2]|', '\[\d[^\]]*\]|\(\s*\)', '', 'g'), '[\s{}]+', '', 'g')), '[:_]', '', 'g')) AS digest FROM documents", "documents")
+def _(documents):
+    text = F.concat(F.lit(r"\displaystyle \rightarrow\|"), F.coalesce("text", F.lit("")), F.lit(r"( ) [3, p. 2]\begin{matrix}\end{matrix}\|"))
+    return documents.select("doc_id", F.md5(M.math_fingerprint(text)).alias("digest"))
+
+
+@query("theorem_titles", "SELECT p_partkey, p_name || ' ' || p_type AS title FROM part", "part")
+def _(part):
+    raw = F.concat(F.lit(r"{\bfseries  "), "p_name", F.lit(r"} \textit{"), "p_type", F.lit("}"))
+    return part.select("p_partkey", M.clean_title(raw).alias("title"))
+
+
+@query("restored_labels", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'fig:' || p_partkey || '_a' WHEN 1 THEN 'Eq:' || p_partkey ELSE 'figure_' || p_partkey END AS label FROM part", "part")
+def _(part):
+    kind = F.get(F.array(*map(F.lit, ["fig_", "ref_Eq_", "figure_"])), (F.col("p_partkey") % 3).cast("int"))
+    return part.select("p_partkey", M.restored_label(F.concat(kind, "p_partkey", F.when(F.col("p_partkey") % 3 == 0, "_a").otherwise(""))).alias("label"))
+
+
+@query("pending_captions", "SELECT event_id, marker FROM (SELECT event_id, event_type, last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS marker FROM (SELECT *, coalesce(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM events)) WHERE event_type = 'purchase'", "events")
+def _(events):
+    kind = F.col("event_type")
+    return scopes.pending(events, ["user_id"], ["ts", "event_id"], F.when(kind == "click", F.col("event_id")), kind == "purchase").select("event_id", "marker")
+
+
+@query("affiliation_marks", "SELECT conv_id, turn, coalesce(CASE WHEN length(text) % 5 = 0 THEN '*' END, CASE WHEN count(*) OVER (PARTITION BY conv_id, role) > 1 THEN CAST(row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS VARCHAR) END) AS mark FROM conversations", "conversations")
+def _(conversations):
+    own = F.when(F.length("text") % 5 == 0, "*")
+    return scopes.listed_marks(conversations, ["conv_id", "role"], ["turn"], own).select("conv_id", "turn", "mark")

@@ -45,3 +45,19 @@ def test_main_language(spark):
 
 def test_dingbats(spark):
     assert one(spark, M.dingbat, "51", "172", "191", " 201 ", "7", "x", None) == ["✓", "➀", "❿", "➓", "•", "•", "•"]
+
+
+def test_running_head(spark):
+    got = one(spark, M.running_head, r"\title[a  b]{c}", r"\runninghead{a {b{c}} }\title{x}", r"\markboth{l}{ r }", r"\markright{}\shorttitle{s}", r"\runninghead{open", "", None)
+    assert got == ["a b", "a {b{c}}", "r", "s", None, None, None]
+
+
+def test_accents(spark):
+    rows = spark.createDataFrame([("'", "e"), ('"', "ı"), ("v", "Sx"), ("~", "q"), ("c", ""), ("?", "a"), ("^", None)], "n string, b string")
+    assert [r[0] for r in rows.select(M.accented(F.col("n"), F.col("b"))).collect()] == ["é", "ï", "Šx", "q̃", "̧", "a", None]
+
+
+def test_numeric_id(spark):
+    import zlib
+
+    assert one(spark, M.numeric_id, "knuth84", "é") == [zlib.crc32(k.encode()) & 0x7FFFFFFF for k in ("knuth84", "é")]
