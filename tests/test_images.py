@@ -40,3 +40,16 @@ def test_numbered(spark):
     got = {(r["doc"], r["name"]): r["media_id"] for r in images.numbered(media, "doc").collect()}
     assert got["d", "x"] == got["d", "y"] != got["d", "z"] and got["e", "x"] == 1
     assert {got["d", "x"], got["d", "z"]} == {1, 2}
+
+
+def jpeg(width, height):
+    segment = lambda kind, body: b"\xff" + bytes([kind]) + struct.pack(">H", 2 + len(body)) + body
+    tables = segment(0xE0, b"JFIF\0\xff\xc0\0\x11\x08\1\1\1\1") + segment(0xC4, b"\xff\xc2" * 9)
+    return b"\xff\xd8" + tables + b"\xff" + segment(0xC2, struct.pack(">BHHB", 8, height, width, 3) + b"\1\x11\0" * 3) + b"\xff\xd9"
+
+
+def test_image_sizes(spark):
+    rows = [(1, jpeg(640, 65_535)), (2, jpeg(640, 480)[:40]), (3, png(3, 4)), (4, b""), (5, None), (6, b"\xff\xd8\xff"), (7, b"%PDF" * 9)]
+    media = spark.createDataFrame(rows, "n int, content binary")
+    got = {r["n"]: tuple(r["s"]) for r in media.select("n", images.image_size(images.F.col("content")).alias("s")).collect()}
+    assert got == {1: (640, 65_535), 3: (3, 4), **{n: images.DEFAULT_SIZE for n in (2, 4, 5, 6, 7)}}
