@@ -81,7 +81,13 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_hmm_language_model, op3_robust_outliers, op4_decontamination, op5_packing, op6_chat, op7_compact_windows, op8_language_id, op9_weak_labels, op10_ngram_jaccard_join)}
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptorium.llm import lexical_search
+
+    return lexical_search.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_hmm_language_model, op3_robust_outliers, op4_decontamination, op5_packing, op6_chat, op7_compact_windows, op8_language_id, op9_weak_labels, op10_ngram_jaccard_join, op13_lexical_search)}
 
 SQL = {
     "op1_warc": """
@@ -95,4 +101,27 @@ SQL = {
                CASE WHEN page_id <> first THEN first END AS refers_to
         FROM f
     """,
+    "op13_lexical_search": r"""
+        WITH d AS (
+            SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents
+        ), i AS (
+            SELECT item_id, term, count(*) AS times
+            FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+            GROUP BY ALL
+        ), total AS (
+            SELECT count(*) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_terms FROM d WHERE len(terms) > 0
+        ), tf AS (
+            SELECT doc_id, r, n, term, count(*) AS tf FROM (SELECT doc_id, r, len(terms) AS n, unnest(terms) AS term FROM d)
+            WHERE term IN (SELECT term FROM i) GROUP BY doc_id, r, n, term
+        ), w AS (
+            SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), total
+        ), s AS (
+            SELECT item_id, r, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+            FROM tf JOIN w USING (term) JOIN i USING (term), total GROUP BY item_id, r, doc_id
+        )
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+        FROM s WHERE score > 0
+        QUALIFY rank <= 20
+    """,
 }

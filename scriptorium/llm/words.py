@@ -47,11 +47,11 @@ def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]] if len(offsets) else data[:0], offsets - (offsets[0] if len(offsets) else 0)
 
 
-def chunks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Row ranges of about CHUNK bytes."""
+def chunks(offsets: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
+    """Row ranges of about so many bytes."""
     row, rows = 0, len(offsets) - 1
     while row < rows:
-        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK, "right")) - 1)
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1)
         yield row, end
         row = end
 
