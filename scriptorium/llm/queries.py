@@ -81,13 +81,22 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from scriptorium.llm import byte_bpe
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    tokens = byte_bpe.decoded(byte_bpe.encoded(_table(spark, sf_dir, "documents"), path), path)
+    return tokens.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scriptorium.llm import lexical_search
 
     return lexical_search.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_hmm_language_model, op3_robust_outliers, op4_decontamination, op5_packing, op6_chat, op7_compact_windows, op8_language_id, op9_weak_labels, op10_ngram_jaccard_join, op13_lexical_search)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_hmm_language_model, op3_robust_outliers, op4_decontamination, op5_packing, op6_chat, op7_compact_windows, op8_language_id, op9_weak_labels, op10_ngram_jaccard_join, op12_byte_bpe, op13_lexical_search)}
 
 SQL = {
     "op1_warc": """
