@@ -81,6 +81,13 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptorium.llm import turn_repair
+
+    chats = _table(spark, sf_dir, "conversations")
+    return turn_repair.report(chats, turn_repair.damaged(chats))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     from scriptorium.llm import byte_bpe
@@ -96,7 +103,7 @@ def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_hmm_language_model, op3_robust_outliers, op4_decontamination, op5_packing, op6_chat, op7_compact_windows, op8_language_id, op9_weak_labels, op10_ngram_jaccard_join, op12_byte_bpe, op13_lexical_search)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_hmm_language_model, op3_robust_outliers, op4_decontamination, op5_packing, op6_chat, op7_compact_windows, op8_language_id, op9_weak_labels, op10_ngram_jaccard_join, op11_turn_repair, op12_byte_bpe, op13_lexical_search)}
 
 SQL = {
     "op1_warc": """
@@ -110,6 +117,65 @@ SQL = {
                CASE WHEN page_id <> first THEN first END AS refers_to
         FROM f
     """,
+    "op11_turn_repair": r"""
+        WITH RECURSIVE crcs AS (
+            SELECT list_transform(range(256), lambda i: list_reduce(list_concat([CAST(i AS BIGINT)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END)) AS t
+        ), kinds AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+                       lambda c, b: xor(c // 256, t[1 + xor(c % 256, b)]))) % 20 AS kind
+            FROM conversations, crcs
+        ), damaged AS (
+            SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                   CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+            FROM kinds, range(2) AS copies(copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)
+        ), placed AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place FROM damaged
+        ), judged AS (
+            SELECT *, substr(role, 1, 1) AS initial,
+                   CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+                        WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 THEN 'duplicate'
+                        WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault
+            FROM placed
+        ), moves(q, said, r) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)
+        ), inserts(p, q, before) AS (VALUES (0, 0, ''), (1, 1, ''), (2, 2, ''), (3, 3, ''), (0, 2, 'I'), (0, 3, 'IJ'), (1, 2, 'I'), (1, 3, 'IJ'), (2, 3, 'J'), (3, 2, 'I')
+        ), edits AS (
+            SELECT p, r, initial, fault, 2 * len(before) + cost AS cost, before || edit AS script
+            FROM inserts, (VALUES ('s'), ('u'), ('a'), ('x')) AS i(initial), (VALUES ('blank'), ('duplicate'), ('truncated'), ('')) AS f(fault),
+                 LATERAL (SELECT 'D' AS edit, q AS r, 3 AS cost
+                          UNION ALL SELECT e, m.r, c + CAST(fault = 'truncated' AS INTEGER) FROM moves m, (VALUES ('K', 0), ('R', 2), ('S', 2)) AS k(e, c)
+                          WHERE m.q = inserts.q AND fault NOT IN ('blank', 'duplicate') AND m.said = CASE e WHEN 'K' THEN initial WHEN 'R' THEN 'u' ELSE 'a' END)
+        ), walked(conv_id, place, q, best) AS (
+            SELECT DISTINCT conv_id, CAST(0 AS BIGINT), 0, {'cost': CAST(0 AS BIGINT), 'script': ''} FROM judged
+            UNION ALL
+            SELECT j.conv_id, j.place, e.r, min({'cost': w.best.cost + e.cost, 'script': w.best.script || e.script})
+            FROM walked w JOIN judged j ON j.conv_id IS NOT DISTINCT FROM w.conv_id AND j.place = w.place + 1
+            JOIN edits e ON e.p = w.q AND e.fault = j.fault AND e.initial = CASE WHEN j.initial IN ('s', 'u', 'a') THEN j.initial ELSE 'x' END
+            GROUP BY j.conv_id, j.place, e.r
+        ), sizes AS (
+            SELECT conv_id, count(*) AS n, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+                   coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps FROM judged GROUP BY conv_id
+        ), scripts AS (
+            SELECT w.conv_id, min({'cost': best.cost + 2 * len(l.last), 'script': best.script || l.last}) AS best
+            FROM walked w JOIN sizes s ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND s.n = w.place
+            JOIN (VALUES (0, ''), (1, 'IJ'), (2, 'J'), (3, '')) AS l(q, last) USING (q) GROUP BY w.conv_id
+        ), letters AS (
+            SELECT conv_id, unnest(string_split(best.script, '')) AS edit, generate_subscripts(string_split(best.script, ''), 1) AS number FROM scripts WHERE best.script <> ''
+        ), numbered AS (
+            SELECT *, count(*) FILTER (edit NOT IN ('I', 'J')) OVER (PARTITION BY conv_id ORDER BY number) AS place FROM letters
+        ), digests AS (
+            SELECT n.conv_id, sha256(string_agg(CASE edit WHEN 'I' THEN 'user:' WHEN 'J' THEN 'assistant:' WHEN 'R' THEN 'user:' || text WHEN 'S' THEN 'assistant:' || text ELSE role || ':' || text END, chr(10) ORDER BY number)) AS digest
+            FROM numbered n LEFT JOIN judged j ON j.conv_id IS NOT DISTINCT FROM n.conv_id AND j.place = n.place
+            WHERE edit <> 'D' GROUP BY n.conv_id
+        ), illegals AS (
+            SELECT conv_id, count(*) FILTER (place > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM (SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY place) AS before FROM judged) GROUP BY conv_id
+        )
+        SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               coalesce(best.cost, 0) AS cost, coalesce(translate(best.script, 'JS', 'IR'), '') AS audit, coalesce(digest, sha256('')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN sizes s ON s.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN illegals i ON i.conv_id IS NOT DISTINCT FROM o.conv_id
+        LEFT JOIN scripts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN digests d ON d.conv_id IS NOT DISTINCT FROM o.conv_id
+    """,
     "op13_lexical_search": r"""
         WITH d AS (
             SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
