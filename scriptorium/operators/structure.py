@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriptorium.operators.findings import broken_lines
@@ -51,17 +52,33 @@ def captions(rows: DataFrame, by: list[str], order: str, kind: Column, caption:
     return rows.where(caption & F.col("_target").isNotNull()).select(*by, F.col("_target").alias("target"), F.col(order).alias("caption"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; in a local session without one, a folder of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("scriptorium.scratch", None)
+    if not folder and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="scriptorium-")
+        spark.conf.set("scriptorium.scratch", folder)
+    return folder.rstrip("/")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that the session names; in a local session without one, in one of its own."""
+    """A checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="scriptorium-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: unlike a checkpoint it is computed once, and what Spark knew of its columns, which
+    may double with every round of a loop, ends here too."""
+    path = f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def chain_ends(links: DataFrame, key: str, kept: str) -> DataFrame:
     """key, kept: the end of the chain from each key, which has one link at most; null where the chain runs into a cycle.
 

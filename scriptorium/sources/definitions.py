@@ -1,7 +1,8 @@
 """Definitions in LaTeX sources as rows: macros, theorem kinds, glossaries, colours and bibliography items.
 
 Every function takes sources (path, source) and gives one row for each definition, with pos, its place among those of
-its kind in the file. Braces may nest three deep in a definition; what nests deeper is no definition here.
+its kind in the file. They start from the table of commands and their arguments, so that braces nest to any depth and
+verbatim stretches and comments define nothing.
 """
 
 from __future__ import annotations
@@ -9,39 +10,102 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_INNER = r"(?:[^{}]++|\{[^{}]*+\})*+"
-#: A pair of braces and what it holds.
-BRACED = r"\{((?:[^{}]++|\{" + _INNER + r"\})*+)\}"
-_BRACED = BRACED.replace("((?:", "(?:(?:", 1)
-#: White space that may stand between arguments, and an optional argument.
-_GAP, _OPTION = r"\s*+", r"(?:\[[^\]]*+\])"
-_NAME = r"(?:\{\s*+\\[A-Za-z@]++\*?\s*+\}|\\[A-Za-z@]++)"
+from scriptorium.sources import tokens
 
+#: White space that may stand between arguments.
+_GAP = r"\s*+"
+#: Commands that define a command or an environment, by the arguments that they take.
+COMMANDS = ["newcommand", "renewcommand", "providecommand", "DeclareRobustCommand"]
+DOCUMENT_COMMANDS = ["NewDocumentCommand", "RenewDocumentCommand", "ProvideDocumentCommand", "DeclareDocumentCommand"]
+PARAMETERS = ["def", "gdef", "edef", "xdef"]
+ENVIRONMENTS = ["newenvironment", "renewenvironment"]
+DOCUMENT_ENVIRONMENTS = ["NewDocumentEnvironment", "RenewDocumentEnvironment", "ProvideDocumentEnvironment", "DeclareDocumentEnvironment"]
 
-def _found(sources: DataFrame, pattern: str) -> DataFrame:
-    """path, pos, raw of every match."""
-    return sources.select("path", F.posexplode(F.regexp_extract_all("source", F.lit(pattern), 0)).alias("pos", "raw"))
 
+def found_commands(sources: DataFrame) -> DataFrame:
+    """Every command of sources with its arguments, as tokens.commands() gives them; the readers below start from these rows."""
+    return tokens.commands(tokens.nested(tokens.tokens(sources)))
 
-def _group(pattern: str, i: int, raw: str = "raw") -> Column:
-    return F.regexp_extract(raw, pattern, i)
+
+def _plain(c: Column) -> Column:
+    """A command's name without backslash and star."""
+    return F.regexp_replace(c, r"^\\|\*$", "")
+
+
+def _groups(args: Column) -> Column:
+    return F.filter(args, lambda a: a["kind"] == "{")
+
+
+def _options(args: Column) -> Column:
+    """The options before the first group."""
+    first = F.array_position(F.transform(args, lambda a: a["kind"]), "{")
+    return F.slice(args, F.lit(1), F.when(first > 0, first - 1).otherwise(F.size(args)).cast("int"))
+
+
+def _read(sources: DataFrame, rows: DataFrame, **args: Column) -> DataFrame:
+    """rows with the text of each argument, null where it is missing or never closed; pos counts the rows of a file from 0."""
+    ends = [c for n, arg in args.items() for c in (arg["from"].alias(f"{n}_from"), arg["to"].alias(f"{n}_to"))]
+    rows = rows.select(*(c for c in rows.columns if c not in ("args", "brace")), *ends)
+    rows = tokens.texts_between(sources, rows, **{n: (f"{n}_from", f"{n}_to") for n in args}).drop(*(f"{n}_{end}" for n in args for end in ("from", "to")))
+    return rows.withColumn("pos", F.row_number().over(Window.partitionBy("path").orderBy("pos")) - 1)
+
+
+def _outermost(rows: DataFrame) -> DataFrame:
+    """rows without those that stand before the end of an earlier one: what a definition holds is not defined yet."""
+    earlier = Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("_until", F.max("ends").over(earlier)).where("_until IS NULL OR _until < pos").drop("_until", "ends")
+
+
+def _spelled(c: Column) -> Column:
+    """Text with the name of a command, without what stands around it."""
+    return F.regexp_extract(c, r"^\s*\\([A-Za-z@]+)\s*$", 1)
 
 
 def macro_definitions(sources: DataFrame) -> DataFrame:
-    """path, pos, command, name, arity, default (null without one), body of every new, renewed or provided command."""
-    head = r"\\((?:re)?newcommand|providecommand|DeclareRobustCommand)\*?"
-    rows = _found(sources, head + _GAP + _NAME + _GAP + _OPTION + "{0,2}+" + _GAP + _BRACED)
-    groups = head + _GAP + r"\{?\s*+\\([A-Za-z@]++)\s*+\}?" + _GAP + r"(?:\[(\d)\])?+(\[[^\]]*+\])?+" + _GAP + BRACED
-    option = _group(groups, 4)
-    return rows.select(
-        "path",
-        "pos",
-        _group(groups, 1).alias("command"),
-        _group(groups, 2).alias("name"),
-        F.coalesce(F.nullif(_group(groups, 3), F.lit("")).cast("int"), F.lit(0)).alias("arity"),
-        F.when(option != "", F.substring(option, F.lit(2), F.length(option) - 2)).alias("default"),
-        _group(groups, 5).alias("body"),
-    )
+    r"""path, pos, command, name, arity, default (null without one), parameters (null but for \\def and the like), spec (null but for document commands), body.
+
+    The name may stand in braces or not. Braces nest to any depth; a body may also be the one command that follows, as it
+    always is for \\let. What has no body, or one whose brace never closes, is no definition, and neither is
+    what another definition holds.
+    """
+    found = found_commands(sources)
+    args, none = F.col("args"), F.lit(None).cast(found.schema["brace"].dataType)
+    span = lambda a, b: F.struct(F.lit(0).alias("at"), F.lit("").alias("kind"), F.lit(0).alias("close"), a.alias("from"), b.alias("to"))
+    kinds = [*COMMANDS, *DOCUMENT_COMMANDS]
+    braced = found.where(_plain(F.col("name")).isin(kinds) & (F.get("args.kind", 0) == "{"))
+    braced = braced.select("path", "pos", _plain(F.col("name")).alias("command"), F.get(args, 0).alias("name_arg"), F.slice("args", 2, 1 << 20).alias("args"), "then", "then2", "stop", "brace")
+    plain = found.where(_plain(F.col("before")).isin([*kinds, *PARAMETERS, "let"]))
+    plain = plain.select("path", "pos", _plain(F.col("before")).alias("command"), span(F.col("start"), F.col("stop")).alias("name_arg"), "args", "then", "then2", "stop", "brace")
+    rows = braced.unionByName(plain).withColumn("bodies", F.size(_groups(args)))
+    command, groups = F.col("command"), _groups(args)
+    document, given = command.isin(DOCUMENT_COMMANDS), command.isin(PARAMETERS)
+    body = F.when(given, F.col("brace")).when(document, F.get(groups, 1)).when(command != "let", F.get(groups, 0)).otherwise(none)
+    number, default = F.get(_options(args), 0), F.get(_options(args), 1)
+    rows = _outermost(rows.withColumn("ends", body["close"]))
+    parameters = F.when(given, span(F.col("stop"), F.col("brace.from") - 1))
+    out = _read(sources, rows, name=F.col("name_arg"), number=F.when(command.isin(COMMANDS), number), default=F.when(command.isin(COMMANDS), default), parameters=parameters, spec=F.when(document, F.get(groups, 0)), body=body)
+    follows = F.when(command == "let", F.when(F.col("then") == "=", F.col("then2")).otherwise(F.regexp_replace("then", "^=", "")))
+    follows = F.when(F.col("bodies") == 0, F.coalesce(follows, F.when(command.isin(COMMANDS) & F.col("then").rlike(r"^\\"), F.col("then"))))
+    arity = F.when(given, F.regexp_count("parameters", F.lit(r"#\d"))).when(document, F.size(arguments_of(F.col("spec")))).otherwise(F.coalesce(F.col("number").try_cast("int"), F.lit(0)))
+    return out.select("path", "pos", "command", _spelled(F.regexp_replace("name", r"\*$", "")).alias("name"), arity.alias("arity"), "default", "parameters", "spec", F.coalesce("body", follows).alias("body")).where("body IS NOT NULL AND name <> ''")
+
+
+def arguments_of(spec: Column) -> Column:
+    """The kinds of argument that a document command's specification lists, defaults and processors left out: s, m, o or O, r or R, d or D."""
+    bare = spec
+    return F.regexp_extract_all(F.regexp_replace(bare, r">\s*\{[^{}]*\}|\{(?:[^{}]|\{[^{}]*\})*\}|[+! ]", ""), F.lit(r"[smoO]|[rRdD]\S\S"), F.lit(0))
+
+
+def environment_definitions(sources: DataFrame) -> DataFrame:
+    """path, pos, command, name, arity, default (null without one), spec (null but for document environments), begin, end of every environment that is defined."""
+    rows = found_commands(sources).withColumn("command", _plain(F.col("name"))).where(F.col("command").isin([*ENVIRONMENTS, *DOCUMENT_ENVIRONMENTS]))
+    document, groups, rest = F.col("command").isin(DOCUMENT_ENVIRONMENTS), _groups(F.col("args")), F.slice("args", 2, 1 << 20)
+    code = lambda i: F.when(document, F.get(groups, i + 1)).otherwise(F.get(groups, i))
+    option = lambda i: F.when(~document, F.get(_options(rest), i))
+    rows = _outermost(rows.withColumn("ends", code(2)["close"]))
+    out = _read(sources, rows.select("path", "pos", "command", "args"), name=F.get(groups, 0), number=option(0), default=option(1), spec=F.when(document, F.get(groups, 1)), begin=code(1), end=code(2))
+    arity = F.when(F.col("spec").isNotNull(), F.size(arguments_of(F.col("spec")))).otherwise(F.coalesce(F.col("number").try_cast("int"), F.lit(0)))
+    return out.select("path", "pos", "command", F.trim("name").alias("name"), arity.alias("arity"), "default", "spec", "begin", "end").where("begin IS NOT NULL AND end IS NOT NULL AND name <> ''")
 
 
 def macros(definitions: DataFrame) -> DataFrame:
@@ -65,34 +129,41 @@ def safe_macros(macros: DataFrame, protected: list[str]) -> DataFrame:
 
 def theorem_kinds(sources: DataFrame) -> DataFrame:
     """path, pos, name, numbered, shared (the kind whose counter it uses), title, within; empty where not given."""
-    pattern = r"\\newtheorem(\*?)" + _GAP + r"\{([^{}]++)\}" + _GAP + r"(?:\[([^\]]*+)\])?+" + _GAP + BRACED + r"(?:\[([^\]]*+)\])?+"
-    rows = _found(sources, pattern)
-    return rows.select("path", "pos", _group(pattern, 2).alias("name"), (_group(pattern, 1) == "").alias("numbered"), _group(pattern, 3).alias("shared"), _group(pattern, 4).alias("title"), _group(pattern, 5).alias("within"))
+    rows = found_commands(sources).where(_plain(F.col("name")) == "newtheorem").select("path", "pos", F.col("name").alias("command"), "args")
+    after = F.slice("args", 2, 1 << 20)
+    titled = F.array_position(F.transform(after, lambda a: a["kind"]), "{").cast("int")
+    within = F.get(F.filter(F.slice(after, titled + 1, F.lit(1)), lambda a: a["kind"] == "["), 0)
+    out = _read(sources, rows.where("args[1] IS NOT NULL AND exists(slice(args, 2, 3), a -> a.kind = '{')"), name=F.get(_groups(F.col("args")), 0), shared=F.get(_options(after), 0), title=F.get(_groups(after), 0), within=within)
+    empty = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return out.select("path", "pos", "name", (~F.endswith("command", F.lit("*"))).alias("numbered"), empty("shared"), "title", empty("within")).where("title IS NOT NULL")
+
+
+def _with_groups(sources: DataFrame, command: str, *names: str) -> DataFrame:
+    """path, pos and the text of the first groups of every such command that has them all."""
+    rows = found_commands(sources).where(F.col("name") == command).select("path", "pos", "args")
+    out = _read(sources, rows, **{n: F.get(_groups(F.col("args")), i) for i, n in enumerate(names)})
+    return out.where(" AND ".join(f"{n} IS NOT NULL" for n in names))
 
 
 def acronyms(sources: DataFrame) -> DataFrame:
     """path, pos, key, short, long."""
-    pattern = r"\\newacronym" + _OPTION + "?+" + _GAP + r"\{([^{}]++)\}" + _GAP + BRACED + _GAP + BRACED
-    rows = _found(sources, pattern)
-    return rows.select("path", "pos", *(_group(pattern, i).alias(c) for i, c in ((1, "key"), (2, "short"), (3, "long"))))
+    return _with_groups(sources, "newacronym", "key", "short", "long")
 
 
 def colours(sources: DataFrame) -> DataFrame:
     """path, pos, name, model, spec; of several definitions of a name in a file all are rows, in order."""
-    pattern = r"\\definecolor" + _OPTION + "?+" + _GAP + r"\{([^{}]++)\}" + _GAP + r"\{([^{}]++)\}" + _GAP + r"\{([^{}]++)\}"
-    rows = _found(sources, pattern)
-    return rows.select("path", "pos", *(_group(pattern, i).alias(c) for i, c in ((1, "name"), (2, "model"), (3, "spec"))))
+    return _with_groups(sources, "definecolor", "name", "model", "spec")
 
 
 def bibliography_items(sources: DataFrame) -> DataFrame:
-    """path, number (from 1), key, label (null without one), text of every item of a bibliography list."""
-    listed = F.split_part(F.col("source"), F.lit("\\end{thebibliography}"), F.lit(1))
-    parts = sources.select("path", F.posexplode(F.split(listed, r"\\bibitem(?=\s*+[\[{])")).alias("number", "raw")).where("number > 0")
-    pattern = r"(?s)^\s*+(\[(?:[^\[\]{}]++|\{" + _INNER + r"\})*+\])?+\s*+\{([^{}]++)\}(.*)$"
-    label = _group(pattern, 1)
-    text = F.trim(F.regexp_replace(_group(pattern, 3), r"\s+", " "))
-    rows = parts.select("path", "number", _group(pattern, 2).alias("key"), F.when(label != "", F.substring(label, F.lit(2), F.length(label) - 2)).alias("label"), text.alias("text"))
-    return rows.where("key <> ''")
+    """path, number (from 1), key, label (null without one), text of every item of a bibliography list, up to the list's end."""
+    rows = found_commands(sources).where("name = 'bibitem' OR (name = 'end' AND args[0].kind = '{')")
+    ends = F.min(F.when(F.col("name") == "end", F.col("start"))).over(Window.partitionBy("path").orderBy("pos").rowsBetween(1, Window.unboundedFollowing))
+    following = F.min(F.when(F.col("name") == "bibitem", F.col("start"))).over(Window.partitionBy("path").orderBy("pos").rowsBetween(1, Window.unboundedFollowing))
+    rows = rows.withColumn("next", F.coalesce(F.least(ends, following), F.lit(1 << 40))).where("name = 'bibitem'")
+    item = F.struct(F.lit(0).alias("at"), F.lit("").alias("kind"), F.lit(0).alias("close"), (F.get(_groups(F.col("args")), 0)["to"] + 1).alias("from"), F.col("next").alias("to"))
+    out = _read(sources, rows.select("path", "pos", "args", "next"), key=F.get(_groups(F.col("args")), 0), label=F.get(_options(F.col("args")), 0), text=item).where("key <> ''")
+    return out.select("path", (F.col("pos") + 1).alias("number"), "key", "label", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text"))
 
 
 def sole_lists(files: DataFrame) -> DataFrame:
@@ -116,9 +187,9 @@ def starred_outside(source: Column) -> Column:
 
 
 def operators_as_commands(source: Column) -> Column:
-    """Declared operators of mathematics as commands for their upright names."""
-    pattern = r"\\DeclareMathOperator(\*?)" + _GAP + r"\{?\s*+(\\[A-Za-z]++)\s*+\}?" + _GAP + BRACED
-    return F.regexp_replace(source, pattern, r"\\newcommand{$2}{\\operatorname$1{$3}}")
+    """Declared operators of mathematics as commands for their upright names, whose braces nest twice at most."""
+    pattern = r"\\DeclareMathOperator(\*?)" + _GAP + r"\{?\s*+(\\[A-Za-z]++)\s*+\}?" + _GAP + r"\{((?:[^{}]++|\{(?:[^{}]++|\{[^{}]*+\})*+\})*+)\}"
+    return tokens.outside_verbatim(source, lambda part: F.regexp_replace(part, pattern, r"\\newcommand{$2}{\\operatorname$1{$3}}"))
 
 
 def listings_as_verbatim(source: Column) -> Column:
