@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: Characters with a meaning in LaTeX, and what writes them.
 LATEX = [("\\", r"\textbackslash{}"), ("{", r"\{"), ("}", r"\}"), ("$", r"\$"), ("&", r"\&"), ("#", r"\#"), ("%", r"\%"), ("_", r"\_"), ("~", r"\textasciitilde{}"), ("^", r"\textasciicircum{}")]
-#: EMU of a unit of length.
-EMU = {"in": 914400, "cm": 360000, "mm": 36000, "pt": 12700}
+#: EMU of a unit of length; an inch has 914,400, or 72.27 points, 72 big points or 96 pixels, and em and ex are those of ten-point type.
+EMU = {"in": 914400, "pt": 914400 / 72.27, "bp": 914400 / 72, "cm": 914400 / 2.54, "mm": 914400 / 25.4, "px": 914400 / 96, "em": 914400 / 72.27 * 10, "ex": 914400 / 72.27 * 4.3}
 
 
 def normal_space(c: Column) -> Column:
@@ -16,11 +16,6 @@ def normal_space(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, "[ \\t\\n\\r]+", " "))
 
 
-def without_comments(c: Column) -> Column:
-    """Without per cent signs and the rest of their lines; for text without backslashes."""
-    return F.regexp_replace(c, "%[^\\n]*\\n?[ \\t]*", "")
-
-
 def html_escape(c: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         c = F.replace(c, F.lit(a), F.lit(b))
@@ -56,8 +51,8 @@ def initials(c: Column) -> Column:
 
 
 def to_emu(c: Column, unit: str) -> Column:
-    """A length in whole EMU, cut towards zero."""
-    return (c * EMU[unit]).cast("long")
+    """A length in EMU, not rounded."""
+    return c * F.lit(float(EMU[unit]))
 
 
 def mixed_colour(a: list[Column], b: list[Column], percent: Column) -> Column:

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 #: Footnote marks of the numbers from 1.
 FOOTNOTE_MARKS = ["*", "†", "‡", "§", "¶", "‖", "**", "††"]
-#: Points, big points, centimetres, millimetres and pixels in an inch of 914,400 EMU.
-PER_INCH = {"in": 1.0, "pt": 72.27, "bp": 72.0, "cm": 2.54, "mm": 25.4, "px": 96.0}
 
 
 def letters(n: Column) -> Column:
@@ -90,11 +88,6 @@ def cmyk(c: Column, m: Column, y: Column, k: Column) -> Column:
     return F.concat(*(hex_channel((100 - x) * (100 - k) * 255 / 10000) for x in (c, m, y)))
 
 
-def length_in_emu(c: Column, unit: str) -> Column:
-    """A length in EMU, not rounded."""
-    return c * (914400 / PER_INCH[unit])
-
-
 def rotation(degrees: Column) -> Column:
     """Clockwise sixty-thousandths of a degree of an anticlockwise angle in whole degrees."""
     return F.pmod(-degrees, F.lit(360)) * 60000

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def diff(found: DataFrame, baseline: DataFrame) -> DataFrame:
-    """All columns of either, and status: new, fixed or known."""
-    a, b = found.distinct().withColumn("_a", F.lit(True)), baseline.distinct().withColumn("_b", F.lit(True))
+def diff(found: DataFrame, baseline: DataFrame, ran: DataFrame, key: str) -> DataFrame:
+    """All columns of either, and status: new, fixed or known. Only what ran (its keys) can be fixed or known."""
+    a, b = found.distinct().withColumn("_a", F.lit(True)), baseline.join(ran.select(key).distinct(), key, "left_semi").select(found.columns).distinct().withColumn("_b", F.lit(True))
     both = a.join(b, found.columns, "full")
     status = F.when(F.col("_b").isNull(), "new").when(F.col("_a").isNull(), "fixed").otherwise("known")
     return both.select(*found.columns, status.alias("status"))

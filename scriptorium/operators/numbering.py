@@ -37,7 +37,16 @@ def runs(rows: DataFrame, by: list[str], order: list[str], value: str) -> DataFr
     return marked.groupBy(*by, "run").agg(F.first(value).alias(value), F.min(order[0]).alias("first"), F.count("*").alias("length"))
 
 
-def paired_in_order(left: DataFrame, right: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """The k-th row of left with the k-th of right in each group; left rows beyond have nulls."""
-    a, b = counter(left, by, order, "k"), counter(right, by, order, "k")
-    return a.join(b, [*by, "k"], "left")
+def queued(rows: DataFrame, by: list[str], order: list[str], is_mark: Column, is_text: Column, name: str) -> DataFrame:
+    """by, mark, text: every text with the oldest mark before it that has none yet; a mark that gets none has a null text, a
+    text that finds none a null mark. Marks leave the queue in the order in which they came, so that the k-th text which
+    found any has the k-th mark."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    rows = rows.withColumn("_step", F.when(is_mark, 1).when(is_text, -1)).where("_step IS NOT NULL")
+    total = rows.withColumn("_sum", F.sum("_step").over(running(w)))
+    waiting = F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(running(w)))
+    total = total.withColumn("_waiting", waiting).withColumn("_found", (F.col("_step") == -1) & (F.coalesce(F.lag("_waiting").over(w), F.lit(0)) > 0))
+    counts = total.withColumn("_k", F.when(F.col("_step") == 1, F.sum((F.col("_step") == 1).cast("int")).over(running(w))).when(F.col("_found"), F.sum(F.col("_found").cast("int")).over(running(w))))
+    marks = counts.where("_step = 1").select(*by, "_k", F.col(name).alias("mark"))
+    texts = counts.where("_step = -1").select(*by, "_k", F.col(name).alias("text"))
+    return marks.join(texts, [*by, "_k"], "full").select(*by, "mark", "text")

@@ -38,10 +38,18 @@ def list_parents(rows: DataFrame, by: list, position: str, level: str, levels: i
 
 
 def field_phases(rows: DataFrame, by: list, order: list, begins: Column, separates: Column, ends: Column) -> DataFrame:
-    """rows with field, the number of the field begun last, and phase: instr from its begin, result from its separator, else outside."""
-    mark = F.when(begins, "instr").when(separates, "result").when(ends, "outside")
+    """rows with field, the number of the field begun last, and phase: instr from its begin, result from its separator, outside
+    from its end; separators and ends outside a field do nothing, a begin in a field ends that field."""
     out = rows.withColumn("field", F.sum(F.coalesce(begins, F.lit(False)).cast("int")).over(_until(by, order)))
-    return out.withColumn("phase", F.coalesce(F.last(mark, ignorenulls=True).over(_until(by, order)), F.lit("outside")))
+    seen = lambda what: F.coalesce(F.bool_or(what).over(_until([*by, "field"], order)), F.lit(False))
+    phase = F.when((F.col("field") == 0) | seen(ends), "outside").when(seen(separates), "result").otherwise("instr")
+    return out.withColumn("phase", phase)
+
+
+def field_text(kind: Column, shown: Column, page: Column, number: Column, text: Column) -> Column:
+    """What a field shows of its bookmark (page, number and text are null without one): a page, 1 if it is unknown; a number
+    without full stops at its end, or a text without white space around it, where there is one; else what it showed."""
+    return F.when(kind == "page", F.coalesce(page.cast("string"), F.lit("1"))).when(kind == "number", F.coalesce(F.rtrim(number, F.lit(".")), shown)).otherwise(F.coalesce(F.nullif(F.trim(text), F.lit("")), shown))
 
 
 def indents(rows: DataFrame, by: list, order: list, change: Column) -> DataFrame:
@@ -57,11 +65,15 @@ def segments(rows: DataFrame, by: list, order: list, marker: Column) -> DataFram
 
 def long_table(rows: DataFrame, by: list, order: list, marker: Column) -> DataFrame:
     """The rows of long tables that are set once, with part: marker is firsthead, head, foot or lastfoot on the row that
-    ends such a part, null elsewhere. The first head is kept, or the head where there is none; feet go."""
-    after = Window.partitionBy(*by).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
-    out = rows.withColumn("part", F.coalesce(F.first(marker, ignorenulls=True).over(after), F.lit("body")))
-    out = out.withColumn("first_", F.max(F.col("part") == "firsthead").over(Window.partitionBy(*by)))
-    return out.where("part IN ('body', 'firsthead') OR (part = 'head' AND NOT first_)").drop("first_")
+    ends such a part, null elsewhere. The repeated head is kept, or the first head where there is none; feet go. Of
+    several parts of a kind the last counts."""
+    in_order = Window.partitionBy(*by).orderBy(*order)
+    out = rows.withColumn("mark_", marker).withColumn("n_", F.row_number().over(in_order))
+    ending = F.first(F.when(F.col("mark_").isNotNull(), F.struct(F.col("mark_").alias("part"), F.col("n_").alias("at"))), ignorenulls=True)
+    out = out.withColumn("end_", ending.over(in_order.rowsBetween(0, Window.unboundedFollowing))).withColumn("part", F.coalesce("end_.part", F.lit("body")))
+    last = lambda part: F.max(F.when(F.col("part") == part, F.col("end_.at"))).over(Window.partitionBy(*by))
+    kept = out.withColumn("kept_", F.coalesce(last("head"), last("firsthead")))
+    return kept.where("part = 'body' OR (part IN ('head', 'firsthead') AND end_.at = kept_)").drop("mark_", "n_", "end_", "kept_")
 
 
 def cells_under_rule(rows: DataFrame, column: str, first: Column, last: Column) -> DataFrame:

@@ -113,6 +113,10 @@ def by_precedence(rows: DataFrame, key: str, rank: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def updated_baseline(baseline: DataFrame, found: DataFrame, ran: DataFrame, key: str) -> DataFrame:
-    """found of the keys that ran, and the baseline of the others."""
-    return found.join(ran, key, "left_semi").unionByName(baseline.join(ran, key, "left_anti").select(found.columns)).distinct()
+def updated_baseline(baseline: DataFrame, found: DataFrame, ran: DataFrame, all_keys: DataFrame, key: str, accept: bool) -> DataFrame:
+    """The baseline after a run: of the keys that ran, what was found and known, or all that was found if new findings are
+    accepted; of the others, what was known. Keys that exist no longer (all_keys) have no rows."""
+    columns = baseline.columns
+    known = found.select(columns) if accept else found.select(columns).join(baseline, columns, "left_semi")
+    rest = baseline.join(ran.select(key), key, "left_anti").join(all_keys.select(key), key, "left_semi").select(columns)
+    return known.join(ran.select(key), key, "left_semi").select(columns).unionByName(rest).distinct()

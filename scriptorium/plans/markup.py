@@ -15,12 +15,17 @@ def _(part):
     return part.select("p_partkey", F.explode(M.key_values(options)))
 
 
-@query("image_options", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN NULL ELSE CAST(p_size * 360000 AS BIGINT) END AS width, CAST(p_size * 12700 AS BIGINT) AS height, p_size / 4.0 AS scale, CAST(-p_size AS DOUBLE) AS angle, CAST(p_size * 36000 AS BIGINT) AS trim_right, p_size % 2 = 0 AS clip, false AS keep_aspect FROM part", "part")
+_UNITS = {"cm": 360000, "mm": 36000, "in": 914400, "PT": "914400 / 72.27", "bp": 12700, "px": 9525, "em": "9144000 / 72.27", "ex": "3931920 / 72.27", "": "914400 / 72.27"}
+_UNIT = "['" + "', '".join(_UNITS) + "'][1 + CAST(floor(p_retailprice) AS BIGINT) % 9]"
+_EMU_OF = "[" + ", ".join(f"CAST({v} AS DOUBLE)" for v in _UNITS.values()) + "][1 + CAST(floor(p_retailprice) AS BIGINT) % 9]"
+
+
+@query("image_options", f"SELECT p_partkey, CASE WHEN p_size % 3 > 0 THEN CAST(round(p_size * {_EMU_OF}) AS BIGINT) END AS width, CAST(round(p_size * 914400 / 72.27) AS BIGINT) AS height, p_size / 4.0 AS scale, CAST(-p_size AS DOUBLE) AS angle, CAST(p_size * 36000 AS BIGINT) AS trim_right, p_size % 2 = 0 AS clip, false AS keep_aspect, p_name || ',' || p_brand AS alt FROM part", "part")
 def _(part):
-    size = F.col("p_size")
-    width = F.when(size % 3 == 0, F.lit(r"0.5\linewidth")).otherwise(F.concat(size, F.lit("cm")))
-    options = F.concat(F.lit("width="), width, F.lit(",height="), size, F.lit(",scale="), size / 4, F.lit(",angle=-"), size, F.lit(",trim=1pt 2pt "), size, F.lit("mm 0pt"), F.when(size % 2 == 0, ",clip").otherwise(""))
-    return part.select("p_partkey", M.image_options(options).alias("o")).select("p_partkey", "o.width", "o.height", "o.scale", "o.angle", F.get("o.trim", 2).alias("trim_right"), "o.clip", "o.keep_aspect")
+    size, unit = F.col("p_size"), F.get(F.array(*map(F.lit, _UNITS)), (F.floor("p_retailprice") % 9).cast("int"))
+    width = F.when(size % 3 == 0, F.lit(r"0.5\linewidth")).otherwise(F.concat(size, unit))
+    options = F.concat(F.lit("Width="), width, F.lit(",HEIGHT="), size, F.lit(",scale="), size / 4, F.lit(",Angle=-"), size, F.lit(",trim=1pt 2pt "), size, F.lit("mm 0pt,alt={"), "p_name", F.lit(","), "p_brand", F.lit("},x=[1,clip]"), F.when(size % 2 == 0, ",Clip").otherwise(""))
+    return part.select("p_partkey", M.image_options(options).alias("o"), F.try_element_at(M.key_values(options, lower=True), F.lit("alt")).alias("alt")).select("p_partkey", "o.width", "o.height", "o.scale", "o.angle", F.get("o.trim", 2).alias("trim_right"), "o.clip", "o.keep_aspect", "alt")
 
 
 @query("unit_texts", "SELECT p_partkey, ['k', 'm', 'µ'][1 + p_partkey % 3] || ['N', 'Pa', 'mol', 'Ω'][1 + p_size % 4] || chr(8201) || 'm' || CASE WHEN p_size % 2 = 0 THEN '²' ELSE '³' END || '/s' || CASE WHEN p_size % 5 = 0 THEN '²' ELSE '' END AS text FROM part", "part")

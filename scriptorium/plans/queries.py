@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
 from scriptorium.operators import blocks, citations, findings, numbering, refs, tables
+from scriptorium.sources import corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -86,9 +87,14 @@ def _(documents):
     return documents.select("doc_id", F.md5(F.encode(text, "utf-8")).alias("text_md5"), F.length(text).cast("long").alias("n"))
 
 
-@query("strip_percent_comments", "SELECT doc_id, md5(regexp_replace(text, '%[^\\n]*\\n?[ \\t]*', '', 'g')) AS text_md5 FROM documents", "documents")
+_ESCAPED = "replace(text, '#', '\\%')"
+
+
+@query("strip_percent_comments", f"SELECT doc_id, md5(replace(regexp_replace(replace({_ESCAPED}, '\\%', chr(1)), '%[^\\n]*\\n?[ \\t]*', '', 'g'), chr(1), '\\%')) AS text_md5 FROM documents", "documents")
 def _(documents):
-    return documents.select("doc_id", F.md5(F.encode(T.without_comments(F.col("text")), "utf-8")).alias("text_md5"))
+    """Texts, of which each number sign became an escaped per cent sign, without comments."""
+    escaped = F.replace("text", F.lit("#"), F.lit("\\%"))
+    return documents.select("doc_id", F.md5(F.encode(corpus.without_comments(escaped), "utf-8")).alias("text_md5"))
 
 
 @query("html_escape", "SELECT doc_id, md5(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS text_md5 FROM documents", "documents")
@@ -142,9 +148,9 @@ def _(orders):
     return orders.select("o_orderkey", T.grouped_digits(F.floor("o_totalprice")).alias("grouped"))
 
 
-@query("length_to_emu", "SELECT p_partkey, CAST(p_size AS BIGINT) * 914400 AS inches, CAST(p_size AS BIGINT) * 360000 AS centimetres, CAST(p_size AS BIGINT) * 12700 AS points FROM part", "part")
+@query("length_to_emu", "SELECT p_partkey, " + ", ".join(f"CAST(round(p_size * CAST({emu} AS DOUBLE)) AS BIGINT) AS {unit}_emu" for unit, emu in (("in", "914400"), ("cm", "360000"), ("mm", "36000"), ("pt", "914400 / 72.27"), ("bp", "12700"), ("px", "9525"), ("em", "9144000 / 72.27"), ("ex", "3931920 / 72.27"))) + " FROM part", "part")
 def _(part):
-    return part.select("p_partkey", T.to_emu(F.col("p_size"), "in").alias("inches"), T.to_emu(F.col("p_size"), "cm").alias("centimetres"), T.to_emu(F.col("p_size"), "pt").alias("points"))
+    return part.select("p_partkey", *(F.round(T.to_emu(F.col("p_size"), unit)).cast("long").alias(f"{unit}_emu") for unit in T.EMU))
 
 
 _CHANNEL = "lpad(upper(to_hex(CAST(round_even(({} * p_size + {} * (100 - p_size)) / 100.0, 0) AS BIGINT))), 2, '0')"
@@ -253,11 +259,21 @@ def _(conversations):
     return numbering.runs(conversations, ["conv_id"], ["turn"], "role").where("run > 1").select("conv_id", F.col("first").alias("turn"))
 
 
-@query("footnote_fifo", "WITH a AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type = 'view'), b AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type = 'click') SELECT a.event_id AS mark, b.event_id AS body FROM a LEFT JOIN b ON a.user_id = b.user_id AND a.k = b.k", "events")
+@query("footnote_fifo", """
+        WITH RECURSIVE r AS (
+            SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type IN ('view', 'click')
+        ), w AS (
+            SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS queue, CAST(NULL AS BIGINT) AS mark, CAST(NULL AS BIGINT) AS body FROM r
+            UNION ALL
+            SELECT r.user_id, r.n, CASE WHEN event_type = 'view' THEN list_append(queue, CAST(event_id AS BIGINT)) ELSE queue[2:] END,
+                   CASE WHEN event_type = 'click' THEN queue[1] END, CASE WHEN event_type = 'click' THEN event_id END
+            FROM w JOIN r ON r.user_id = w.user_id AND r.n = w.n + 1
+        )
+        SELECT mark, body FROM w WHERE body IS NOT NULL
+        UNION ALL SELECT event_id, NULL FROM r WHERE event_type = 'view' AND event_id NOT IN (SELECT mark FROM w WHERE mark IS NOT NULL)""", "events")
 def _(events):
-    of = lambda kind, name: events.where(F.col("event_type") == kind).select("user_id", "ts", F.col("event_id").alias(name), F.col("event_id"))
-    pairs = numbering.paired_in_order(of("view", "mark"), of("click", "body").withColumnRenamed("event_id", "e").withColumn("event_id", F.col("e")).drop("e"), ["user_id"], ["ts", "event_id"])
-    return pairs.select("mark", "body")
+    pairs = numbering.queued(events, ["user_id"], ["ts", "event_id"], F.col("event_type") == "view", F.col("event_type") == "click", "event_id")
+    return pairs.select(F.col("mark").cast("long").alias("mark"), F.col("text").cast("long").alias("body"))
 
 
 @query("order_check", "SELECT event_id FROM (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE value < before", "events")
@@ -308,9 +324,9 @@ def _(lineitem):
 # findings
 
 
-@query("baseline_diff", "WITH a AS (SELECT doc_id FROM labels WHERE quality = 0), b AS (SELECT doc_id FROM labels WHERE toxic = 1 OR doc_id % 3 = 0) SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'new' WHEN a.doc_id IS NULL THEN 'fixed' ELSE 'known' END AS status FROM a FULL JOIN b ON a.doc_id = b.doc_id", "labels")
+@query("baseline_diff", "WITH ran AS (SELECT doc_id FROM labels WHERE toxic = 0 OR quality = 0), a AS (SELECT doc_id FROM labels WHERE quality = 0), b AS (SELECT doc_id FROM labels WHERE (toxic = 1 OR doc_id % 3 = 0) AND doc_id IN (SELECT doc_id FROM ran)) SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'new' WHEN a.doc_id IS NULL THEN 'fixed' ELSE 'known' END AS status FROM a FULL JOIN b ON a.doc_id = b.doc_id", "labels")
 def _(labels):
-    return findings.diff(labels.where("quality = 0").select("doc_id"), labels.where("toxic = 1 OR doc_id % 3 = 0").select("doc_id"))
+    return findings.diff(labels.where("quality = 0").select("doc_id"), labels.where("toxic = 1 OR doc_id % 3 = 0").select("doc_id"), labels.where("toxic = 0 OR quality = 0"), "doc_id")
 
 
 @query("matrix_margins", "SELECT lang, source, count(*) AS n, CAST(sum(CAST(quality = 0 AS INTEGER)) AS BIGINT) AS failed FROM labels JOIN documents USING (doc_id) GROUP BY GROUPING SETS ((lang, source), (lang), (source), ())", "labels", "documents")

@@ -38,7 +38,7 @@ def _(conversations):
     return scopes.list_parents(rows, ["conv_id"], "turn", "level").select("conv_id", "turn", "parent")
 
 
-@query("field_phases", f"SELECT event_id, CAST(sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER {_W} AS BIGINT) AS field, coalesce(last_value(CASE event_type WHEN 'signup' THEN 'instr' WHEN 'purchase' THEN 'result' WHEN 'error' THEN 'outside' END IGNORE NULLS) OVER {_W}, 'outside') AS phase FROM events", "events")
+@query("field_phases", f"SELECT event_id, CAST(sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER {_W} AS BIGINT) AS field, CASE WHEN open IS NULL OR (ended IS NOT NULL AND ended > open) THEN 'outside' WHEN parted IS NOT NULL AND parted > open THEN 'result' ELSE 'instr' END AS phase FROM (SELECT *, max(CASE WHEN event_type = 'signup' THEN n END) OVER {_W} AS open, max(CASE WHEN event_type = 'purchase' THEN n END) OVER {_W} AS parted, max(CASE WHEN event_type = 'error' THEN n END) OVER {_W} AS ended FROM (SELECT *, row_number() OVER {_W} AS n FROM events))", "events")
 def _(events):
     kind = F.col("event_type")
     return scopes.field_phases(events, *_USER, kind == "signup", kind == "purchase", kind == "error").select("event_id", "field", "phase")
@@ -58,10 +58,10 @@ def _(events):
     return scopes.segments(events, *_USER, F.col("event_type") == "error").select("event_id", "segment")
 
 
-_PART = "CASE WHEN l_linenumber = 1 AND l_orderkey % 2 = 0 THEN 'firsthead' WHEN l_linenumber = 2 THEN 'head' WHEN l_linenumber = 3 THEN 'foot' END"
+_PART = "CASE CAST(l_quantity AS INT) % 9 WHEN 0 THEN 'firsthead' WHEN 1 THEN 'head' WHEN 2 THEN 'foot' WHEN 3 THEN 'lastfoot' END"
 
 
-@query("long_tables", f"WITH m AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_PART} AS mark FROM lineitem), p AS (SELECT *, coalesce(first_value(mark IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 'body') AS part FROM m), f AS (SELECT *, bool_or(part = 'firsthead') OVER (PARTITION BY l_orderkey) AS has FROM p) SELECT l_orderkey, l_linenumber, l_partkey, part FROM f WHERE part IN ('body', 'firsthead') OR (part = 'head' AND NOT has)", "lineitem")
+@query("long_tables", f"WITH m AS (SELECT l_orderkey, l_linenumber, l_partkey, {_PART} AS mark, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem), p AS (SELECT a.*, (SELECT min(b.n) FROM m b WHERE b.l_orderkey = a.l_orderkey AND b.mark IS NOT NULL AND b.n >= a.n) AS ends FROM m a), h AS (SELECT l_orderkey, coalesce(max(n) FILTER (mark = 'head'), max(n) FILTER (mark = 'firsthead')) AS head FROM m GROUP BY 1) SELECT p.l_orderkey, p.l_linenumber, p.l_partkey, coalesce((SELECT mark FROM m WHERE m.l_orderkey = p.l_orderkey AND m.n = p.ends), 'body') AS part FROM p JOIN h USING (l_orderkey) WHERE ends IS NULL OR ends = head", "lineitem")
 def _(lineitem):
     out = scopes.long_table(lineitem, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"], F.expr(_PART))
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "part")
@@ -96,12 +96,14 @@ def _(lineitem, supplier):
     return citations.cite_strings(lineitem.withColumn("key", F.col("l_suppkey")), items, ["l_orderkey"], "l_linenumber")
 
 
-@query("bookmark_fields", "SELECT o_orderkey, CASE o_custkey % 3 WHEN 0 THEN coalesce(c_name, 'Error') WHEN 1 THEN coalesce(CAST(c_nationkey AS VARCHAR), 'Error') ELSE coalesce(c_mktsegment, 'Error') END AS result FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal >= 0) ON o_custkey = c_custkey", "orders", "customer")
+@query("bookmark_fields", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN coalesce(CAST(page AS VARCHAR), '1') WHEN 'O' THEN coalesce(rtrim(number, '.'), o_orderpriority) ELSE CASE WHEN trim(coalesce(words, '')) = '' THEN o_orderpriority ELSE trim(words) END END AS result FROM orders LEFT JOIN (SELECT c_custkey, c_custkey % 97 AS page, c_nationkey || repeat('.', c_custkey % 3) AS number, CASE WHEN c_nationkey < 9 THEN '  ' ELSE ' ' || c_name END AS words FROM customer WHERE c_acctbal >= 0) ON o_custkey = c_custkey", "orders", "customer")
 def _(orders, customer):
-    """The text, number or page (here name, nation and segment) of the bookmark that a field names."""
-    marks = customer.where("c_acctbal >= 0").select(F.col("c_custkey").alias("o_custkey"), "c_name", F.col("c_nationkey").cast("string").alias("number"), "c_mktsegment")
-    asked = F.when(F.col("o_custkey") % 3 == 0, F.col("c_name")).when(F.col("o_custkey") % 3 == 1, F.col("number")).otherwise(F.col("c_mktsegment"))
-    return orders.join(marks, "o_custkey", "left").select("o_orderkey", F.coalesce(asked, F.lit("Error")).alias("result"))
+    """Fields that ask for a bookmark's page, number or text, by the status of an order; what they showed was its priority."""
+    words = F.when(F.col("c_nationkey") < 9, "  ").otherwise(F.concat(F.lit(" "), "c_name"))
+    number = F.concat(F.col("c_nationkey").cast("string"), F.expr("repeat('.', CAST(c_custkey % 3 AS INT))"))
+    marks = customer.where("c_acctbal >= 0").select(F.col("c_custkey").alias("o_custkey"), (F.col("c_custkey") % 97).alias("page"), number.alias("number"), words.alias("words"))
+    kind = F.when(F.col("o_orderstatus") == "F", "page").when(F.col("o_orderstatus") == "O", "number").otherwise("text")
+    return orders.join(marks, "o_custkey", "left").select("o_orderkey", scopes.field_text(kind, F.col("o_orderpriority"), F.col("page"), F.col("number"), F.col("words")).alias("result"))
 
 
 @query("colour_lookup", "WITH d AS (SELECT lower(p_brand) AS name, arg_max(upper(printf('%06x', CAST(p_partkey AS INTEGER))), p_partkey) AS rgb FROM part GROUP BY 1) SELECT p_partkey, CASE WHEN rgb IS NOT NULL THEN rgb WHEN regexp_full_match(spec, '#?[0-9A-Fa-f]{6}') THEN upper(ltrim(spec, '#')) END AS rgb FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN upper(p_brand) WHEN 1 THEN '#' || lpad(CAST(p_partkey % 1000000 AS VARCHAR), 6, 'a') ELSE p_type END AS spec FROM part) LEFT JOIN d ON lower(spec) = name", "part")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from scriptorium.functions import text as X
 from scriptorium.functions import typeset as T
 from scriptorium.operators import findings, numbering, reconcile, structure
 from scriptorium.plans.queries import BROKEN, CELLS, matrix_cells, query
@@ -113,7 +114,7 @@ def _(part):
 @query("lengths", "SELECT p_partkey, CAST(floor(p_size * (914400 / CAST(72.27 AS DOUBLE))) AS BIGINT) AS points, CAST(floor(p_size * (914400 / CAST(2.54 AS DOUBLE)) / 635) AS BIGINT) AS twips_of_centimetres, ((360 - p_partkey % 360) % 360) * 60000 AS rotation FROM part", "part")
 def _(part):
     size = F.col("p_size")
-    return part.select("p_partkey", F.floor(T.length_in_emu(size, "pt")).alias("points"), F.floor(T.length_in_emu(size, "cm") / 635).alias("twips_of_centimetres"), T.rotation(F.col("p_partkey") % 360).alias("rotation"))
+    return part.select("p_partkey", F.floor(X.to_emu(size, "pt")).alias("points"), F.floor(X.to_emu(size, "cm") / 635).alias("twips_of_centimetres"), T.rotation(F.col("p_partkey") % 360).alias("rotation"))
 
 
 @query("image_extent", "SELECT p_partkey, CASE WHEN w > 5943600 THEN 5943600 ELSE w END AS width, CASE WHEN w > 5943600 THEN CAST(floor(CAST(h * 5943600 AS DOUBLE) / w) AS BIGINT) ELSE h END AS height FROM (SELECT p_partkey, CAST(p_size AS BIGINT) * 360000 AS w, (1 + p_partkey % 40) * 360000 AS h FROM part)", "part")
@@ -199,10 +200,22 @@ def _(events):
     return events.groupBy(family.alias("family")).agg(F.count("*").alias("n"))
 
 
-@query("baseline_update", "SELECT DISTINCT doc_id FROM labels WHERE (quality = 0 AND doc_id % 2 = 0) OR ((toxic = 1 OR doc_id % 3 = 0) AND doc_id % 2 = 1)", "labels")
-def _(labels):
-    ids = labels.select("doc_id").distinct()
-    return structure.updated_baseline(labels.where("toxic = 1 OR doc_id % 3 = 0").select("doc_id"), labels.where("quality = 0").select("doc_id"), ids.where("doc_id % 2 = 0"), "doc_id")
+#: What was found now, what was on file, the probes that ran and those that there are: users, whose kinds of event stand for failures.
+_RUN = "ran AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase'), a AS (SELECT DISTINCT user_id, event_type FROM events WHERE value > 40 AND user_id IN (SELECT user_id FROM ran)), b AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 2 = 0), every AS (SELECT DISTINCT user_id FROM events WHERE event_type IN ('purchase', 'signup'))"
+
+
+def _run(events):
+    users = lambda *kinds: events.where(F.col("event_type").isin(*kinds)).select("user_id").distinct()
+    pairs = lambda rows: rows.select("user_id", "event_type").distinct()
+    return pairs(events.where("value > 40")).join(users("purchase"), "user_id", "left_semi"), pairs(events.where("event_id % 2 = 0")), users("purchase"), users("purchase", "signup")
+
+
+for _accept in (False, True):
+
+    @query("baseline_update_accepting" if _accept else "baseline_update", f"WITH {_RUN} SELECT user_id, event_type FROM a {'' if _accept else 'JOIN b USING (user_id, event_type)'} UNION SELECT user_id, event_type FROM b WHERE user_id NOT IN (SELECT user_id FROM ran) AND user_id IN (SELECT user_id FROM every)", "events")
+    def _(events, accept=_accept):
+        found, baseline, ran, every = _run(events)
+        return structure.updated_baseline(baseline, found, ran, every, "user_id", accept)
 
 
 @query("reconcile", None, "conversations")
@@ -211,9 +224,10 @@ def _(conversations):
     return reconcile.aligned(chats.where("turn % 3 <> 2"), chats.where("turn % 4 <> 1"), "conv_id", "turn", "same")
 
 
-for _kind, _test in (("new", "b.doc_id IS NULL"), ("fixed", "a.doc_id IS NULL"), ("known", "a.doc_id = b.doc_id")):
-    _SQL = f"WITH a AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 0), b AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1) SELECT coalesce(a.doc_id, b.doc_id) AS doc_id FROM a FULL JOIN b ON a.doc_id = b.doc_id WHERE {_test}"
+for _kind, _test in (("new", "b.user_id IS NULL"), ("fixed", "a.user_id IS NULL"), ("known", "a.user_id = b.user_id")):
+    _SQL = f"WITH {_RUN} SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.event_type, b.event_type) AS event_type FROM a FULL JOIN (SELECT * FROM b WHERE user_id IN (SELECT user_id FROM ran)) b ON a.user_id = b.user_id AND a.event_type = b.event_type WHERE {_test}"
 
-    @query(f"baseline_{_kind}", _SQL, "labels")
-    def _(labels, kind=_kind):
-        return findings.diff(labels.where("quality = 0").select("doc_id"), labels.where("toxic = 1").select("doc_id")).where(F.col("status") == kind).select("doc_id")
+    @query(f"baseline_{_kind}", _SQL, "events")
+    def _(events, kind=_kind):
+        found, baseline, ran, _ = _run(events)
+        return findings.diff(found, baseline, ran, "user_id").where(F.col("status") == kind).drop("status")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.sources import tokens
+
 #: A file name stands between two of these in a marked source, with the folder of the file that names it.
 MARK = "\ue000"
 INCLUDE = r"\\(?:input|include)\s*\{([^{}]+)\}"
@@ -69,8 +71,9 @@ def with_listings(sources: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def without_comments(source: Column) -> Column:
-    """Without comments: from a per cent sign that no backslash escapes to the line's end, that end and the next indent."""
-    return F.regexp_replace(source, r"(?<!\\)((?:\\\\)*)%[^\n]*\n?[ \t]*", "$1")
+    """Without comments: from a per cent sign that no backslash escapes to the line's end, that end and the next indent. Verbatim stretches stay."""
+    inner = tokens.PROTECTED.replace(r"\2", r"\3").replace(r"\1", r"\2")  # one more group around it
+    return F.regexp_replace(source, rf"({inner}|(?s:\\.))|%[^\n]*\n?[ \t]*", "$1")
 
 
 def parts(sources: DataFrame) -> DataFrame:

@@ -201,4 +201,4 @@ def listings_as_verbatim(source: Column) -> Column:
 def without_glue(source: Column) -> Column:
     """Without skips of a given length, with what they may stretch or shrink by."""
     length = r"-?(?:\d+(?:\.\d*)?|\.\d+)\s*(?:pt|em|ex|cm|mm|in|bp|pc|fil+)"
-    return F.regexp_replace(source, rf"\\[vh]skip\s*{length}(?:\s*plus\s*{length})?(?:\s*minus\s*{length})?", "")
+    return tokens.outside_verbatim(source, lambda part: F.regexp_replace(part, rf"\\[vh]skip\s*{length}(?:\s*plus\s*{length})?(?:\s*minus\s*{length})?", ""))

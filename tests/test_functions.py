@@ -14,5 +14,5 @@ def test_scalars(spark):
     assert one(spark, T.grouped_digits(F.lit(1234567))) == "1,234,567"
     assert one(spark, T.normal_space(F.lit("  a \n b "))) == "a b"
     assert one(spark, T.initials(F.lit("ada lovelace"))) == "A. L."
-    assert one(spark, T.to_emu(F.lit(1.5), "in")) == 1371600
+    assert one(spark, T.to_emu(F.lit(1.5), "in")) == 1371600.0
     assert one(spark, T.mixed_colour([F.lit(255)] * 3, [F.lit(0)] * 3, F.lit(50))) == "808080"
