@@ -33,21 +33,31 @@ def merged(base: DataFrame, over: DataFrame, key: str) -> DataFrame:
     return over.unionByName(base.join(over.select(key), key, "left_anti").select(over.columns))
 
 
+#: Commands that print an entry, and the form of it; each also with pl for plurals and a capital for a capital.
+FORMS = {"gls": "first", "acrshort": "short", "acrlong": "long", "acrfull": "full", "glsentryshort": "short", "glsentrylong": "long", "glsentryfull": "full"}
+
+
+def entry_forms(spark) -> DataFrame:
+    """command, form, ending, capital."""
+    rows = [(base[:1].upper() + base[1:] if capital else base, form, ending, capital) for base, form in FORMS.items() for ending in ("", "s") for capital in (False, True)]
+    return spark.createDataFrame([(name + ("pl" if ending else ""), form, ending, capital) for name, form, ending, capital in rows], "command string, form string, ending string, capital boolean")
+
+
 def glossary_texts(uses: DataFrame, doc: list[str], order: list[str], acronyms: DataFrame, terms: DataFrame) -> DataFrame:
-    """uses (command, label) with the text that each one prints: an acronym's (label, short, long), else a term's (label, name), else the label.
+    """uses (command, label) with the text that each one prints.
 
-    The first gls of an acronym in a document prints the long form too. A command that ends with pl gives plurals, one
-    that begins with a capital a capital. Labels of both tables are unique.
+    Commands are joined to their form, labels to their entry: an acronym (label, short, long), a term (label, name), whose
+    forms are all its name, or none, which prints the label. The first use of an entry in a document by a form of "first"
+    prints the full form, later ones the short one, which is also that of an unknown command. Labels are unique.
     """
-    low = F.lower("command")
-    plural = F.when(low.endswith("pl"), "s").otherwise("")
-    key = F.when(low.endswith("pl"), F.expr("left(lower(command), length(command) - 2)")).otherwise(low)
-    rows = uses.withColumn("key", key).withColumn("plural", plural)
-    own = Window.partitionBy(*doc, "label", F.col("key") == "gls").orderBy(*order)
-    rows = rows.withColumn("again", F.row_number().over(own) > 1).join(acronyms, "label", "left").join(terms, "label", "left")
-    short, long = F.concat("short", "plural"), F.concat("long", "plural")
-    full = F.concat(long, F.lit(" ("), short, F.lit(")"))
-    acronym = F.when(F.col("key").isin("acrlong", "glsentrylong"), long).when((F.col("key") == "acrfull") | ((F.col("key") == "gls") & ~F.col("again")), full).otherwise(short)
-    text = F.coalesce(acronym, F.concat("name", "plural"))
-    capital = F.when(F.col("command").rlike("^[A-Z]"), F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 1 << 30))).otherwise(text)
-    return rows.withColumn("text", F.coalesce(capital, F.col("label").cast("string"))).drop("key", "plural", "again", "short", "long", "name")
+    entries = acronyms.select("label", "short", "long", F.concat("long", F.lit("{} ("), "short", F.lit("{})")).alias("full"))
+    entries = entries.unionByName(terms.select("label", F.col("name").alias("short"), F.col("name").alias("long"), F.col("name").alias("full")))
+    entries = entries.select("label", F.explode(F.create_map(*(x for f in ("short", "long", "full") for x in (F.lit(f), F.col(f))))).alias("form", "pattern"))
+    rows = uses.join(F.broadcast(entry_forms(uses.sparkSession)), "command", "left")
+    first = F.row_number().over(Window.partitionBy(*doc, "label", F.col("form")).orderBy(*order)) == 1
+    form = F.when(F.col("form") == "first", F.when(first, "full").otherwise("short")).otherwise(F.coalesce("form", F.lit("short")))
+    rows = rows.withColumn("form", form).join(entries, ["label", "form"], "left")
+    ending = F.coalesce("ending", F.lit(""))
+    text = F.when(F.contains("pattern", F.lit("{}")), F.replace("pattern", F.lit("{}"), ending)).otherwise(F.concat("pattern", ending))
+    capital = F.when(F.col("capital"), F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 1 << 30))).otherwise(text)
+    return rows.withColumn("text", F.coalesce(capital, F.col("label").cast("string"))).drop("form", "ending", "capital", "pattern")

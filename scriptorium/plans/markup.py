@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scriptorium.functions import markup as M
-from scriptorium.operators import refs, scopes
+from scriptorium.operators import refs, scopes, units
 from scriptorium.plans.queries import query
+from scriptorium.sources import preambles
 
 
 @query("key_values", "SELECT p_partkey, 'draft' AS key, 'true' AS value FROM part UNION ALL SELECT p_partkey, 'title', p_name || ', {' || p_type || '}' FROM part UNION ALL SELECT p_partkey, 'size', CAST(p_size + 1 AS VARCHAR) FROM part", "part")
@@ -33,7 +34,7 @@ def _(part):
     pick = lambda c, *names: F.get(F.array(*map(F.lit, names)), F.pmod(F.col(c), F.lit(len(names))).cast("int"))
     tail = F.when(F.col("p_size") % 5 == 0, F.array(F.lit("squared"))).otherwise(F.array().cast("array<string>"))
     names = F.concat(F.array(pick("p_partkey", "kilo", "milli", "micro"), pick("p_size", "newton", "pascal", "mole", "ohm"), pick("p_size", "square", "cubic"), F.lit("metre"), F.lit("per"), F.lit("second")), tail)
-    return part.select("p_partkey", M.units_text(names).alias("text"))
+    return units.unit_texts(part.select("p_partkey", names.alias("names")), "p_partkey", "names")
 
 
 @query("false_blocks", "SELECT doc_id, length(text) AS n_chars, md5(text) AS digest FROM (SELECT doc_id, coalesce(text, '') || ' ' || coalesce(source, '') || '\\ifx ' || coalesce(text, '') || '\\fi' AS text FROM documents)", "documents")
@@ -56,7 +57,7 @@ def _(customer):
     poly = F.concat(F.lit(r"\setmainlanguage{"), F.when(F.col("c_nationkey") % 2 == 0, "Dutch").otherwise("other"), F.lit(r"}\usepackage[english,ngerman,x]{babel}"))
     others = [r"\usepackage[main=french,english]{babel}", r"\documentclass[polish]{a}\usepackage[english,german]{babel}", r"\documentclass[a4paper, Polish]{article}\usepackage[x]{babel}", r"\usepackage{babel}"]
     preamble = F.get(F.array(poly, *map(F.lit, others)), F.pmod("c_custkey", F.lit(5)).cast("int"))
-    return customer.select("c_custkey", M.main_language(preamble).alias("lang"))
+    return preambles.main_languages(customer.select(F.col("c_custkey").alias("path"), preamble.alias("source"))).withColumnRenamed("path", "c_custkey")
 
 
 @query("text_boxes", "SELECT p_partkey, 635 * CAST(greatest(p_size * 400 - CASE WHEN p_partkey % 4 = 0 THEN 1440 ELSE p_partkey % 3000 END - 1000, 1440) AS BIGINT) AS width, 635 * CAST(greatest(15840 - p_partkey % 3000 - 1440, 1440) AS BIGINT) AS height FROM part", "part")
@@ -115,13 +116,16 @@ def _(part):
         F.concat(F.lit(r"\markright{open \markboth{a} {"), "p_brand", F.lit("}")),
         F.lit(r"\title{long}"),
     ]
-    return part.select("p_partkey", M.running_head(F.get(F.array(*kinds), (F.col("p_partkey") % 4).cast("int"))).alias("head"))
+    sources = part.select(F.col("p_partkey").alias("path"), F.get(F.array(*kinds), (F.col("p_partkey") % 4).cast("int")).alias("source"))
+    return preambles.running_heads(sources).withColumnRenamed("path", "p_partkey")
 
 
 @query("fonts", "SELECT p_partkey, p_name AS main_font, CASE WHEN p_size % 2 = 0 THEN p_brand END AS cjk_font FROM part", "part")
 def _(part):
     preamble = F.concat(F.lit(r"\setmainfont[Scale=1]{ "), "p_name", F.lit(r"}\setCJKmainfont {"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).otherwise(" "), F.lit("}"))
-    return part.select("p_partkey", M.font(preamble, "setmainfont").alias("main_font"), M.font(preamble, "setCJKmainfont").alias("cjk_font"))
+    sources = part.select(F.col("p_partkey").alias("path"), preamble.alias("source"))
+    both = preambles.fonts(sources, "setmainfont").withColumnRenamed("font", "main_font").join(preambles.fonts(sources, "setCJKmainfont").withColumnRenamed("font", "cjk_font"), "path")
+    return both.withColumnRenamed("path", "p_partkey")
 
 
 @query("locators", "SELECT p_partkey, CASE WHEN p_partkey % 4 > 1 AND p_size % 3 > 0 THEN p_brand END AS prefix, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN CASE WHEN p_size % 3 > 0 THEN p_brand END ELSE p_type END AS suffix FROM part", "part")
