@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from scriptorium.operators import tree
 from scriptorium.plans.queries import query
 from scriptorium.sources import conditionals, definitions, tokens
 
@@ -128,3 +129,53 @@ def _(pages):
         source = F.regexp_replace(source, tag, word.replace("\\", "\\\\"))
     found = conditionals.resolved(pages.select(F.col("page_id").alias("path"), F.concat(F.lit(r"\newif\ifdraft "), source).alias("source")))
     return found.select(F.col("path").alias("page_id"), F.length("source").cast("long").alias("n_chars"), F.md5(F.encode("source", "utf-8")).alias("digest"))
+
+
+def _nested(pages):
+    return tokens.nested(tokens.tokens(pages.select(F.col("page_id").alias("path"), _tex().alias("source"))))
+
+
+@query("tree_nodes", f"""
+        WITH {_levels(_TEX)}, n AS (SELECT * FROM g WHERE close IS NOT NULL)
+        SELECT n.page_id, row_number() OVER (PARTITION BY n.page_id ORDER BY n.open) - 1 AS pre, row_number() OVER (PARTITION BY n.page_id ORDER BY n.close) - 1 AS post, CAST(n.level - 1 AS BIGINT) AS depth,
+               (SELECT count(*) FROM n d WHERE d.page_id = n.page_id AND d.open > n.open AND d.close < n.close) AS below,
+               (SELECT count(*) FROM t WHERE t.page_id = n.page_id AND t.pos > n.open AND t.pos < n.close AND t.token IN ('\\a', '\\li')) > 0 AS any_link
+        FROM n""", "pages")
+def _(pages):
+    """The closed groups of a page as nodes in pre- and post-order, how many they hold, and whether any item or link is among them."""
+    rows = _nested(pages)
+    found = tree.nodes(tokens.groups(rows)).withColumn("inside", F.col("open") + 1)
+    words = rows.where(F.col("kind").isin("{", "word")).select("path", "pos", "kind", "token", F.col("partner").isNotNull().alias("closed"))
+    out = tree.held(found, words, "path", "pos", "inside", "close", below=(F.col("kind") == "{") & F.col("closed"), links=F.col("token").isin(r"\a", r"\li"))
+    return out.select(F.col("path").alias("page_id"), "pre", "post", "depth", "below", (F.col("links") > 0).alias("any_link"))
+
+
+_STYLES = "('\\article', '\\div', '\\nav', '\\ul', '\\p')"
+
+
+@query("inherited_styles", f"""
+        WITH {_levels(_TEX)}, s AS (SELECT g.page_id, g.open, coalesce(g.close, 1000000000) AS close, t.token AS style FROM g JOIN t ON t.page_id = g.page_id AND t.pos = g.open - 1 AND t.token IN {_STYLES}),
+        o AS (SELECT g.page_id, g.open, max(s.open) AS at FROM g LEFT JOIN s ON s.page_id = g.page_id AND g.open BETWEEN s.open AND s.close - 1 GROUP BY 1, 2)
+        SELECT o.page_id, o.open, s.style FROM o LEFT JOIN s ON s.page_id = o.page_id AND s.open = o.at""", "pages")
+def _(pages):
+    """The style of each group: its own, where the command before it has one, or that of the nearest group around it."""
+    rows = _nested(pages).where(F.col("kind").isin("{", "word", "}"))
+    groups = rows.where("kind = '{'").select("path", F.col("pos").alias("open"), F.coalesce("partner", F.lit(1_000_000_000)).alias("close"))
+    named = rows.where(F.col("kind") == "word").select("path", (F.col("pos") + 1).alias("open"), F.col("token").alias("style")).where(F.col("style").isin(r"\article", r"\div", r"\nav", r"\ul", r"\p"))
+    found = tree.innermost(groups, groups.join(named, ["path", "open"]), "path", "open", "open", "close", ["style"])
+    return found.select(F.col("path").alias("page_id"), "open", "style")
+
+
+@query("declarations_in_force", f"""
+        WITH {_levels(_TEX)}, d AS (
+            SELECT t.page_id, t.pos, coalesce((SELECT min(coalesce(g.close, 1000000000)) FROM g WHERE g.page_id = t.page_id AND g.open < t.pos AND coalesce(g.close, 1000000000) > t.pos), 1000000000) AS until FROM t WHERE t.token IN ('\\b', '\\br', '\\meta')
+        )
+        SELECT w.page_id, w.pos, max(d.pos) AS declared FROM t w LEFT JOIN d ON d.page_id = w.page_id AND d.pos <= w.pos AND d.until > w.pos WHERE w.token LIKE '\\%' AND length(w.token) > 2 GROUP BY 1, 2""", "pages")
+def _(pages):
+    """The declaration that holds at each command: the last in its group, else the last before that group in the one around it, and so on."""
+    rows = _nested(pages)
+    groups = rows.where("kind = '{'").select("path", F.col("pos").alias("group"), "partner")
+    declared = rows.where(F.col("token").isin(r"\b", r"\br", r"\meta")).select("path", F.col("pos").alias("declared"), "group").join(groups, ["path", "group"], "left")
+    spans = declared.select("path", "declared", F.coalesce("partner", F.lit(1_000_000_000)).alias("until"))
+    words = rows.where((F.col("kind") == "word") & (F.length("token") > 2)).select("path", "pos")
+    return tree.innermost(words, spans, "path", "pos", "declared", "until", ["declared"]).select(F.col("path").alias("page_id"), "pos", "declared")

