@@ -67,7 +67,7 @@ def test_aligned(spark):
 
 
 def test_a_long_one(spark):
-    old = [f"t{n}" if n % 10 else "ok" for n in range(50_000)]
+    old = [f"t{n}" if n % 10 else "ok" for n in range(12_000)]
     new = [s for n, s in enumerate(old) if n % 7] + ["end"]
     found = steps(spark, {1: (old, new)})[1]
     assert check(old, new, found) == len(new) - 1
