@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from scriptorium.functions import bibliography as B
 from scriptorium.functions import markup as M
 from scriptorium.operators import units
 from scriptorium.sources import preambles
@@ -65,4 +66,4 @@ def test_accents(spark):
 def test_numeric_id(spark):
     import zlib
 
-    assert one(spark, M.numeric_id, "knuth84", "é") == [zlib.crc32(k.encode()) & 0x7FFFFFFF for k in ("knuth84", "é")]
+    assert one(spark, B.numeric_id, "knuth84", "é") == [zlib.crc32(k.encode()) & 0x7FFFFFFF for k in ("knuth84", "é")]
