@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm import words as W
-from scriptorium.llm.shared import keep, small_or_shuffled
+from scriptorium.llm.shared import bit_table, has_bit, keep, small_or_shuffled
 
 DIMS, SAMPLE, EPOCHS, RATE, Z, STEPS = 1 << 18, 12_000, 30, 1.0, 6.0, 40
 #: Terms are learned from at most about ANNOTATED texts of either label, drawn by a hash; at most TERMS, the most telling, are kept.
@@ -104,21 +104,35 @@ def learned_terms(docs: DataFrame, annotations: DataFrame) -> tuple[np.ndarray,
     ratio = F.lit(0.0)
     for r in drawn:
         ratio = F.when(F.col("toxic") == r["toxic"], ANNOTATED / r["count"]).otherwise(ratio)
-    some = annotations.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30) < ratio)
-
-    def run(batches):
-        for batch in batches:
-            toxic = batch.column("toxic").to_numpy()
-            for i, terms, levels, beside in _terms(batch.column("text")):
-                beside = beside if toxic[i] else np.zeros_like(beside)
-                yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(levels.astype(np.int8)), pa.array(beside.view(np.int64)), pa.array(np.full(len(terms), toxic[i], np.int32))], ["term", "level", "beside", "toxic"])
-
-    held = docs.join(some, "doc_id").select("text", "toxic").mapInArrow(run, "term long, level byte, beside long, toxic int")
-    held = held.groupBy("term", "level", "toxic", "beside").count().withColumn("level", F.explode(F.sequence(F.lit(0), F.col("level").cast("int"))))
-    held = held.groupBy("term", "level", "toxic", "beside").agg(F.sum("count").alias("count"))
+    some = keep(annotations.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30) < ratio), "annotated")
+
+    def held(toxic: int, table: np.ndarray | None = None) -> DataFrame:
+        """Terms (of a table's) of the texts with a label: term, level, beside for each place told apart, and how often in a batch."""
+
+        def run(batches):
+            for batch in batches:
+                found = [(t, v, s) if table is None else (t[m], v[m], np.zeros(int(m.sum()), np.uint64)) for _, t, v, s in _terms(batch.column("text")) for m in [None if table is None else has_bit(table, t)]]
+                if not found:
+                    continue
+                rows = np.stack([np.concatenate(x).astype(np.uint64) for x in zip(*found)])
+                order = np.lexsort(rows)
+                rows = rows[:, order]
+                first = np.flatnonzero(np.append(True, (rows[:, 1:] != rows[:, :-1]).any(0))[: rows.shape[1]])
+                counts = np.diff(np.append(first, rows.shape[1]))
+                term, level, beside = rows[:, first]
+                yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(level.astype(np.int32)), pa.array(beside.view(np.int64)), pa.array(counts)], ["term", "level", "beside", "count"])
+
+        texts = docs.join(small_or_shuffled(some.where(F.col("toxic") == toxic).select("doc_id")), "doc_id").select("text")
+        return texts.mapInArrow(run, "term long, level int, beside long, count long")
+
+    every = F.explode(F.sequence(F.lit(0), F.col("level"))).alias("level")  # a text holds a term at all lower levels too
     t, n = sizes.get(1, 0), sizes.get(0, 0)
-    told = held.groupBy("term", "level").agg(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("count")).otherwise(0)).alias("n"))
-    told = told.where(F.col("t") * each.get(1, 1.0) * (1 - PRECISION) >= F.col("n") * each.get(0, 1.0) * PRECISION).withColumn("gain", F.col("t") * F.log(F.col("t") * float(n + 1) / ((F.col("n") + 1) * float(t + 1)))).where(F.col("gain") >= GAIN)
+    gain = lambda others: F.col("t") * F.log(F.col("t") * float(n + 1) / ((others + 1) * float(t + 1)))
+    telling = held(1).groupBy("term", "beside").agg(F.max("level").alias("level")).select("term", every).groupBy("term", "level").agg(F.count("*").alias("t"))
+    telling = keep(telling.where(gain(F.lit(0)) >= GAIN), "telling")
+    others = held(0, bit_table(telling, "term")).groupBy("term", "level").agg(F.sum("count").alias("n")).select("term", every, "n").groupBy("term", "level").agg(F.sum("n").alias("n"))
+    told = telling.join(others, ["term", "level"], "left").fillna(0, ["n"])
+    told = told.where(F.col("t") * each.get(1, 1.0) * (1 - PRECISION) >= F.col("n") * each.get(0, 1.0) * PRECISION).withColumn("gain", gain(F.col("n"))).where(F.col("gain") >= GAIN)
     got = told.orderBy(F.desc("gain"), "term", "level").limit(TERMS).select("term", "level").toArrow()
     terms = got["term"].to_numpy().view(np.uint64)
     return np.unique(terms), np.unique(_keyed(terms, got["level"].to_numpy()))
