@@ -279,6 +279,18 @@ def test_hmm(docs):
     assert [(r.n_known, r.train_tokens) for r in untrained] == [(0, 0)] * 3
 
 
+def test_hmm_tells_long_words_of_two_letters_apart(docs):
+    from scriptorium.llm import hmm
+
+    x, y = "a", "b"
+    for _ in range(11):
+        x, y = x + y, y + x
+    got = {r.doc_id: r for r in hmm.scores(docs([(1, x), (2, f"{x} c"), (3, y)]).withColumn("held_out", F.col("doc_id") == 3)).collect()}
+    assert [got[i].n_known for i in (1, 2, 3)] == [2, 3, 1]
+    got = hmm.scores(docs([(1, x), (2, y)]).withColumn("held_out", F.lit(False))).collect()
+    assert all(r.base_score == pytest.approx(math.log10(1.1 / 4.4) + math.log10(2.1 / 4.4)) for r in got)
+
+
 def test_hmm_counts_equal_a_sum_over_paths():
     from scriptorium.llm import hmm
 
