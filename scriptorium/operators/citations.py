@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.functions.typeset import letters
+
 
 def first_seen(cites: DataFrame, doc: str, key: str, pos: str) -> DataFrame:
     """doc, key, number: distinct keys of each document, numbered in the order of their first citation."""
@@ -19,9 +21,9 @@ def rendered(cites: DataFrame, doc: str, key: str, pos: str) -> DataFrame:
 
 
 def year_letters(items: DataFrame, author: str, year: str, order: str) -> DataFrame:
-    """items with letter: a, b, c for items of one author and year, none for the only one."""
+    """items with letter: a, b, c for items of one author and year, aa, ab and so on after z, none for the only one."""
     w = Window.partitionBy(author, year)
-    return items.withColumn("letter", F.when(F.count("*").over(w) > 1, F.char(F.row_number().over(w.orderBy(order)) + 96)).otherwise(""))
+    return items.withColumn("letter", F.when(F.count("*").over(w) > 1, letters(F.row_number().over(w.orderBy(order)))).otherwise(""))
 
 
 def bibliography_order(entries: DataFrame, by: list, numeric: bool) -> DataFrame:

@@ -298,7 +298,11 @@ def _(lineitem):
     return citations.rendered(lineitem, "l_orderkey", "l_partkey", "l_linenumber")
 
 
-@query("bibliography_author_year", "SELECT s_suppkey, n_name, CASE WHEN count(*) OVER (PARTITION BY n_name, s_suppkey % 5) > 1 THEN chr(CAST(96 + row_number() OVER (PARTITION BY n_name, s_suppkey % 5 ORDER BY s_suppkey) AS INTEGER)) ELSE '' END AS letter FROM supplier JOIN nation ON s_nationkey = n_nationkey", "supplier", "nation")
+#: Letters of n, the last one first: each stands for the numbers from the least that has it (1, 27, 703 and so on), z is followed by aa.
+_LETTERS = " || ".join(f"CASE WHEN n >= {least} THEN chr(CAST(97 + (n - {least}) // {26**i} % 26 AS INTEGER)) ELSE '' END" for i, least in reversed([(i, sum(26**j for j in range(i + 1))) for i in range(13)]))
+
+
+@query("bibliography_author_year", f"SELECT s_suppkey, n_name, CASE WHEN items > 1 THEN {_LETTERS} ELSE '' END AS letter FROM (SELECT s_suppkey, n_name, count(*) OVER (PARTITION BY n_name, s_suppkey % 5) AS items, row_number() OVER (PARTITION BY n_name, s_suppkey % 5 ORDER BY s_suppkey) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey)", "supplier", "nation")
 def _(supplier, nation):
     items = supplier.join(nation, supplier.s_nationkey == nation.n_nationkey).withColumn("year", F.col("s_suppkey") % 5)
     return citations.year_letters(items, "n_name", "year", "s_suppkey").select("s_suppkey", "n_name", "letter")
