@@ -26,7 +26,7 @@ def _(part):
     size, unit = F.col("p_size"), F.get(F.array(*map(F.lit, _UNITS)), (F.floor("p_retailprice") % 9).cast("int"))
     width = F.when(size % 3 == 0, F.lit(r"0.5\linewidth")).otherwise(F.concat(size, unit))
     options = F.concat(F.lit("Width="), width, F.lit(",HEIGHT="), size, F.lit(",scale="), size / 4, F.lit(",Angle=-"), size, F.lit(",trim=1pt 2pt "), size, F.lit("mm 0pt,alt={"), "p_name", F.lit(","), "p_brand", F.lit("},x=[1,clip]"), F.when(size % 2 == 0, ",Clip").otherwise(""))
-    return part.select("p_partkey", M.image_options(options).alias("o"), F.try_element_at(M.key_values(options, lower=True), F.lit("alt")).alias("alt")).select("p_partkey", "o.width", "o.height", "o.scale", "o.angle", F.get("o.trim", 2).alias("trim_right"), "o.clip", "o.keep_aspect", "alt")
+    return part.select("p_partkey", M.image_options(options).alias("o")).select("p_partkey", "o.width", "o.height", "o.scale", "o.angle", F.get("o.trim", 2).alias("trim_right"), "o.clip", "o.keep_aspect", "o.alt")
 
 
 @query("unit_texts", "SELECT p_partkey, ['k', 'm', 'µ'][1 + p_partkey % 3] || ['N', 'Pa', 'mol', 'Ω'][1 + p_size % 4] || chr(8201) || 'm' || CASE WHEN p_size % 2 = 0 THEN '²' ELSE '³' END || '/s' || CASE WHEN p_size % 5 = 0 THEN '²' ELSE '' END AS text FROM part", "part")

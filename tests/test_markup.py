@@ -23,6 +23,14 @@ def test_image_options(spark):
     assert (got[1].width, got[1].scale, got[1].angle, got[1].trim, got[1].clip) == (126526, None, -90.0, None, False)  # ten points
 
 
+def test_option_lists_are_read_once_a_row(spark):
+    rows = spark.createDataFrame([("a=1",)], "c string")
+    shown = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all")
+    assert shown(rows.select(M.key_values(F.col("c")).alias("m"))) == 1
+    assert shown(rows.select(M.image_options(F.col("c")).alias("o")).select("o.width", "o.trim", "o.clip", "o.alt")) == 1
+    assert one(spark, M.image_options, "alt={a,b}", "x", None)[0].alt == "a,b"
+
+
 def test_units(spark):
     lists = (["kilo", "gram", "metre", "per", "second", "squared"], ["cubic", "centi", "metre"], ["newton", "kilo", "metre"], [], ["metre", "odd"], ["per", "second"], ["square", "milli", "metre", "cubed"], ["metre"] * 40)
     rows = units.unit_texts(spark.createDataFrame(list(enumerate(lists)), "id int, names array<string>"), "id", "names")
