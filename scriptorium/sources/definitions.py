@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.operators.structure import written
 from scriptorium.sources import tokens
 
 #: White space that may stand between arguments.
@@ -69,6 +70,8 @@ def macro_definitions(sources: DataFrame) -> DataFrame:
     what another definition holds.
     """
     found = found_commands(sources)
+    of_name, of_word = _plain(F.col("name")).isin([*COMMANDS, *DOCUMENT_COMMANDS]), _plain(F.col("before")).isin([*COMMANDS, *DOCUMENT_COMMANDS, *PARAMETERS, "let"])
+    found = written(found.where(of_name | of_word))
     args, none = F.col("args"), F.lit(None).cast(found.schema["brace"].dataType)
     span = lambda a, b: F.struct(F.lit(0).alias("at"), F.lit("").alias("kind"), F.lit(0).alias("close"), a.alias("from"), b.alias("to"))
     kinds = [*COMMANDS, *DOCUMENT_COMMANDS]

@@ -30,9 +30,19 @@ def outside_verbatim(source: Column, rewrite) -> Column:
     return F.array_join(F.transform(parts, lambda part, i: F.when(i % 2 == 1, part).otherwise(rewrite(part))), "")
 
 
+#: Characters of sources whose tokens a task works on at a time, as about so many, or one longer source.
+PART = 1 << 18
+
+
+def spread(sources: DataFrame, path: str = "path", source: str = "source") -> DataFrame:
+    """sources dealt by path over as many partitions as their size asks for: windows and groups by path and more then need no other shuffle, and what a task sorts doesn't grow with the input."""
+    size = sources.agg(F.coalesce(F.sum(F.length(source) + 16), F.lit(0))).first()[0]
+    return sources.repartition(max(sources.sparkSession.sparkContext.defaultParallelism, int(size) // PART + 1), path)
+
+
 def tokens(sources: DataFrame) -> DataFrame:
     """path, pos, token, kind, start, stop (characters from 0) of every token of sources (path, source)."""
-    rows = sources.select("path", F.posexplode(F.regexp_extract_all("source", F.lit(TOKEN), F.lit(0))).alias("pos", "token"))
+    rows = spread(sources.select("path", "source")).select("path", F.posexplode(F.regexp_extract_all("source", F.lit(TOKEN), F.lit(0))).alias("pos", "token"))
     first, second = F.substring("token", 1, 1), F.substring("token", 2, 1)
     word = (first == "\\") & second.rlike("[A-Za-z@]")
     short = F.col("token").rlike(r"^\\verb\*?[^A-Za-z@*]")
@@ -86,17 +96,19 @@ def commands(rows: DataFrame) -> DataFrame:
     """
     same = ["path", "depth", "group"]
     in_order = Window.partitionBy(*same).orderBy("pos")
-    so_far, before, after = in_order.rowsBetween(Window.unboundedPreceding, 0), in_order.rowsBetween(Window.unboundedPreceding, -1), in_order.rowsBetween(1, Window.unboundedFollowing)
+    so_far, before = in_order.rowsBetween(Window.unboundedPreceding, 0), in_order.rowsBetween(Window.unboundedPreceding, -1)
+    # the next of a kind is the last one from behind: a frame up to the end would be gone through again for each row
+    behind = Window.partitionBy(*same).orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
     kind = F.col("kind")
     rows = rows.where(~kind.isin("space", "comment", "}"))
     rows = rows.withColumn("_opt", (kind == "[") & F.lag("kind").over(in_order).isin("word", "{", "]"))
     rows = rows.withColumn("_last", F.last(F.when(F.col("_opt") | (kind == "]"), kind), ignorenulls=True).over(before))
-    rows = rows.withColumn("_end", F.first(F.when(kind == "]", F.struct("pos", "start")), ignorenulls=True).over(after))
+    rows = rows.withColumn("_end", F.last(F.when(kind == "]", F.struct("pos", "start")), ignorenulls=True).over(behind))
     rows = rows.withColumn("_in", (F.col("_last") == "[") & (F.col("_end").isNotNull() | (kind == "]")))
     rows = rows.withColumn("_in", F.coalesce("_in", F.lit(False)))
     shut = F.when(kind == "{", F.struct(F.col("partner").alias("pos"), F.col("partner_start").alias("start"))).otherwise(F.col("_end"))
     arg = F.struct(F.col("pos").alias("at"), "kind", shut["pos"].alias("close"), F.col("stop").alias("from"), shut["start"].alias("to"))
-    rows = rows.withColumn("brace", F.first(F.when(kind == "{", arg), ignorenulls=True).over(after))
+    rows = rows.withColumn("brace", F.last(F.when(kind == "{", arg), ignorenulls=True).over(behind))
     rows = rows.withColumn("_arg", ~F.col("_in") & ((kind == "{") | (F.col("_opt") & F.col("_end").isNotNull())))
     rows = rows.where(~F.col("_in")).withColumn("_run", F.sum((~F.col("_arg")).cast("long")).over(so_far))
     runs = rows.groupBy(*same, "_run").agg(

@@ -198,3 +198,13 @@ def test_verbatim_is_left_alone(spark):
     source = "a \\hskip 1pt b \\begin{verbatim}\\hskip 1pt\\end{verbatim} \\verb|\\vskip 2pt| \\vskip 2pt"
     c = tokens.outside_verbatim(F.col("source"), definitions.without_glue)
     assert frame(spark, [source]).select(c.alias("s")).first().s == "a  b \\begin{verbatim}\\hskip 1pt\\end{verbatim} \\verb|\\vskip 2pt| "
+
+
+def test_tokens_are_dealt_over_more_tasks_as_sources_grow(spark, monkeypatch):
+    from scriptorium.sources import tokens
+
+    monkeypatch.setattr(tokens, "PART", 100)
+    sources = spark.range(100).selectExpr("id AS path", "repeat('{a}', 20) AS source")
+    rows = tokens.nested(tokens.tokens(sources))
+    assert rows.select("path", "depth").rdd.getNumPartitions() == 100 * 76 // 100 + 1
+    assert tokens.groups(rows).where("close = open + 2 AND depth = 0").count() == 2000
