@@ -34,10 +34,10 @@ def outside_verbatim(source: Column, rewrite) -> Column:
 PART = 1 << 18
 
 
-def spread(sources: DataFrame, path: str = "path", source: str = "source") -> DataFrame:
-    """sources dealt by path over as many partitions as their size asks for: windows and groups by path and more then need no other shuffle, and what a task sorts doesn't grow with the input."""
+def spread(sources: DataFrame, path: str = "path", source: str = "source", part: int = PART) -> DataFrame:
+    """sources dealt by path over as many partitions as their size asks for, of about part characters: windows and groups by path and more then need no other shuffle, and what a task sorts doesn't grow with the input."""
     size = sources.agg(F.coalesce(F.sum(F.length(source) + 16), F.lit(0))).first()[0]
-    return sources.repartition(max(sources.sparkSession.sparkContext.defaultParallelism, int(size) // PART + 1), path)
+    return sources.repartition(max(sources.sparkSession.sparkContext.defaultParallelism, int(size) // part + 1), path)
 
 
 def tokens(sources: DataFrame) -> DataFrame:

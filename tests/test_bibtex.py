@@ -26,3 +26,15 @@ def test_fields(spark):
     got = {r.name: r.value for r in bibtex.fields(spark.createDataFrame([("a", more)], "path string, text string")).where("key = 'two'").select("name", bibtex.plain_value("value").alias("value")).collect()}
     assert got == {"publisher": "ACM Press", "pages": "3–4 & 5 6"}
     assert bibtex.fields(files.limit(0)).count() == 0
+
+
+def test_files_are_dealt_by_size_and_shuffled_once(spark, monkeypatch):
+    monkeypatch.setattr(bibtex, "PART", 4096)
+    files = spark.range(400).selectExpr("CAST(id AS STRING) AS path", "concat('@string{p = {P, ', id, '}} @a{k', id, ', t = {{x, = \"}, ﷐1}, u = P, v = \"{\"}, w = 1\"}') AS text")
+    got = bibtex.fields(files)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    assert got.rdd.getNumPartitions() >= 400 * 60 // 4096 > 4
+    rows = {(r.path, r.name): r.value for r in got.collect()}
+    assert len(rows) == 1200
+    assert rows["7", "t"] == '{x, = "}, ﷐1' and rows["7", "u"] == "P, 7" and rows["7", "v"] == '{"}, w = 1'
