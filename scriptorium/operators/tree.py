@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _STOP, _START, _POINT = 0, 1, 2
+#: Points and ends of spans that a task works on at a time, as about so many, or those of one group.
+PART = 1 << 19
 
 
 def innermost(points: DataFrame, spans: DataFrame, by: str, at: str, start: str, stop: str, values: list[str]) -> DataFrame:
@@ -18,6 +20,7 @@ def innermost(points: DataFrame, spans: DataFrame, by: str, at: str, start: str,
 
     A point at a span's start is inside, one at its stop is not. Of spans with the same start the one that stops later
     lies outside; of spans that are equal, the one with the smaller values. Spans that stop nowhere are given a stop.
+    Both sides are counted and then dealt by group over as many partitions as they ask for, so they should be cheap to read.
     """
     value = F.struct(*values)
     none = F.lit(None).cast(spans.select(value.alias("v")).schema["v"].dataType)
@@ -26,6 +29,8 @@ def innermost(points: DataFrame, spans: DataFrame, by: str, at: str, start: str,
     rows = spans.select(by, F.col(start).cast("long").alias("_at"), F.lit(_START).alias("_kind"), (-F.col(stop)).cast("long").alias("_rank"), value.alias("_value"), no_point.alias("_point"))
     rows = rows.unionByName(spans.select(by, F.col(stop).cast("long").alias("_at"), F.lit(_STOP).alias("_kind"), F.lit(0).cast("long").alias("_rank"), none.alias("_value"), no_point.alias("_point")))
     rows = rows.unionByName(points.select(by, F.col(at).cast("long").alias("_at"), F.lit(_POINT).alias("_kind"), F.lit(0).cast("long").alias("_rank"), none.alias("_value"), point.alias("_point")))
+    size = points.count() + 2 * spans.count()
+    rows = rows.repartition(max(points.sparkSession.sparkContext.defaultParallelism, size // PART + 1), by)
     order = ["_at", "_kind", "_rank", "_value"]
     step = F.when(F.col("_kind") == _START, 1).when(F.col("_kind") == _STOP, -1).otherwise(0)
     rows = rows.withColumn("_open", F.sum(step).over(Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))

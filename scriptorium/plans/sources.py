@@ -7,9 +7,11 @@ walk over the tokens one after the other.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scriptorium.operators import tree
+from scriptorium.operators.structure import written
 from scriptorium.plans.queries import query
 from scriptorium.sources import conditionals, definitions, tokens
 
@@ -159,10 +161,11 @@ _STYLES = "('\\article', '\\div', '\\nav', '\\ul', '\\p')"
         SELECT o.page_id, o.open, s.style FROM o LEFT JOIN s ON s.page_id = o.page_id AND s.open = o.at""", "pages")
 def _(pages):
     """The style of each group: its own, where the command before it has one, or that of the nearest group around it."""
-    rows = _nested(pages).where(F.col("kind").isin("{", "word", "}"))
-    groups = rows.where("kind = '{'").select("path", F.col("pos").alias("open"), F.coalesce("partner", F.lit(1_000_000_000)).alias("close"))
-    named = rows.where(F.col("kind") == "word").select("path", (F.col("pos") + 1).alias("open"), F.col("token").alias("style")).where(F.col("style").isin(r"\article", r"\div", r"\nav", r"\ul", r"\p"))
-    found = tree.innermost(groups, groups.join(named, ["path", "open"]), "path", "open", "open", "close", ["style"])
+    before = Window.partitionBy("path").orderBy("pos")
+    own = F.when((F.lag("kind").over(before) == "word") & F.lag("token").over(before).isin(r"\article", r"\div", r"\nav", r"\ul", r"\p"), F.lag("token").over(before))
+    rows = _nested(pages).withColumn("style", own).where("kind = '{'")
+    groups = written(rows.select("path", F.col("pos").alias("open"), F.coalesce("partner", F.lit(1_000_000_000)).alias("close"), "style"))
+    found = tree.innermost(groups.drop("style"), groups.where("style IS NOT NULL"), "path", "open", "open", "close", ["style"])
     return found.select(F.col("path").alias("page_id"), "open", "style")
 
 
@@ -173,9 +176,10 @@ def _(pages):
         SELECT w.page_id, w.pos, max(d.pos) AS declared FROM t w LEFT JOIN d ON d.page_id = w.page_id AND d.pos <= w.pos AND d.until > w.pos WHERE w.token LIKE '\\%' AND length(w.token) > 2 GROUP BY 1, 2""", "pages")
 def _(pages):
     """The declaration that holds at each command: the last in its group, else the last before that group in the one around it, and so on."""
-    rows = _nested(pages)
-    groups = rows.where("kind = '{'").select("path", F.col("pos").alias("group"), "partner")
-    declared = rows.where(F.col("token").isin(r"\b", r"\br", r"\meta")).select("path", F.col("pos").alias("declared"), "group").join(groups, ["path", "group"], "left")
-    spans = declared.select("path", "declared", F.coalesce("partner", F.lit(1_000_000_000)).alias("until"))
-    words = rows.where((F.col("kind") == "word") & (F.length("token") > 2)).select("path", "pos")
+    # a group's brace and what stands in it side by side: a join would shuffle the tokens anew
+    rows = _nested(pages).where(F.col("kind").isin("{", "word")).withColumn("in", F.when(F.col("kind") == "{", F.col("pos")).otherwise(F.col("group")))
+    close = F.max(F.when(F.col("kind") == "{", F.col("partner"))).over(Window.partitionBy("path", "in"))
+    until = F.when(F.col("token").isin(r"\b", r"\br", r"\meta"), F.coalesce(close, F.lit(1_000_000_000)))
+    rows = written(rows.withColumn("until", until).where("kind = 'word'").select("path", "pos", "until", (F.length("token") > 2).alias("long")))
+    words, spans = rows.where("long").select("path", "pos"), rows.where("until IS NOT NULL").select("path", F.col("pos").alias("declared"), "until")
     return tree.innermost(words, spans, "path", "pos", "declared", "until", ["declared"]).select(F.col("path").alias("page_id"), "pos", "declared")

@@ -41,3 +41,12 @@ def test_innermost_and_held(spark):
     for r in found:
         inside = [i for d, at, i in points if d == r.doc and r.a <= at < r.b]
         assert (r["all"], r.even) == (len(inside), sum(i % 2 == 0 for i in inside))
+
+
+def test_tasks_of_innermost_stay_small_as_points_grow(spark, monkeypatch):
+    monkeypatch.setattr(tree, "PART", 500, raising=False)
+    points = spark.range(4000).selectExpr("id % 400 AS doc", "id AS at")
+    spans = spark.range(400).selectExpr("id AS doc", "0L AS a", "2000L AS b", "id AS n")
+    got = tree.innermost(points, spans, "doc", "at", "a", "b", ["n"])
+    assert got.rdd.getNumPartitions() > 4800 // 500
+    assert got.where("n = doc").count() == got.where("at < 2000").count() == 2000 and got.count() == 4000
