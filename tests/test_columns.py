@@ -24,3 +24,15 @@ def test_columns(spark):
     assert got.pop(99) == []
     for i, spec in enumerate(specs):
         assert got[i] == specs[spec], spec
+
+
+def test_tasks_stay_small_as_specifications_grow(spark, monkeypatch):
+    from scriptorium.sources import columns as C
+
+    monkeypatch.setattr(C, "PART", 400, raising=False)
+    specs = spark.range(300).selectExpr("id AS path", "concat('Some words l *{2}{p{', 1 + id % 9, 'cm}>{\\\\\\\\centering}X}r') AS source")
+    got = columns(specs)
+    assert got.rdd.getNumPartitions() > 300 * 20 // 400
+    rows = {(r.path, r.number): (r.type, r.alignment, r.width) for r in got.collect()}
+    assert [rows[4, n] for n in range(7)] == [("S", "center", None), ("m", "left", None)][:1] + [("r", "right", None), ("l", "left", None)] + [("p", "left", 1800000), ("X", "center", None)] * 2
+    assert rows[4, 7] == ("r", "right", None) and len(rows) == 300 * 8
