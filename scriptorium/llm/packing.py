@@ -30,8 +30,8 @@ MOVES = 20_000
 #: Words whose ids a worker remembers.
 WORDS = 600_000
 
-#: Bytes of text that are tokenised at a time; one longer text is a part of its own.
-PART = 8 << 20
+#: Bytes of text that are tokenised at a time, of which a worker holds some dozen times as much in words and ids; one longer text is a part of its own.
+PART = 2 << 20
 #: Characters that, after a plain letter or digit, begin a token and end it with the word; texts whose words a tokenizer must not join.
 TAIL, PROBES = "#$%&*+,-./:;=?@^_~!", ("a b", "a  b\n", "\t. 1\x0bx ", " and the")
 _KNOWN: dict[str, dict[str, bytes]] = {}
