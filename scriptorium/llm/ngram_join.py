@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm import words as W
-from scriptorium.llm.shared import bit_table, components, has_bit, keep, small_or_shuffled
+from scriptorium.llm.shared import bit_table, components, give_back, has_bit, keep, small_or_shuffled
 
 K, PERCENT = 5, 80
 SHORT = 8
@@ -49,7 +49,7 @@ LEVELS = (SHORT, 8 * SHORT, 128 * SHORT)
 #: Shingles of which one is an anchor, and how far from a frequent one others are counted.
 SPAN, BESIDE = 32, 24
 #: Shingles that a task counts at a time.
-WINDOW = 1 << 22
+WINDOW = 1 << 21
 #: Bits of a sketch, at least.
 SKETCH = 1024
 #: Sizes on which the cost of inverted lists is measured, and up to which the boundary may lie.
@@ -237,17 +237,29 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
     """
 
     def run(batches):
-        for b in batches:
-            s = list(_sets(b, "text"))
-            same = np.flatnonzero(np.array([_class(x) for x in s], np.int64) == b.column("cid").to_numpy())
-            for lo in range(0, len(same), 256):
-                part = same[lo : lo + 256]
-                yield pa.RecordBatch.from_arrays([b.column("cid").take(pa.array(part)), _lists([s[i] for i in part])], ["cid", "s"])
+        for cids, sets in _wanted_sets(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), _lists(sets)], ["cid", "s"])
 
     sets = _of_classes(docs, wanted).select("cid", "text").mapInArrow(run, "cid long, s array<long>")
     return sets.dropDuplicates(["cid"]) if repeated else sets
 
 
+def _wanted_sets(batches):
+    """From batches of cid and text, 256 classes and their sets at a time; texts of other classes are left out."""
+    for batch in batches:
+        cids, sets = [], []
+        for cid, s in zip(batch.column("cid").to_pylist(), _sets(batch, "text")):
+            if _class(s) == cid:
+                cids.append(cid)
+                sets.append(s)
+            if len(sets) == 256:
+                yield cids, sets
+                cids, sets = [], []
+        if sets:
+            yield cids, sets
+        give_back()
+
+
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, repeated: bool) -> DataFrame:
     """Of candidate pairs (a, b: cid), similar ones that join the same classes as all similar ones do.
 
@@ -263,7 +275,7 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, repeated: b
         return keep(both.where(f"100 * common >= {PERCENT} * (total - common)").select("a", "b"), "links")
 
     pairs = keep(pairs.distinct(), "pairs")
-    near = keep(_near(pairs, keep(_sketches(_sets_of(docs, _ends(pairs, classes), repeated)), "sketches")), "near")
+    near = keep(_near(pairs, keep(_sketches(docs, _ends(pairs, classes), repeated), "sketches")), "near")
     first = compared(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     named = lambda x: first.select(F.col("b").alias(x), F.col("a").alias(f"of_{x}"))
     rest = near.join(named("a"), "a", "left").join(named("b"), "b", "left").where("coalesce(of_a, a) <> coalesce(of_b, b)")
@@ -296,21 +308,24 @@ def _ends(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return keep(classes.join(ids, "cid").select("cid", "first"), "ends")
 
 
-def _sketches(sets: DataFrame) -> DataFrame:
-    """cid, n, k, folded of sets: k has a bit for the parity of the shingles that fall on it, two or more bits a shingle; folded is k in SKETCH bits."""
+def _sketches(docs: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
+    """cid, n, k, folded of the sets of the wanted classes: k has a bit for the parity of the shingles that fall on it, two or more bits a shingle; folded is k in SKETCH bits.
+
+    A set becomes its sketch in the task that reads its text; a second function after that of _sets_of() would be a second worker beside each first one.
+    """
 
     def run(batches):
-        for b in batches:
+        for cids, sets in _wanted_sets(batches):
             n, k, folded = [], [], []
-            for s in b.column("s"):
-                s = s.values.to_numpy()
+            for s in sets:
                 bits = max(SKETCH, 1 << int(2 * len(s) - 1).bit_length())
                 n.append(len(s))
                 k.append(np.packbits(np.bincount(s & (bits - 1), minlength=bits).astype(np.uint8) & 1))
                 folded.append(np.bitwise_xor.reduce(k[-1].reshape(-1, SKETCH // 8)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array(n, pa.int64()), pa.array([x.tobytes() for x in k], pa.binary()), _lists(folded)], ["cid", "n", "k", "folded"])
+            yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(n, pa.int64()), pa.array([x.tobytes() for x in k], pa.binary()), _lists(folded)], ["cid", "n", "k", "folded"])
 
-    return sets.mapInArrow(run, "cid long, n long, k binary, folded array<long>")
+    sketches = _of_classes(docs, wanted).select("cid", "text").mapInArrow(run, "cid long, n long, k binary, folded array<long>")
+    return sketches.dropDuplicates(["cid"]) if repeated else sketches
 
 
 def _light(small: DataFrame) -> int:
@@ -370,7 +385,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         if apart.isEmpty():
             break
         now = apart.where(F.col("rows") <= (MEDIUM if turn < ROUNDS - 1 else 1 << 62))
-        marks = keep(_sketches(_sets_of(docs, keep(now.select("cid").distinct().join(classes, "cid"), "ends"), repeated)), "sketches")
+        marks = keep(_sketches(docs, keep(now.select("cid").distinct().join(classes, "cid"), "ends"), repeated), "sketches")
         marked = now.drop("n").join(marks, "cid")
         x, y = (marked.selectExpr("key", f"cid AS {s}", f"root AS root_{s}", f"n AS n{s}", f"rare AS r{s}", f"folded AS k{s}") for s in "ab")
         rest = x.join(y, "key").where(f"{_MAY} AND root_a <> root_b AND {_FOLDED}").select("a", "b")
