@@ -22,16 +22,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.shared import keep
+from scriptorium.llm.shared import give_back, keep
 
 SIZE, END, GROUP, CLOSED = 2048, 0, 40_000, 0.98
 #: Documents for which a group tries to find a better place. This bounds the time of the search alone: every piece is packed, better or worse.
 MOVES = 20_000
 #: Words whose ids a worker remembers.
-WORDS = 600_000
+WORDS = 300_000
 
 #: Bytes of text that are tokenised at a time, of which a worker holds some dozen times as much in words and ids; one longer text is a part of its own.
-PART = 2 << 20
+PART = 1 << 20
 #: Characters that, after a plain letter or digit, begin a token and end it with the word; texts whose words a tokenizer must not join.
 TAIL, PROBES = "#$%&*+,-./:;=?@^_~!", ("a b", "a  b\n", "\t. 1\x0bx ", " and the")
 _KNOWN: dict[str, dict[str, bytes]] = {}
@@ -128,6 +128,7 @@ def tokenized(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END)
                     binary = pa.Array.from_buffers(pa.binary(), b - a, [None, offsets, data])
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo).take(pa.array(doc[a:b])), pa.array(piece[a:b].astype(np.int32)), pa.array(piece[a:b].astype(np.int64) * size), pa.array(length[a:b].astype(np.int64)), binary], ["doc_id", "piece", "start", "length", "ids"])
                 lo = hi
+            give_back()
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")

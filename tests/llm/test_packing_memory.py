@@ -27,3 +27,15 @@ def test_a_worker_holds_few_texts_at_a_time(spark, monkeypatch):
     for r in rows:
         got[r["doc_id"]] = got.get(r["doc_id"], b"") + r["ids"]
     assert got == {i: np.array([7] * (len(t) // 100) + [0], "<u4").tobytes() for i, t in enumerate(texts)}
+
+
+def test_a_worker_tokenises_a_megabyte_and_remembers_few_words(monkeypatch):
+    assert packing.PART <= 1 << 20 and packing.WORDS <= 300_000
+    import public_tokenizers
+
+    monkeypatch.setattr(packing, "WORDS", 10)
+    monkeypatch.setattr(packing, "_KNOWN", {})
+    encode = packing.word_ids(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["one two three four five six seven eight nine ten eleven twelve", "eleven Twelve, thirteen one"]
+    first = [encode(pa.array([t]))[0].tolist() for t in texts * 2]
+    assert first[:2] == first[2:] and len(next(iter(packing._KNOWN.values()))) <= 10 + 12 + 1
