@@ -4,8 +4,8 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from scriptorium.llm import ngram_join
-from scriptorium.llm.shared import keep
+from scriptorium.llm import ngram_join, substring_dedup
+from scriptorium.llm.shared import keep, shared_folder
 
 
 def test_kept_tables_leave_no_shuffle_files(spark):
@@ -31,3 +31,15 @@ def test_sketches_are_made_by_the_worker_that_reads_the_text(spark, docs):
     for r in got.collect():
         odd = {v & (ngram_join.SKETCH - 1) for v in sets[r["cid"]]}
         assert sum(bin(b).count("1") for b in r["k"]) == len(odd) and len(r["k"]) == ngram_join.SKETCH // 8
+
+
+def test_substring_dedup_drops_tables_that_nothing_reads_again(spark, docs):
+    same = " ".join(f"w{i}" for i in range(80))
+    texts = docs([(i, f"{same} {' '.join(f'x{i}y{j}' for j in range(70))}") for i in range(12)])
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(folder.glob("*")) if folder.exists() else set()
+    found = substring_dedup.passages(texts)
+    left = {p.name.rsplit("-", 1)[0] for p in set(folder.glob("*")) - before}
+    assert not left & {"windows", "twice", "texts", "pairs"} and "passages" in left, left
+    rows = found.collect()
+    assert {(r["doc_id"], r["source_id"], r["first_word"], r["last_word"]) for r in rows} == {(i, 0, 0, 79) for i in range(1, 12)}
