@@ -129,8 +129,22 @@ def signatures(docs: DataFrame) -> DataFrame:
     return _plain(docs).mapInArrow(run, schema)
 
 
+def _places(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Places in flat of the anchors of the texts that stand there one after the other, counts[i] shingles each; windows over two texts add some."""
+    bits = np.uint64(len(flat).bit_length())
+    m, width = flat >> bits << bits | np.arange(len(flat), dtype=np.uint64), 1
+    least = np.minimum.reduceat(m, (np.cumsum(counts) - counts)[counts > 0]) if len(m) else m
+    while width < SPAN and len(m) > width:
+        m, width = np.minimum(m[:-width], m[width:]), 2 * width
+    m = np.append(m[np.append(True, m[1:] != m[:-1])], least) if len(m) else m
+    return (np.unique(m) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+
+
 def _beside(docs: DataFrame, frequent) -> DataFrame:
-    """tok, times of all shingles beside anchors in the bit table frequent."""
+    """tok, times of all shingles beside anchors in the bit table frequent.
+
+    Only anchors are looked up: a bit table is wrong for some of all values, and each of these would count all that stand beside it.
+    """
 
     def counted(held: list[np.ndarray]) -> pa.RecordBatch:
         tok, times = np.unique(np.concatenate(held), return_counts=True)
@@ -140,7 +154,8 @@ def _beside(docs: DataFrame, frequent) -> DataFrame:
         table, held, size = frequent.value, [], 0
         for batch in batches:
             for _, flat, counts in W.shingled(batch.column("text"), K):
-                hit = np.flatnonzero(has_bit(table, flat.view(np.int64)))
+                hit = _places(flat, counts)
+                hit = hit[has_bit(table, flat[hit].view(np.int64))]
                 edge = np.zeros(len(flat) + 1, np.int32)
                 np.add.at(edge, np.maximum(hit - BESIDE, 0), 1)
                 np.add.at(edge, np.minimum(hit + BESIDE + 1, len(flat)), -1)
