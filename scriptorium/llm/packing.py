@@ -70,7 +70,11 @@ def word_ids(path: str):
     def of_words(words: pa.Array) -> list[bytes]:
         words = words.to_pylist()
         new = [w for w in words if w not in known]
-        own = dict(zip(new, (array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(new, add_special_tokens=False))))
+        # words given as already split are each a sequence of their own, as in a call for each, but come back as one
+        got = tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False) if new else None
+        ids = array("I", got.ids if got else ()).tobytes()
+        ends = np.cumsum(np.bincount(np.array(got.word_ids if got else (), np.int64), minlength=len(new)) * 4).tolist()
+        own = dict(zip(new, map(ids.__getitem__, map(slice, [0, *ends], ends))))
         if len(known) < WORDS:
             known.update(own)
             own = known
@@ -129,6 +133,8 @@ def tokenized(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END)
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo).take(pa.array(doc[a:b])), pa.array(piece[a:b].astype(np.int32)), pa.array(piece[a:b].astype(np.int64) * size), pa.array(length[a:b].astype(np.int64)), binary], ["doc_id", "piece", "start", "length", "ids"])
                 lo = hi
             give_back()
+        _KNOWN.pop(tokenizer, None)  # the worker lives on, idle, beside those of later stages
+        give_back()
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")

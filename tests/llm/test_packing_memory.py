@@ -39,3 +39,19 @@ def test_a_worker_tokenises_a_megabyte_and_remembers_few_words(monkeypatch):
     texts = ["one two three four five six seven eight nine ten eleven twelve", "eleven Twelve, thirteen one"]
     first = [encode(pa.array([t]))[0].tolist() for t in texts * 2]
     assert first[:2] == first[2:] and len(next(iter(packing._KNOWN.values()))) <= 10 + 12 + 1
+
+
+def test_a_task_leaves_no_words_and_words_encoded_together_keep_their_ids(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path, held = public_tokenizers.path("word_bpe_49k.json"), {}
+    frame = type("Frame", (), {"select": lambda self, *_: self, "mapInArrow": lambda self, run, _: held.update(run=run)})()
+    monkeypatch.setattr(packing, "_KNOWN", {})
+    packing.tokenized(frame, path)
+    texts = ["It's 1234 O'Neil's", "a<|endoftext|>b <|startoftext|> c", "   x́y ́ ﻿", "​ \x00 \U0001f600‍\U0001f600", "", "ﬁ İ ß don't...   z"]
+    rows = [r for b in held["run"]([pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})]) for r in b.to_pylist()]
+    tokenizer = Tokenizer.from_file(path)
+    want = [np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes() for t in texts]
+    assert [r["ids"] for r in rows] == want
+    assert not packing._KNOWN
