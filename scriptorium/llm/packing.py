@@ -14,6 +14,7 @@ replaced. An empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 from array import array
 
 import numpy as np
@@ -48,6 +49,19 @@ def _tokenizer(path: str):
     return tokenizer
 
 
+def _bare(path: str):
+    """A tokenizer for printable ASCII words in lower case: without the normalizer, if all its steps leave such words as they are."""
+    from tokenizers import Tokenizer, normalizers
+
+    tokenizer = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
+        own = json.load(f)["normalizer"] or {"type": "Sequence", "normalizers": []}
+    steps = own["normalizers"] if own["type"] == "Sequence" else [own]
+    if all(s["type"] in ("NFC", "Lowercase") or s["type"] == "Replace" and s["pattern"] == {"Regex": "\\s+"} for s in steps):
+        tokenizer.normalizer = normalizers.Sequence([])
+    return tokenizer
+
+
 def _flat(values: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids one after the other, where those of each value begin, and how many they are."""
     sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
@@ -65,16 +79,19 @@ def word_ids(path: str):
 
     Distinct words of the texts are encoded once, without what punctuation ends them; a worker remembers WORDS of them.
     """
-    tokenizer, known = _tokenizer(path), _KNOWN.setdefault(path, {"": b""})
+    tokenizer, bare, known = _tokenizer(path), _bare(path), _KNOWN.setdefault(path, {"": b""})
 
     def of_words(words: pa.Array) -> list[bytes]:
         words = words.to_pylist()
         new = [w for w in words if w not in known]
-        # words given as already split are each a sequence of their own, as in a call for each, but come back as one
-        got = tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False) if new else None
-        ids = array("I", got.ids if got else ()).tobytes()
-        ends = np.cumsum(np.bincount(np.array(got.word_ids if got else (), np.int64), minlength=len(new)) * 4).tolist()
-        own = dict(zip(new, map(ids.__getitem__, map(slice, [0, *ends], ends))))
+        own = {}
+        plain = [w.isascii() and w.isprintable() and "<" not in w for w in new]
+        for encoder, some in ((bare, [w for w, ok in zip(new, plain) if ok]), (tokenizer, [w for w, ok in zip(new, plain) if not ok])):
+            if some:  # words given as already split are each a sequence of their own, as in a call for each, but come back as one
+                got = encoder.encode(some, is_pretokenized=True, add_special_tokens=False)
+                ids = array("I", got.ids).tobytes()
+                ends = np.cumsum(np.bincount(np.array(got.word_ids, np.int64), minlength=len(some)) * 4).tolist()
+                own.update(zip(some, map(ids.__getitem__, map(slice, [0, *ends], ends))))
         if len(known) < WORDS:
             known.update(own)
             own = known
