@@ -23,9 +23,13 @@ ENVIRONMENTS = ["newenvironment", "renewenvironment"]
 DOCUMENT_ENVIRONMENTS = ["NewDocumentEnvironment", "RenewDocumentEnvironment", "ProvideDocumentEnvironment", "DeclareDocumentEnvironment"]
 
 
-def found_commands(sources: DataFrame) -> DataFrame:
-    """Every command of sources with its arguments, as tokens.commands() gives them; the readers below start from these rows."""
-    return tokens.commands(tokens.nested(tokens.tokens(sources)))
+def found_commands(sources: DataFrame, names: list[str]) -> DataFrame:
+    """The commands in groups in which one of names stands, with their arguments, as tokens.commands() gives them with pos = start; the readers below start from these rows.
+
+    Their tokens are written, then dealt by count.
+    """
+    rows = written(tokens.around(sources, names))
+    return tokens.commands(rows.repartition(max(sources.sparkSession.sparkContext.defaultParallelism, rows.count() // tokens.ROWS + 1), "path"))
 
 
 def _plain(c: Column) -> Column:
@@ -69,7 +73,7 @@ def macro_definitions(sources: DataFrame) -> DataFrame:
     always is for \\let. What has no body, or one whose brace never closes, is no definition, and neither is
     what another definition holds.
     """
-    found = found_commands(sources)
+    found = found_commands(sources, [*COMMANDS, *DOCUMENT_COMMANDS, *PARAMETERS, "let"])
     of_name, of_word = _plain(F.col("name")).isin([*COMMANDS, *DOCUMENT_COMMANDS]), _plain(F.col("before")).isin([*COMMANDS, *DOCUMENT_COMMANDS, *PARAMETERS, "let"])
     found = written(found.where(of_name | of_word))
     args, none = F.col("args"), F.lit(None).cast(found.schema["brace"].dataType)
@@ -101,7 +105,7 @@ def arguments_of(spec: Column) -> Column:
 
 def environment_definitions(sources: DataFrame) -> DataFrame:
     """path, pos, command, name, arity, default (null without one), spec (null but for document environments), begin, end of every environment that is defined."""
-    rows = found_commands(sources).withColumn("command", _plain(F.col("name"))).where(F.col("command").isin([*ENVIRONMENTS, *DOCUMENT_ENVIRONMENTS]))
+    rows = found_commands(sources, [*ENVIRONMENTS, *DOCUMENT_ENVIRONMENTS]).withColumn("command", _plain(F.col("name"))).where(F.col("command").isin([*ENVIRONMENTS, *DOCUMENT_ENVIRONMENTS]))
     document, groups, rest = F.col("command").isin(DOCUMENT_ENVIRONMENTS), _groups(F.col("args")), F.slice("args", 2, 1 << 20)
     code = lambda i: F.when(document, F.get(groups, i + 1)).otherwise(F.get(groups, i))
     option = lambda i: F.when(~document, F.get(_options(rest), i))
@@ -132,7 +136,7 @@ def safe_macros(macros: DataFrame, protected: list[str]) -> DataFrame:
 
 def theorem_kinds(sources: DataFrame) -> DataFrame:
     """path, pos, name, numbered, shared (the kind whose counter it uses), title, within; empty where not given."""
-    rows = found_commands(sources).where(_plain(F.col("name")) == "newtheorem").select("path", "pos", F.col("name").alias("command"), "args")
+    rows = found_commands(sources, ["newtheorem"]).where(_plain(F.col("name")) == "newtheorem").select("path", "pos", F.col("name").alias("command"), "args")
     after = F.slice("args", 2, 1 << 20)
     titled = F.array_position(F.transform(after, lambda a: a["kind"]), "{").cast("int")
     within = F.get(F.filter(F.slice(after, titled + 1, F.lit(1)), lambda a: a["kind"] == "["), 0)
@@ -143,7 +147,7 @@ def theorem_kinds(sources: DataFrame) -> DataFrame:
 
 def _with_groups(sources: DataFrame, command: str, *names: str) -> DataFrame:
     """path, pos and the text of the first groups of every such command that has them all."""
-    rows = found_commands(sources).where(F.col("name") == command).select("path", "pos", "args")
+    rows = found_commands(sources, [command]).where(F.col("name") == command).select("path", "pos", "args")
     out = _read(sources, rows, **{n: F.get(_groups(F.col("args")), i) for i, n in enumerate(names)})
     return out.where(" AND ".join(f"{n} IS NOT NULL" for n in names))
 
@@ -160,7 +164,7 @@ def colours(sources: DataFrame) -> DataFrame:
 
 def bibliography_items(sources: DataFrame) -> DataFrame:
     """path, number (from 1), key, label (null without one), text of every item of a bibliography list, up to the list's end."""
-    rows = found_commands(sources).where("name = 'bibitem' OR (name = 'end' AND args[0].kind = '{')")
+    rows = found_commands(sources, ["bibitem", "end"]).where("name = 'bibitem' OR (name = 'end' AND args[0].kind = '{')")
     ends = F.min(F.when(F.col("name") == "end", F.col("start"))).over(Window.partitionBy("path").orderBy("pos").rowsBetween(1, Window.unboundedFollowing))
     following = F.min(F.when(F.col("name") == "bibitem", F.col("start"))).over(Window.partitionBy("path").orderBy("pos").rowsBetween(1, Window.unboundedFollowing))
     rows = rows.withColumn("next", F.coalesce(F.least(ends, following), F.lit(1 << 40))).where("name = 'bibitem'")

@@ -21,7 +21,8 @@ def _argument(kind: str | Column, number: int | Column) -> Column:
 
 def arguments(sources: DataFrame, wanted: DataFrame) -> DataFrame:
     """path, pos, rank, text, beside: the arguments that wanted (name, kind, number, rank) asks for, and the first group beside each."""
-    rows = found_commands(sources).join(F.broadcast(wanted), "name")
+    names = [r["name"] for r in wanted.select("name").distinct().collect()]  # a few fixed ones
+    rows = found_commands(sources, names).join(F.broadcast(wanted), "name")
     asked, group = _argument(F.col("kind"), F.col("number")), _argument("{", 0)
     rows = rows.select("path", "pos", "rank", *(arg[end].alias(f"{n}_{end}") for n, arg in (("a", asked), ("b", group)) for end in ("from", "to")))
     return tokens.texts_between(sources, rows, text=("a_from", "a_to"), beside=("b_from", "b_to")).select("path", "pos", "rank", "text", "beside").where("text IS NOT NULL")

@@ -12,6 +12,9 @@ inside; a closing brace too many is skipped. Files are told apart by path, which
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,10 +35,15 @@ def outside_verbatim(source: Column, rewrite) -> Column:
 
 #: Characters of sources whose tokens a task works on at a time, as about so many, or one longer source.
 PART = 1 << 18
+#: Characters of sources that a task only reads through.
+READ = 1 << 23
+#: Tokens in groups with a name that a task works on at a time, as about so many, or those of one source; and that a worker gives at once.
+ROWS = 1 << 16
 
 
-def spread(sources: DataFrame, path: str = "path", source: str = "source", part: int = PART) -> DataFrame:
-    """sources dealt by path over as many partitions as their size asks for, of about part characters: windows and groups by path and more then need no other shuffle, and what a task sorts doesn't grow with the input."""
+def spread(sources: DataFrame, path: str = "path", source: str = "source", part: int | None = None) -> DataFrame:
+    """sources dealt by path over as many partitions as their size asks for, of about part (PART) characters: windows and groups by path and more then need no other shuffle, and what a task sorts doesn't grow with the input."""
+    part = part or PART
     size = sources.agg(F.coalesce(F.sum(F.length(source) + 16), F.lit(0))).first()[0]
     return sources.repartition(max(sources.sparkSession.sparkContext.defaultParallelism, int(size) // part + 1), path)
 
@@ -86,6 +94,92 @@ def groups(rows: DataFrame) -> DataFrame:
     return rows.where("kind = '{'").select("path", F.col("pos").alias("open"), F.col("partner").alias("close"), "depth", F.col("group").alias("parent"))
 
 
+_MARK_OR_WORD = re.compile(r"[^\\{}%]+|" + PROTECTED + r"|%[^\n]*|\\[A-Za-z@]+\*?|(?s:\\.)|[{}]", re.ASCII)
+_TOKEN = re.compile(TOKEN, re.ASCII)
+
+
+def _groups_with(source: str, names: set[str]) -> list[tuple]:
+    """Opening brace (None at the top), depth, first character, end, and braces (closing None if never closed) of the groups inside, of every group in which a word of names stands."""
+    found, inside = [], [(None, 0, 0, [])]
+    named: set[int | None] = set()  # opening braces
+
+    def end(at: int, close: int | None) -> None:
+        group = inside.pop()
+        if inside:
+            inside[-1][3].append((group[0], close))
+        if group[0] in named:
+            found.append((*group[:3], at, group[3]))
+
+    for m in _MARK_OR_WORD.finditer(source):
+        at = m.start()
+        if (c := source[at]) == "{":
+            inside.append((at, inside[-1][1] + 1, at + 1, []))
+        elif c == "}":
+            depth = inside[0][1]
+            end(at, at)
+            if not inside:  # one too many
+                named.discard(None)
+                inside.append((None, depth - 1, at + 1, []))
+        elif c == "\\" and m.lastindex is None and m.group()[1:].removesuffix("*") in names:
+            named.add(inside[-1][0])
+    while inside:
+        end(len(source), None)
+    return found
+
+
+def _kind(m: re.Match) -> str:
+    token = m.group()
+    if m.group(1) or m.group(2) not in (None, "@"):
+        return "verbatim"
+    if token[0] == "%":
+        return "comment"
+    if token[0] == "\\":
+        return "word" if re.match("[A-Za-z@]", token[1:]) else "escape"
+    return token if token in "[]" else "space" if re.match(r"\s", token, re.ASCII) else "text"
+
+
+def around(sources: DataFrame, names: list[str]) -> DataFrame:
+    """Of nested() rows, what commands() reads of the groups in which a control word of names (without star) stands; pos is start.
+
+    What stands in groups beside such a word, as bodies do, is passed over by the task that reads a source and is no row, so that
+    the rows to sort grow with the definitions and what stands among them, not with what they hold.
+    """
+    types = {"path": sources.schema["path"].dataType.simpleString(), "pos": "int", "token": "string", "kind": "string", "start": "long", "stop": "long", "depth": "long", "group": "int", "partner": "int", "partner_start": "long"}
+    names, arrow = set(names), [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+
+    def run(batches):
+        for batch in batches:
+            row, out = [], []
+
+            def given():
+                token, kind, start, depth, group, partner = (pa.array(x, t) for x, t in zip(zip(*out), arrow))
+                stop = pa.array([r[2] + len(r[0]) for r in out], pa.int64())
+                columns = [batch.column("path").take(pa.array(row)), start, token, kind, start.cast(pa.int64()), stop, depth, group, partner, partner.cast(pa.int64())]
+                return pa.RecordBatch.from_arrays(columns, list(types))
+
+            for n, source in enumerate(batch.column("source")):
+                source = source.as_py() or ""
+                for opening, depth, at, end, pairs in _groups_with(source, names):
+                    for brace, close in [*pairs, (end, None)]:
+                        for m in _TOKEN.finditer(source, at, brace):
+                            if (kind := _kind(m)) not in ("space", "comment"):
+                                out.append((m.group(), kind, m.start(), depth, opening, None))
+                        if brace < end:
+                            out.append(("{", "{", brace, depth, opening, close))
+                            if close is None:
+                                break
+                            at = close + 1
+                        row += [n] * (len(out) - len(row))
+                        if len(out) >= ROWS:
+                            yield given()
+                            row, out = [], []
+                    row += [n] * (len(out) - len(row))
+            if out:
+                yield given()
+
+    return spread(sources.select("path", "source"), part=READ).mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in types.items()))
+
+
 def commands(rows: DataFrame) -> DataFrame:
     r"""path, pos, name, start, stop, before, then, then2, brace, args of every control word in nested() rows.
 

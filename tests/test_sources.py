@@ -208,3 +208,14 @@ def test_tokens_are_dealt_over_more_tasks_as_sources_grow(spark, monkeypatch):
     rows = tokens.nested(tokens.tokens(sources))
     assert rows.select("path", "depth").rdd.getNumPartitions() == 100 * 76 // 100 + 1
     assert tokens.groups(rows).where("close = open + 2 AND depth = 0").count() == 2000
+
+
+def test_commands_around_names_are_those_of_all_tokens(spark):
+    pieces = [*PIECES, "\\a", "\\a ", "\\a*", "\\bb{x}", "[o]", "\\verb@x{@", "}", "\r"]
+    sources = ["".join(RNG.choice(pieces) for _ in range(RNG.randrange(60))) for _ in range(400)] + ["} \\a{b} } \\c \\a[", "{\\a {\\a", "x", "", None]
+    named = "trim(TRAILING '*' FROM name) = 'a' OR trim(TRAILING '*' FROM before) = '\\\\a'"
+    spans = "transform(args, a -> struct(a.kind AS kind, a.from AS from, a.to AS to)) AS args"
+    columns = ["path", "name", "start", "stop", "before", "then", "then2", "brace.kind", "brace.from", "brace.to", spans]
+    every = tokens.commands(tokens.nested(tokens.tokens(frame(spark, sources)))).where(named).selectExpr(*columns).collect()
+    some = definitions.found_commands(frame(spark, sources), ["a"]).where(named).selectExpr(*columns).collect()
+    assert len(every) > 300 and sorted(map(str, some)) == sorted(map(str, every))
