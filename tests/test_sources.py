@@ -219,3 +219,9 @@ def test_commands_around_names_are_those_of_all_tokens(spark):
     every = tokens.commands(tokens.nested(tokens.tokens(frame(spark, sources)))).where(named).selectExpr(*columns).collect()
     some = definitions.found_commands(frame(spark, sources), ["a"]).where(named).selectExpr(*columns).collect()
     assert len(every) > 300 and sorted(map(str, some)) == sorted(map(str, every))
+
+
+def test_what_bodies_hold_is_no_row_of_definitions(spark):
+    body = "\\p{x y \\b{z}} " * 500
+    rows = tokens.around(frame(spark, [rf"\newcommand{{\page}}[3]{{{body}}} \def\next#1.{{{body}}}"] * 3), definitions.COMMANDS)
+    assert rows.count() == 3 * 10  # both words, \next, #1., [, 3, ], three groups
